@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import quality, simhash
+from millrace.llm import bpe, quality, simhash
 from millrace.llm.common import table
 
 
@@ -20,8 +20,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality}
+    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
