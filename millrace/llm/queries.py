@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, quality, simhash
-from millrace.llm.common import table
+from millrace.llm import bpe, quality, simhash, toxicity
+from millrace.llm.common import id_mod, table
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.withColumn("held_out", id_mod("doc_id", 3) == 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op10_bpe": op10_bpe}
+    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op7_toxicity": op7_toxicity, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
