@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, quality, simhash, toxicity
+from millrace.llm import bpe, langid, quality, simhash, toxicity
 from millrace.llm.common import id_mod, table
 
 
@@ -24,6 +24,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).withColumn("held_out", id_mod("doc_id", 5) == 0)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -31,7 +36,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op7_toxicity": op7_toxicity, "op10_bpe": op10_bpe}
+    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
