@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, langid, quality, simhash, toxicity
+from millrace.llm import bpe, langid, neighbours, quality, simhash, toxicity
 from millrace.llm.common import id_mod, table
 
 
@@ -20,6 +20,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), every=50)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
@@ -36,7 +40,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op10_bpe": op10_bpe}
+    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op9_neighbours": op9_neighbours, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
