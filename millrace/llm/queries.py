@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, langid, neighbours, quality, simhash, toxicity
-from millrace.llm.common import id_mod, table
+from millrace.llm import bpe, langid, neighbours, quality, simhash, toxicity, warc
+from millrace.llm.common import Shared, id_mod, table
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = Shared.create(spark, "warc")
+    names = warc.write(table(spark, sf_dir, "pages"), shared)
+    return warc.read(spark, shared, names).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), every=50)
 
@@ -40,7 +46,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op9_neighbours": op9_neighbours, "op10_bpe": op10_bpe}
+    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_neighbours": op9_neighbours, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
