@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, langid, neighbours, quality, simhash, toxicity, warc
+from millrace.llm import bpe, langid, mixing, neighbours, quality, simhash, toxicity, warc
 from millrace.llm.common import Shared, id_mod, table
 
 
@@ -34,6 +34,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs)).withColumn("held_out", id_mod("doc_id", 5) == 0)
@@ -46,7 +50,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_neighbours": op9_neighbours, "op10_bpe": op10_bpe}
+    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op5_mixing": op5_mixing, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_neighbours": op9_neighbours, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
