@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, langid, mixing, neighbours, quality, simhash, toxicity, warc
+from millrace.llm import bpe, langid, mixing, neighbours, ngram_lm, quality, simhash, toxicity, warc
 from millrace.llm.common import Shared, id_mod, table
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_mod("doc_id", 5) == 1
+    return ngram_lm.lm_scores(table(spark, sf_dir, "documents"), held_out).withColumn("held_out", held_out)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -50,7 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op5_mixing": op5_mixing, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_neighbours": op9_neighbours, "op10_bpe": op10_bpe}
+    return {"op1_lm": op1_lm, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op5_mixing": op5_mixing, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_neighbours": op9_neighbours, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,134 @@
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import ngram_lm
+from millrace.llm.common import Shared, table
+from millrace.llm.queries import op1_lm
+
+
+class Plain:
+    """Interpolated modified Kneser-Ney, straight from the definitions."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.c = [None] * (order + 1)
+        top = Counter()
+        self.words = Counter()
+        for t in texts:
+            self.words.update(t)
+            padded = ["<s>"] * (order - 1) + t
+            top.update(tuple(padded[i : i + order]) for i in range(len(t)))
+        self.c[order] = top
+        for k in range(order - 1, 0, -1):
+            self.c[k] = Counter(g[1:] for g in self.c[k + 1])
+        self.d = [None] + [ngram_lm.discounts([sum(1 for n in c.values() if n == j) for j in (1, 2, 3, 4)]) for c in self.c[1:]]
+        follow = [None] + [defaultdict(list) for _ in range(order)]
+        for k in range(1, order + 1):
+            for g, n in self.c[k].items():
+                follow[k][g[:-1]].append(n)
+        self.after = [None] + [{g: (sum(x), sum((0, *self.d[k])[min(n, 3)] for n in x)) for g, x in follow[k].items()} for k in range(1, order + 1)]
+
+    def p(self, gram):
+        k = len(gram)
+        lower = self.p(gram[1:]) if k > 1 else 1 / (len(self.words) + 1)
+        if gram[:-1] not in self.after[k]:
+            return lower
+        total, left = self.after[k][gram[:-1]]
+        n = self.c[k][gram]
+        return (n - (0, *self.d[k])[min(n, 3)] + left * lower) / total
+
+
+def plain_words(text):
+    return [w.decode() for w in (text or "").encode().lower().split()] + [""]
+
+
+def plain_scores(rows, held, order):
+    train = [plain_words(t) for i, t in rows if not held(i)]
+    m = Plain(train, order)
+    total = sum(m.words.values())
+    out = {}
+    for i, t in rows:
+        w = plain_words(t)
+        padded = ["<s>"] * (order - 1) + w
+        base = sum(math.log10((m.words[x] + 0.5) / (total + 0.5 * (len(m.words) + 1))) for x in w)
+        score = sum(math.log10(m.p(tuple(padded[j : j + order]))) for j in range(len(w)))
+        out[i] = (len(w), sum(m.words[x] > 0 for x in w), total, base, score)
+    return m, out
+
+
+def check(got, want):
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
+        assert r.base_score == pytest.approx(w[3], rel=1e-9)
+        assert r.score == pytest.approx(w[4], rel=1e-9)
+
+
+def test_query_equals_brute_force(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("r", F.crc32(F.col("doc_id").cast("string")) % 5).collect()
+    held = {r.doc_id: r.r == 1 for r in docs}
+    _, want = plain_scores([(r.doc_id, r.text) for r in docs], held.get, 3)
+    got = op1_lm(spark, sf).collect()
+    assert {r.doc_id: r.held_out for r in got} == held
+    check(got, want)
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+@pytest.mark.parametrize("order,shard", [(2, 400), (3, 150), (4, 3000)])
+def test_orders_shards_and_hot_contexts(spark, order, shard, monkeypatch):
+    rng = random.Random(order)
+    rows = [(i, " ".join(rng.choice(["a", "a", "a", "b", "c", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 90)))) for i in range(150)]
+    rows += [(900, None), (901, ""), (902, "never seen words A B")]
+    monkeypatch.setattr(ngram_lm, "CACHE", 40)
+    df = spark.createDataFrame(rows, "doc_id long, t string")
+    shared = Shared.create(spark, "lm-test")
+    train = df.where("doc_id % 3 <> 0 AND doc_id < 900")
+    about = ngram_lm.train(train, shared, order, shard)
+    m, want = plain_scores(rows, lambda i: i % 3 == 0 or i >= 900, order)
+    check(ngram_lm.score(df, about).collect(), want)
+    # The distribution over all words and the unknown one adds up to 1 after any context.
+    model = ngram_lm.Model(about)
+    every = np.append(np.arange(model.vocabulary.size), -1)
+    for context in ([], [0], [model.vocabulary.size], [1, 2], [2, -1], [-1, 3]):
+        context = ([model.vocabulary.size] * order + context)[-(order - 1) :] if order > 1 else []
+        grams = np.array([[*context, w] for w in every], dtype=np.int64)
+        assert model.probabilities(grams).sum() == pytest.approx(1)
+
+
+def test_spread_contexts(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join("a" if j % 2 else f"w{rng.randint(0, 700)}" for j in range(200))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, t string")
+    about = ngram_lm.train(df, Shared.create(spark, "lm-test"), 3, 4000)
+    model = ngram_lm.Model(about)
+    a = model.vocabulary.numbers([[b"a"]])
+    assert about["shards"] > 4 and model.deal.parts(a[:, None])[0] > 4
+    _, want = plain_scores(rows, lambda i: False, 3)
+    check(ngram_lm.score(df, about).collect(), want)
+
+
+def test_files_round_trip():
+    rng = np.random.default_rng(0)
+    grams = np.unique(rng.integers(0, 1 << 40, (500, 3)), axis=0)
+    counts = rng.integers(1, 1 << 35, len(grams))
+    got = ngram_lm.unpack_grams(ngram_lm.pack_grams(grams, counts))
+    assert (got[0] == grams).all() and (got[1] == counts).all()
+    wide = ngram_lm.narrow("n", np.array([0, 254, 255, 256, 1 << 40]))
+    assert ngram_lm.widen(wide, "n", np.arange(5)).tolist() == [0, 254, 255, 256, 1 << 40]
+
+
+def test_odd_rows(spark):
+    rows = [(1, "a b", 1), (1, "a b", 1), (None, "a c", 2), (2, None, 3), (3, "", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t long").withColumn("n", F.lit(1))
+    got = ngram_lm.lm_scores(docs, F.lit(False)).collect()
+    assert sorted((r.n_tokens, r.train_tokens) for r in got) == [(1, 11), (1, 11), (3, 11), (3, 11), (3, 11)]
+    assert ngram_lm.lm_scores(docs.limit(0), F.lit(False)).count() == 0
+    untrained = ngram_lm.lm_scores(docs, F.lit(True)).collect()
+    assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in untrained} == {(0, 0, 0.0, 0.0)}
