@@ -208,12 +208,16 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return encoded.select(F.col(id_col).cast("long"), F.col(ids_col).cast("array<int>")).mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encodes and decodes in one pass, ids never leave the worker.
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encodes and decodes in one pass.
 
-    Null and empty texts have no tokens and the digests of nothing.
+    Ids leave the worker only if ``ids`` asks for them as a further column.  Null and empty texts have no tokens and the digests of nothing.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    layout = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    if ids:
+        fields, layout = [*fields, ("ids", pa.list_(pa.int32()))], layout + ", ids array<int>"
+    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -225,9 +229,10 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield record_batch(
                     schema,
                     b.column(0).slice(a, z - a),
-                    [len(ids) for ids in found],
-                    [sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest() for ids in found],
-                    [sha(bpe.decode(ids).encode()).hexdigest() for ids in found],
+                    [len(x) for x in found],
+                    [sha(",".join(map(bpe.decimal.__getitem__, x)).encode()).hexdigest() for x in found],
+                    [sha(bpe.decode(x).encode()).hexdigest() for x in found],
+                    *([found] if ids else []),
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, layout)

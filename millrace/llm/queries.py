@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, langid, mixing, neighbours, ngram_lm, quality, simhash, toxicity, warc
+from millrace.llm import bpe, langid, mixing, neighbours, ngram_lm, quality, sharding, simhash, toxicity, warc
 from millrace.llm.common import Shared, id_mod, table
 
 
@@ -31,6 +31,23 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, shared, names).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS h,
+         min(page_id) OVER (PARTITION BY payload) AS least
+  FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+FROM d
+"""
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), every=50)
 
@@ -39,6 +56,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.tokenizer_path())
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    store = sharding.shard_arrivals(table(spark, sf_dir, "documents"), arrival)
+    return store.read().withColumn("text_sha256", F.sha2(F.col("text"), 256)).select("doc_id", "lang", "source", "n_chars", "text_sha256")
+
+
+OP4_SQL = """
+SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,8 +83,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm": op1_lm, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op5_mixing": op5_mixing, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_neighbours": op9_neighbours, "op10_bpe": op10_bpe}
+    return {"op1_lm": op1_lm, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_mixing": op5_mixing, "op6_langid": op6_langid, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_neighbours": op9_neighbours, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_sharding": OP4_SQL, "op8_warc": OP8_SQL}
