@@ -21,9 +21,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from millrace.plans import lakehouse, relational, scalars, streams  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
