@@ -1 +1,145 @@
-"""Queries over managed tables."""
+"""Queries over managed tables: every one makes its own warehouse, changes a table and reads it back."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.plans.catalogue import query
+from millrace.plans.engine import Engine
+from millrace.sources.lakehouse import Table
+from millrace.sources.pruning import Filter
+from millrace.sources.tables import table
+from millrace.streaming.sink import write_table
+
+
+def _engine(spark: SparkSession) -> Engine:
+    """A fresh warehouse in the folder that the cluster shares, or a temporary one in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        folder = root.removeprefix("file://").removeprefix("file:")
+        __import__("os").makedirs(folder, exist_ok=True)
+        return Engine(spark, tempfile.mkdtemp(prefix="warehouse-", dir=folder))
+    return Engine(spark, tempfile.mkdtemp(prefix="warehouse-"))
+
+
+def _managed(spark: SparkSession, sf_dir: str, name: str, partition_by: tuple[tuple[str, str], ...] = (), where: str = "true") -> tuple[Engine, Table]:
+    engine = _engine(spark)
+    df = table(spark, sf_dir, name).where(where)
+    engine.catalog.create_namespace("lake")
+    made = engine.catalog.create_table(f"lake.{name}", df.schema, partition_by)
+    return engine, made.append(df)
+
+
+@query("scan_table", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE value > 1 GROUP BY event_type")
+def scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, _ = _managed(spark, sf_dir, "events")
+    return engine.sql("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM lake.events WHERE value > 1 GROUP BY event_type")
+
+
+@query("scan_pruned", "SELECT event_id, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'")
+def scan_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden day partitions: the files of other days aren't in the plan."""
+    import datetime as dt
+
+    _, events = _managed(spark, sf_dir, "events", (("ts", "day"),))
+    return events.scan(["event_id", "ts", "value"], [Filter("ts", ">=", dt.datetime(2024, 1, 10)), Filter("ts", "<", dt.datetime(2024, 1, 12))])
+
+
+@query("insert_append", "SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey + 1000000, upper(c_name) FROM customer WHERE c_nationkey = 3")
+def insert_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, _ = _managed(spark, sf_dir, "customer")
+    engine.sql("INSERT INTO lake.customer (c_custkey, c_name) SELECT c_custkey + 1000000, upper(c_name) FROM lake.customer WHERE c_nationkey = 3")
+    return engine.sql("SELECT c_custkey, c_name FROM lake.customer")
+
+
+@query("delete_rows", "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 50000)")
+def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, _ = _managed(spark, sf_dir, "orders")
+    engine.sql("DELETE FROM lake.orders WHERE o_orderstatus = 'F' AND o_totalprice > 50000")
+    return engine.sql("SELECT o_orderkey, o_orderstatus FROM lake.orders")
+
+
+@query("update_rows", "SELECT s_suppkey, CASE WHEN s_nationkey = 7 THEN s_acctbal * 2 ELSE s_acctbal END AS s_acctbal, CASE WHEN s_nationkey = 7 THEN lower(s_name) ELSE s_name END AS s_name FROM supplier")
+def update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, _ = _managed(spark, sf_dir, "supplier")
+    engine.sql("UPDATE lake.supplier SET s_acctbal = s_acctbal * 2, s_name = lower(s_name) WHERE s_nationkey = 7")
+    return engine.sql("SELECT s_suppkey, s_acctbal, s_name FROM lake.supplier")
+
+
+@query(
+    "merge_upsert",
+    """SELECT p_partkey, CASE WHEN p_size > 25 THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice FROM part WHERE NOT (p_size > 45)
+       UNION ALL SELECT p_partkey + 1000000, p_retailprice + 1 FROM part WHERE p_size > 25 AND p_size <= 30""",
+)
+def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, parts = _managed(spark, sf_dir, "part")
+    old = table(spark, sf_dir, "part").withColumn("p_retailprice", F.col("p_retailprice") + 1).where("p_size > 25")
+    new = old.where("p_size <= 30").withColumn("p_partkey", F.col("p_partkey") + 1000000)
+    old.unionByName(new).createOrReplaceTempView("changes")
+    engine.sql(
+        """MERGE INTO lake.part t USING changes s ON t.p_partkey = s.p_partkey
+           WHEN MATCHED AND s.p_size > 45 THEN DELETE WHEN MATCHED THEN UPDATE SET p_retailprice = s.p_retailprice WHEN NOT MATCHED THEN INSERT *"""
+    )
+    return engine.sql("SELECT p_partkey, p_retailprice FROM lake.part")
+
+
+@query("ddl_roundtrip", "SELECT n_nationkey, n_name AS name, NULL::DOUBLE AS score FROM nation")
+def ddl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark)
+    table(spark, sf_dir, "nation").createOrReplaceTempView("source_nation")
+    engine.sql("CREATE NAMESPACE IF NOT EXISTS lake")
+    engine.sql("CREATE TABLE lake.n (n_nationkey INT NOT NULL, n_name STRING, n_regionkey INT)")
+    engine.sql("INSERT INTO lake.n SELECT * FROM source_nation")
+    engine.sql("ALTER TABLE lake.n ADD COLUMNS (score DOUBLE)")
+    engine.sql("ALTER TABLE lake.n RENAME COLUMN n_name TO name")
+    engine.sql("ALTER TABLE lake.n DROP COLUMN n_regionkey")
+    engine.sql("CREATE TABLE lake.gone (x INT)")
+    engine.sql("DROP TABLE lake.gone")
+    return engine.sql("SELECT * FROM lake.n")
+
+
+@query("ctas", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY o_custkey")
+def ctas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, _ = _managed(spark, sf_dir, "orders")
+    engine.sql("CREATE TABLE lake.spent AS SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM lake.orders GROUP BY o_custkey")
+    return engine.sql("SELECT * FROM lake.spent")
+
+
+@query("time_travel", "SELECT 'now' AS at, count(*) AS n FROM region WHERE r_regionkey > 2 UNION ALL SELECT 'before', count(*) FROM region")
+def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, _ = _managed(spark, sf_dir, "region")
+    engine.sql("DELETE FROM lake.region WHERE r_regionkey <= 2")
+    return engine.sql("SELECT 'now' AS at, count(*) AS n FROM lake.region UNION ALL SELECT 'before', count(*) FROM lake.region VERSION AS OF 1")
+
+
+@query("evolve_scenario", "SELECT event_id, NULL::VARCHAR AS source FROM events UNION ALL SELECT event_id + 1000000, 'late' FROM events WHERE event_type = 'error'")
+def evolve_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create, append, add a column, append rows that carry it, read: old rows have null."""
+    _, events = _managed(spark, sf_dir, "events")
+    events.evolve({"source": T.StringType()})
+    late = table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("event_id", F.col("event_id") + 1000000).withColumn("source", F.lit("late"))
+    return events.append(late).scan(["event_id", "source"])
+
+
+@query("namespaces", "SELECT 'lake' AS namespace, 'a' AS \"table\" UNION ALL SELECT 'lake', 'b'")
+def namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark)
+    engine.catalog.create_namespace(("lake", "inner"))
+    for t in ("lake.b", "lake.a", "lake.inner.c"):
+        engine.sql(f"CREATE TABLE {t} (x INT)")
+    return engine.sql("SHOW TABLES IN lake")
+
+
+@query("stream_to_table", "SELECT event_id, event_type FROM events")
+def stream_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file stream into a managed table, exactly once."""
+    engine, events = _managed(spark, sf_dir, "events", where="false")
+    feed = f"{engine.catalog.root}/feed"
+    table(spark, sf_dir, "events").repartition(3).write.parquet(f"file://{feed}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"file://{feed}")
+    write_table(stream, events, f"file://{engine.catalog.root}/checkpoint").awaitTermination()
+    return events.refresh().scan(["event_id", "event_type"])
