@@ -1,0 +1,68 @@
+import random
+
+import numpy as np
+import pytest
+
+from millrace.llm import toxicity
+from millrace.llm.common import table
+from millrace.llm.queries import op7_toxicity
+
+
+def best_segment(scores):
+    return max((sum(scores[a : z + 1]), a, z) for a in range(len(scores)) for z in range(a, len(scores)))
+
+
+def plain_segments(scores, low=0):
+    """The definition: the best segment, then the same on both sides of it (shortest among equals)."""
+    if not scores:
+        return []
+    found = max(((sum(scores[a : z + 1]), -(z - a), a, z) for a in range(len(scores)) for z in range(a, len(scores))), key=lambda x: (round(x[0], 9), x[1]))
+    if found[0] <= 1e-9:
+        return []
+    a, z = found[2], found[3]
+    return plain_segments(scores[:a], low) + [(low + a, low + z, found[0])] + plain_segments(scores[z + 1 :], low + z + 1)
+
+
+def test_segments_follow_the_definition():
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randint(1, 24)
+        words = [rng.choice([0.0, 0.0, 0.0, round(rng.random() * 3 + 0.013, 3)]) for _ in range(n)]
+        got = toxicity.segments([(i, s) for i, s in enumerate(words) if s], n, 0.7)
+        want = plain_segments([s or -0.7 for s in words])
+        assert [(a, z) for a, z, _ in got] == [(a, z) for a, z, _ in want]
+        assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
+
+
+def test_karlin_root():
+    scores, share = np.array([2.0, -1.0]), np.array([0.2, 0.8])
+    rate = toxicity._karlin(scores, share)
+    assert (share * np.exp(rate * scores)).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    rows = [r for r in op7_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    toxic = [r for r in rows if labels[r.doc_id]]
+    clean = [r for r in rows if not labels[r.doc_id]]
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    assert np.mean([r.predicted for r in toxic]) > 0.85
+    assert np.mean([r.predicted for r in clean]) < 0.01
+
+
+def test_odd_rows(spark):
+    rude = "fine words here " * 6 + "beastly beastly2 rotten " * 2
+    rows = [(i, rude if i % 2 else "fine words here only " * 7, i % 2) for i in range(80)]
+    docs = spark.createDataFrame([(i, f"{t} n{i}") for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (999, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    odd = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, rude, 1), (3, rude, 1), (None, "fine " * 100_000, 1)], "doc_id long, text string, score int")
+    got = {(r.doc_id, r.predicted) for r in toxicity.toxicity(odd, model).collect()}
+    assert got == {(1, 0), (2, 0), (3, 1), (None, 0)}
+    assert {r.doc_id for r in toxicity.passages(odd, model).collect()} == {3}
+    kept = toxicity.keep_clean(odd, model)
+    assert kept.columns == odd.columns and kept.count() == 3
+    assert toxicity.toxicity(odd.limit(0), model).count() == 0
+    untrained = toxicity.train(docs, labels.limit(0))
+    assert toxicity.toxicity(odd, untrained).where("predicted = 1").count() == 0
