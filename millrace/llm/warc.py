@@ -149,6 +149,8 @@ def archive(records: Iterator[bytes], dictionary: bytes | None, level: int = LEV
 def read_archive(read: Callable[[int], bytes]) -> Iterator[bytes]:
     """The records of an archive, one for each frame; ``read(n)`` gives at most n bytes, none at the end."""
     data = read(FEED)
+    while len(data) < 8 and (more := read(FEED)):
+        data += more
     dictionary = None
     if len(data) >= 8 and struct.unpack("<I", data[:4])[0] == DICTIONARY_FRAME:
         size = struct.unpack("<I", data[4:8])[0]
@@ -162,8 +164,8 @@ def read_archive(read: Callable[[int], bytes]) -> Iterator[bytes]:
         dictionary = zstandard.ZstdCompressionDict(found)
     plain = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while data or (data := read(FEED)):
-        if len(data) < 4:
-            data += read(FEED)
+        while len(data) < 4 and (more := read(FEED)):
+            data += more
         if data[:4] != ZSTD_FRAME:
             raise WarcError(f"no frame begins here: {data[:4]!r}")
         frame, out = plain.decompressobj(), []

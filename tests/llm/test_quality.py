@@ -90,7 +90,8 @@ def test_likelihood_and_gradient():
 
 
 def test_odd_rows(spark):
-    long = " ".join(random.Random(1).choice(["alpha", f"x{i}", f"y{i}"]) for i in range(60_000))
+    rng = random.Random(1)
+    long = " ".join(rng.choice(["alpha", f"x{i}", f"y{i}"]) for i in range(60_000))
     same = "a b c d e\n" * 3
     rows = [(1, None, 0), (2, "", 0), (3, " \n\t\n", 0), (4, long, 0), (5, same, 0), (5, same, 0), (None, "# é *\n\n# é *", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept int")
