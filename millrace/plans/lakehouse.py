@@ -12,7 +12,7 @@ from millrace.plans.catalogue import query
 from millrace.plans.engine import Engine
 from millrace.sources.lakehouse import Table
 from millrace.sources.pruning import Filter
-from millrace.sources.tables import table
+from millrace.sources.tables import read, table, write
 from millrace.streaming.sink import write_table
 
 
@@ -109,6 +109,40 @@ def ctas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT * FROM lake.spent")
 
 
+@query("view_over_table", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus")
+def view_over_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, _ = _managed(spark, sf_dir, "orders")
+    engine.sql("CREATE VIEW lake.dear AS SELECT * FROM lake.orders WHERE o_totalprice > 100000")
+    engine.sql("CREATE VIEW lake.counted AS SELECT d.o_orderstatus, count(*) AS n FROM lake.dear d GROUP BY d.o_orderstatus")
+    return engine.sql("SELECT * FROM lake.counted")
+
+
+def _through(kind: str, select: str, schema: str | None, **options: str):
+    """Nations written in a format and read again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"file://{_engine(spark).catalog.root}/{kind}"
+        write(table(spark, sf_dir, "nation").selectExpr(*select.split("; ")), kind, path, **options)
+        return read(spark, kind, path, schema, **options)
+
+    return run
+
+
+_NATION = "n_nationkey INT, n_name STRING, n_regionkey INT"
+for _kind, _options in (("csv", {"header": "true"}), ("json", {}), ("orc", {}), ("parquet", {"compression": "zstd"})):
+    query(f"scan_{_kind}_files", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(_through(_kind, "n_nationkey; n_name; n_regionkey", _NATION, **_options))
+query("scan_text_files", "SELECT n_name AS value FROM nation")(_through("text", "n_name", None))
+
+
+@query("scan_binary_files", "SELECT CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM nation")
+def scan_binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"file://{_engine(spark).catalog.root}/raw"
+    write(table(spark, sf_dir, "nation").select("n_name").repartition(3), "text", path)
+    files = read(spark, "binaryFile", path, pathGlobFilter="part-*")
+    lines = F.size(F.split(F.decode("content", F.lit("UTF-8")), "\n")) - 1
+    return files.agg(F.sum("length").alias("bytes"), F.sum(lines).cast("long").alias("lines"))
+
+
 @query("time_travel", "SELECT 'now' AS at, count(*) AS n FROM region WHERE r_regionkey > 2 UNION ALL SELECT 'before', count(*) FROM region")
 def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine, _ = _managed(spark, sf_dir, "region")
