@@ -139,7 +139,7 @@ def scan_binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"file://{_engine(spark).catalog.root}/raw"
     write(table(spark, sf_dir, "nation").select("n_name").repartition(3), "text", path)
     files = read(spark, "binaryFile", path, pathGlobFilter="part-*")
-    lines = F.size(F.split(F.decode("content", F.lit("UTF-8")), "\n")) - 1
+    lines = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1
     return files.agg(F.sum("length").alias("bytes"), F.sum(lines).cast("long").alias("lines"))
 
 
