@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def register_sql_functions(spark: SparkSession) -> None:
@@ -12,7 +13,7 @@ def register_sql_functions(spark: SparkSession) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION day_span(first DATE, days INT) RETURNS TABLE(day DATE) RETURN SELECT explode(sequence(first, date_add(first, days - 1)))")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def clipped(values, low, high):
     """Values held within bounds, a batch at a time."""
     return values.clip(lower=low, upper=high)

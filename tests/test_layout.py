@@ -1,5 +1,6 @@
 """The optional subpackage can go: nothing else needs it."""
 
+import re
 import shutil
 import subprocess
 import sys
@@ -11,7 +12,7 @@ ROOT = Path(__file__).resolve().parent.parent
 def test_nothing_else_imports_the_optional_subpackage():
     for path in (ROOT / "millrace").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
-            assert "llm" not in path.read_text(), path
+            assert not re.search(r"\bllm\b", path.read_text()), path
 
 
 def test_the_entry_works_without_it(tmp_path):
