@@ -1,6 +1,7 @@
 """BPE encoding and decoding, equal to the tokenizers library for texts of any length.
 
-Short texts go to the library as they are.  A long text is first cut where no token can cross: at a
+Short texts go to the library as they are, or, if they are in Latin-1, to an encoder over the same
+merges as ranks, which gives the same tokens in a quarter of the time.  A long text is first cut where no token can cross: at a
 space between two characters that aren't white space.  A stretch without such a place ("unsplit")
 is split into the tokenizer's own pre-tokens, and a pre-token longer than a leaf is encoded as a
 tree: both halves apart (the leaves in one parallel batch), then joined.
@@ -15,12 +16,14 @@ otherwise the window doubles on the side that differs.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,7 +31,11 @@ from tokenizers import Tokenizer
 from millrace.llm.common import record_batch
 
 #: Parameters: texts over LONG characters are cut; pre-tokens over LEAF bytes are encoded as trees.
-LONG, LEAF, FIRST_WINDOW, STEP_CHARS = 1 << 16, 1 << 12, 4, 1 << 19
+#: Words over RANKED_WORD characters aren't left to the ranked encoder, whose time grows with their square.
+LONG, LEAF, FIRST_WINDOW, STEP_CHARS, RANKED_WORD = 1 << 16, 1 << 12, 4, 1 << 19, 400
+#: Fixed value: how byte-level pre-tokenizers split text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SPACES = re.compile(rf"\s{{{RANKED_WORD},}}")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -48,12 +55,42 @@ class Bpe:
         self.tokens = [self.library.id_to_token(i) or "" for i in range(size)]
         self.bytes = [t.encode() if t in self.specials else bytes(alphabet[c] for c in t) for t in self.tokens]
         self.decimal = [str(i) for i in range(size)]
+        self.ranked = self._ranked(path)
+
+    def _ranked(self, path: str) -> tiktoken.Encoding | None:
+        """The same merges as ranks, several times faster; None if the file says more than that."""
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        model, split = said["model"], said["pre_tokenizer"] or {}
+        plain = not said["normalizer"] and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+        if not plain or model.get("type") != "BPE" or any(model.get(k) for k in options):
+            return None
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        made = [model["vocab"].get("".join(m)) for m in pairs]
+        if None in made or any(a >= b for a, b in zip(made, made[1:])):
+            return None
+        ranks = {self.bytes[i]: i for t, i in model["vocab"].items() if t not in self.specials}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _suits_ranked(self, text: str) -> bool:
+        """Texts in Latin-1, whose characters have the same classes in every version of Unicode, without special tokens."""
+        if self.ranked is None or any(s in text for s in self.specials):
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return max(map(len, text.split()), default=0) <= RANKED_WORD and not _SPACES.search(text)
 
     # -- encoding
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(texts)
-        short = [i for i, t in enumerate(texts) if len(t) <= self.long]
+        for i, t in enumerate(texts):
+            if len(t) <= self.long and self._suits_ranked(t):
+                out[i] = self.ranked.encode_ordinary(t)
+        short = [i for i, t in enumerate(texts) if out[i] is None and len(t) <= self.long]
         for i, found in zip(short, self._library([texts[i] for i in short])):
             out[i] = found
         return [self.encode_long(t) if ids is None else ids for t, ids in zip(texts, out)]

@@ -40,6 +40,19 @@ def test_long_texts_equal_the_library(library, long, leaf):
         assert own.decode(want) == library.decode(want, skip_special_tokens=False) == text
 
 
+def test_ranked_encoder_equals_the_library(library):
+    own = bpe.Bpe(PATH)
+    rng = random.Random(12)
+    latin = [chr(i) for i in range(256)]
+    texts = [a + b for a in latin for b in latin] + ["".join(rng.choices(latin, k=200)) for _ in range(300)]
+    texts += ["".join(rng.choices("ab 'stl\n\t\x1c\x85\xa01é²ª", k=300)) for _ in range(300)]
+    texts += [" ".join("".join(rng.choices("etaoinshrdluäöüß", k=rng.randint(1, 14))) for _ in range(300)) for _ in range(60)]
+    assert all(map(own._suits_ranked, texts))
+    assert own.encode_batch(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for other in ("漢字", "x" * 500, " " * 500, f"a {SPECIAL}"):
+        assert not own._suits_ranked(other)
+
+
 def test_joins_grow_their_windows(library):
     own = bpe.Bpe(PATH)
     rng = random.Random(8)
