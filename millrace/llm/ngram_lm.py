@@ -4,8 +4,8 @@ Words become numbers: the vocabulary is a sorted array of word hashes, in shards
 bits, and a word's number is its place in it.  Workers count the n-grams of their rows as packed
 arrays of numbers, dealt by the hash of the context, and one pass over the deals of an order
 
-* adds up the counts and writes them as arrays sorted by context and word, with the totals of each
-  context (its count, and how many words follow it once, twice, and more often),
+* adds up the counts and writes them as arrays sorted by context hash and word, with the totals of
+  each context that several words follow (its count, and how many of them follow once and twice),
 * hands on every distinct n-gram once, as a left extension of its suffix: the next lower order
   counts extensions instead of occurrences.
 
@@ -19,9 +19,12 @@ Counts take a byte, those of 255 and more stand in a side array.  No n-gram is d
 
 from __future__ import annotations
 
+import gc
 import json
+import time
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +56,7 @@ def pack_arrays(**arrays: np.ndarray) -> Iterator[bytes]:
 
 
 def map_arrays(shared: Shared, name: str) -> dict[str, np.ndarray]:
-    raw = shared.map(name)
+    raw = shared.map(name).view(np.ndarray)  # a view of the map, without its slower indexing
     n = int(raw[:8].view(np.uint64)[0])
     head = json.loads(raw[8 : 8 + n].tobytes())
     return {k: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for k, (at, kind, size) in head.items()}
@@ -99,19 +102,57 @@ def unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out[:, :order], out[:, order]
 
 
+def sorted_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts by the columns, and which rows of it differ from the one before.
+
+    Two columns at a time become one number: the rank of what is sorted so far, and the next column.
+    """
+    n = len(columns[0])
+    key = columns[0].astype(np.uint64)
+    if len(columns) == 1 or n < 2:
+        order = np.argsort(key)
+        key = key[order]
+        return order, np.concatenate([np.ones(min(n, 1), bool), key[1:] != key[:-1]])
+    if max(int(c.max()) for c in columns[1:]) >= 1 << 32:
+        order = np.lexsort(columns[::-1])
+        new = np.zeros(n, bool)
+        for c in columns:
+            new[1:] |= c[order][1:] != c[order][:-1]
+        new[0] = True
+        return order, new
+    rest = columns[1:]
+    if int(key.max()) < 1 << 32:
+        key, rest = key << np.uint64(32) | rest[0].astype(np.uint64), rest[1:]
+    while True:
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        if not rest:
+            return order, new
+        key[order] = np.cumsum(new).astype(np.uint64)  # ranks, back in the rows' own order
+        key, rest = key << np.uint64(32) | rest[0].astype(np.uint64), rest[1:]
+
+
 def add_up(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal rows added up, sorted."""
     if not len(grams):
         return grams, counts
-    order = np.lexsort(grams.T[::-1])
-    grams, counts = grams[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]).any(axis=1)]))
-    return grams[first], np.add.reduceat(counts, first)
+    order, new = sorted_rows(list(grams.T))
+    first = np.flatnonzero(new)
+    return grams[order[first]], np.add.reduceat(counts[order], first)
 
 
 # -- vocabulary -----------------------------------------------------------------------------
 
 
+class Numbering(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Vocabulary:
     """Word hashes to numbers; -1 for words that training hasn't seen."""
 
@@ -119,7 +160,7 @@ class Vocabulary:
         self.shared, self.bits, self.starts = shared, bits, np.array(starts, dtype=np.int64)
         self.size = int(starts[-1])
         self._shards: dict[int, dict[str, np.ndarray]] = {}
-        self._words: dict[bytes, int] = {}
+        self._words = Numbering()
         self._numbers = np.zeros(0, np.int64)
 
     def shard(self, i: int) -> dict[str, np.ndarray]:
@@ -145,23 +186,24 @@ class Vocabulary:
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         """Training occurrences by number; 0 for anything that is no number."""
         out = np.zeros(len(numbers), dtype=np.int64)
-        shards = np.searchsorted(self.starts, numbers, side="right") - 1
-        known = (numbers >= 0) & (numbers < self.size)
-        for i in np.unique(shards[known]):
-            of = np.flatnonzero(known & (shards == i))
+        known = np.flatnonzero((numbers >= 0) & (numbers < self.size))
+        known = known[np.argsort(numbers[known])]
+        shards = np.searchsorted(self.starts, numbers[known], side="right") - 1
+        cuts = np.flatnonzero(np.diff(shards, prepend=-1))
+        for a, z in zip(cuts, [*cuts[1:], len(known)]):
+            of, i = known[a:z], shards[a]
             out[of] = widen(self.shard(int(i)), "count", numbers[of] - self.starts[i])
         return out
 
     def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
         """The words of all texts, one after the other, as numbers."""
         if len(self._words) > CACHE:
-            self._words, self._numbers = {}, np.zeros(0, np.int64)
+            self._words, self._numbers = Numbering(), np.zeros(0, np.int64)
         known, before = self._words, len(self._words)
-        place = known.setdefault
         n = sum(map(len, texts))
-        local = np.fromiter((place(w, len(known)) for t in texts for w in t), dtype=np.int64, count=n)
+        local = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=n)
         if len(known) > before:
-            new = list(known)[before:] if before == 0 else [w for w, _ in zip(reversed(known), range(len(known) - before))][::-1]
+            new = list(islice(known, before, None))
             self._numbers = np.concatenate([self._numbers, self.find(hash_bytes(new, len(new)))])
         return self._numbers[local] if n else local
 
@@ -234,6 +276,7 @@ def build_vocabulary(docs: DataFrame, shared: Shared) -> tuple[Vocabulary, int,
         sizes[r.shard] = r.size
     starts = [0, *np.cumsum(sizes).tolist()]
     shared.remove("counted")
+    free_shuffles(docs.sparkSession)
     return Vocabulary(shared, bits, starts), int(total), starts
 
 
@@ -241,10 +284,22 @@ def build_vocabulary(docs: DataFrame, shared: Shared) -> tuple[Vocabulary, int,
 
 
 class Deal:
-    """Which shard holds a context and a following word: ``shards`` shards, ``hot`` occurrences make a context hot."""
+    """Which shard holds a context and a following word.
+
+    Shards go by the highest bits of the context's hash.  A context whose words all occur ``hot``
+    times or more may be very common: it is spread over as many shards as its rarest word fills.
+    """
 
     def __init__(self, vocabulary: Vocabulary, shards: int, hot: int):
         self.vocabulary, self.shards, self.hot = vocabulary, shards, hot
+        self._common: tuple[np.ndarray, np.ndarray] | None = None
+
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words that occur ``hot`` times or more (at most tokens / hot of them), and how often."""
+        if self._common is None:
+            found = map_arrays(self.vocabulary.shared, "common")
+            self._common = found["word"], found["count"]
+        return self._common
 
     def context(self, grams: np.ndarray) -> np.ndarray:
         """A hash of all columns."""
@@ -254,26 +309,46 @@ class Deal:
         return h
 
     def parts(self, contexts: np.ndarray) -> np.ndarray:
-        """Over how many shards a context is spread: as its rarest word is common."""
-        least = None
+        """Over how many shards a context is spread."""
+        words, counts = self.common()
+        out = np.ones(len(contexts), dtype=np.int64)
+        rows = np.arange(len(contexts))
+        least = np.full(len(contexts), 8 * self.hot, dtype=np.int64)  # for contexts of the mark before a text alone
+        real = np.zeros(len(contexts), dtype=bool)
         for c in contexts.T:
-            unique, inverse = np.unique(c, return_inverse=True)
-            n = self.vocabulary.counts(unique)
-            n[unique >= self.vocabulary.size] = 1 << 62  # the mark before a text
-            n = n[inverse]
-            least = n if least is None else np.minimum(least, n)
-        least = np.where(least >= 1 << 62, self.hot * 8, least)
-        return np.maximum(1, least // self.hot)
+            c = c[rows]
+            start = c == self.vocabulary.size
+            at = np.minimum(np.searchsorted(words, c), max(0, len(words) - 1))
+            found = (words[at] == c) if len(words) else np.zeros(len(c), bool)
+            keep = found | start
+            if found.any():
+                n = counts[at]
+                least[rows] = np.where(found, np.where(real[rows], np.minimum(least[rows], n), n), least[rows])
+                real[rows] |= found
+            rows = rows[keep]
+        out[rows] = np.maximum(1, least[rows] // self.hot)
+        return out
+
+    def part(self, parts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Which of a context's parts holds the following word."""
+        out = np.zeros(len(parts), dtype=np.int64)
+        spread = np.flatnonzero(parts > 1)
+        out[spread] = (mix(words[spread].astype(np.uint64), 7) % parts[spread].astype(np.uint64)).astype(np.int64)
+        return out
 
-    def shard(self, hashes: np.ndarray, part: np.ndarray) -> np.ndarray:
-        return ((hashes + part.astype(np.uint64) * _SALT) % np.uint64(self.shards)).astype(np.int64)
+    def shard(self, hashes: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+        spread = hashes + np.asarray(part).astype(np.uint64) * _SALT
+        return ((spread >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
 
     def of(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Context hashes, and shards, of n-grams."""
         hashes = self.context(grams[:, :-1])
-        parts = self.parts(grams[:, :-1])
-        part = (mix(grams[:, -1].astype(np.uint64), 7) % parts.astype(np.uint64)).astype(np.int64)
-        return hashes, self.shard(hashes, part)
+        return hashes, self.shard(hashes, self.part(self.parts(grams[:, :-1]), grams[:, -1]))
+
+
+def by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
+    """A stable order; sixteen bits sort in linear time."""
+    return np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
 
 
 _DEALT = "shard int, grams binary"
@@ -283,7 +358,7 @@ _DEALT_ARROW = pa.schema([("shard", pa.int32()), ("grams", pa.binary())])
 def _deals(deal: Deal, grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Distinct sorted n-grams, packed by shard."""
     _, shard = deal.of(grams)
-    order = np.argsort(shard, kind="stable")
+    order = by_shard(shard, deal.shards)
     cuts = np.searchsorted(shard[order], np.arange(deal.shards + 1))
     for i in np.flatnonzero(np.diff(cuts)):
         rows = order[cuts[i] : cuts[i + 1]]
@@ -292,7 +367,7 @@ def _deals(deal: Deal, grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.Rec
 
 def windows(numbers: np.ndarray, lengths: np.ndarray, order: int, before: int) -> np.ndarray:
     """The n-gram that ends at each token; ``before`` stands in front of every text."""
-    out = np.full((len(numbers), order), before, dtype=np.int64)
+    out = np.full((len(numbers), order), before, dtype=np.int64, order="F")  # scoring goes by columns
     within = np.arange(len(numbers)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out[:, -1] = numbers
     for k in range(1, order):
@@ -311,14 +386,15 @@ def count_grams(docs: DataFrame, deal: Deal, order: int, most: int = SHARD) -> D
                 words = _words_of(texts[a:z])
                 numbers = deal.vocabulary.numbers(words)
                 lengths = np.array([len(w) for w in words])
-                held.append(windows(numbers, lengths, order, deal.vocabulary.size).astype(np.int32 if deal.vocabulary.size < 1 << 31 else np.int64))
+                held.append(windows(numbers, lengths, order, deal.vocabulary.size).astype(np.int32 if deal.vocabulary.size < 1 << 31 else np.int64, order="C"))
                 size += len(numbers)
                 if size >= 2 * most:
-                    grams = np.concatenate(held).astype(np.int64)
+                    grams = np.concatenate(held)
                     held, size = [], 0
                     yield from _deals(deal, *add_up(grams, np.ones(len(grams), np.int64)))
         if held:
-            grams = np.concatenate(held).astype(np.int64)
+            grams = np.concatenate(held)
+            held.clear()
             yield from _deals(deal, *add_up(grams, np.ones(len(grams), np.int64)))
 
     return docs.mapInArrow(run, _DEALT)
@@ -333,21 +409,28 @@ def write_order(dealt: DataFrame, deal: Deal, shared: Shared, order: int, partit
 
     def finish(shard: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
         found = [unpack_grams(p) for p in packed]
-        grams, counts = add_up(np.concatenate([g for g, _ in found]), np.concatenate([c for _, c in found]))
+        grams, counts = np.concatenate([g for g, _ in found]), np.concatenate([c for _, c in found])
         del found
-        if order > 1:
+        if order == 1:
+            grams, counts = add_up(grams, counts)
+        else:
             hashes = deal.context(grams[:, :-1])
-            by = np.lexsort((grams[:, -1], hashes))
-            grams, counts, hashes = grams[by], counts[by], hashes[by]
+            by, new = sorted_rows([hashes, grams[:, -1]])
+            first = np.flatnonzero(new)
+            counts = np.add.reduceat(counts[by], first)
+            grams, hashes = grams[by[first]], hashes[by[first]]
             first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            once, twice, more = (np.add.reduceat(x.astype(np.int64), first) for x in (counts == 1, counts == 2, counts > 2))
-            totals = np.add.reduceat(counts, first)
+            lengths = np.diff(np.append(first, len(hashes)))
             wide = np.uint32 if deal.vocabulary.size < 1 << 32 else np.uint64
-            arrays = {"key": hashes[first], "first": np.append(first, len(hashes)).astype(np.uint32), "word": grams[:, -1].astype(wide)}
-            for name, x in (("count", counts), ("total", totals), ("once", once), ("twice", twice), ("more", more)):
-                arrays |= narrow(name, x)
+            # A context that one word alone follows needs no totals.
+            alone, many = first[lengths == 1], first[lengths > 1]
+            inside = np.repeat(lengths > 1, lengths)
+            arrays = {"lone": hashes[alone], "lone_word": grams[alone, -1].astype(wide), **narrow("lone_count", counts[alone])}
+            arrays |= {"key": hashes[many], "first": np.append(0, np.cumsum(lengths[lengths > 1])).astype(np.uint32), "word": grams[inside, -1].astype(wide), **narrow("count", counts[inside])}
+            for name, x in (("total", counts), ("once", counts == 1), ("twice", counts == 2)):
+                arrays |= narrow(name, np.add.reduceat(x.astype(np.int64), first)[lengths > 1])
             shared.write(f"order{order}-{shard:06d}", pack_arrays(**arrays))
-        else:
+        if order == 1:
             dense = np.zeros(base, dtype=np.int64)
             dense[grams[:, 0] - shard * base] = counts
             shared.write(f"order1-{shard:06d}", pack_arrays(**narrow("count", dense)))
@@ -387,6 +470,14 @@ def discounts(seen: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer held."""
+    for _ in range(2):  # the first lets go of Python's handles, the second of what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def train(docs: DataFrame, shared: Shared, order: int = ORDER, shard: int = SHARD) -> dict:
     """Learns from ``docs(doc_id, t)`` and writes the model; returns its description."""
     if order < 2:
@@ -394,6 +485,9 @@ def train(docs: DataFrame, shared: Shared, order: int = ORDER, shard: int = SHAR
     vocabulary, tokens, starts = build_vocabulary(docs, shared)
     shards = max(1, -(-tokens // shard))
     deal = Deal(vocabulary, shards, max(1000, shard // 4))
+    found = [(map_arrays(shared, f"words-{i:06d}"), starts[i]) for i in range(len(starts) - 1) if starts[i] < starts[i + 1]]
+    common = [(start + int(f["count_at"][k]), int(f["count_is"][k])) for f, start in found for k in np.flatnonzero(f["count_is"] >= deal.hot)]
+    shared.write("common", pack_arrays(word=np.array([w for w, _ in common], np.int64), count=np.array([c for _, c in common], np.int64)))
     about = {"root": shared.root, "order": order, "tokens": tokens, "vocabulary": vocabulary.size, "bits": vocabulary.bits, "starts": starts, "shards": shards, "hot": deal.hot}
     if tokens:
         partitions = max(1, min(shards, 8192))
@@ -401,6 +495,7 @@ def train(docs: DataFrame, shared: Shared, order: int = ORDER, shard: int = SHAR
         for k in range(order, 0, -1):
             dealt = write_order(dealt, deal, shared, k, partitions)
             dealt = shared.table(dealt, f"dealt-{k - 1}")
+            free_shuffles(docs.sparkSession)
             if k < order:
                 shared.remove(f"dealt-{k}")
         shared.remove("dealt-0")
@@ -440,10 +535,12 @@ class Model:
         d1, d2, d3 = about["discounts1"]
         n = np.zeros(len(words), dtype=np.int64)
         known = np.flatnonzero(words >= 0)
+        known = known[np.argsort(words[known])]
         shard = words[known] // self.base
-        for i in np.unique(shard):
-            at = known[shard == i]
-            if (f := self.file(1, int(i))) is not None:
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+        for a, z in zip(cuts, [*cuts[1:], len(known)]):
+            at, i = known[a:z], int(shard[a])
+            if (f := self.file(1, i)) is not None:
                 n[at] = widen(f, "count", words[at] - i * self.base)
         once, twice, _ = about["once1"]
         mass = d1 * once + d2 * twice + d3 * (about["types"] - once - twice)
@@ -451,79 +548,111 @@ class Model:
         total = about["sum1"]
         return (n - taken) / total + mass / total / (about["types"] + 1)
 
-    def totals(self, order: int, contexts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """[contexts, 4]: count, and words that follow once, twice, more often; hot contexts over all their shards."""
+    def totals(self, order: int, parts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """[contexts, 4]: count, and words that follow once, twice, more often; ``hashes`` sorted.
+
+        A context that is spread is added up over its shards.
+        """
         out = np.zeros((len(hashes), 4), dtype=np.int64)
-        parts = self.deal.parts(contexts)
+        of = np.arange(len(hashes))
+        shards: list[np.ndarray] = []
         for p in range(int(parts.max(initial=0))):
-            of = np.flatnonzero(parts > p)
-            if p >= 1:  # a spread context may have fallen on the same shard before
-                again = np.zeros(len(of), dtype=bool)
-                mine = self.deal.shard(hashes[of], np.full(len(of), p))
-                for q in range(p):
-                    again |= self.deal.shard(hashes[of], np.full(len(of), q)) == mine
-                of = of[~again]
-            shard = self.deal.shard(hashes[of], np.full(len(of), p))
-            for i in np.unique(shard):
-                if (f := self.file(order, int(i))) is None:
+            more = parts[of] > p
+            of, shards = of[more], [x[more] for x in shards]
+            shard = self.deal.shard(hashes[of], p)
+            again = np.zeros(len(of), dtype=bool)  # two parts of a context may have come to one shard
+            for earlier in shards:
+                again |= earlier == shard
+            shards.append(shard)
+            rows = np.flatnonzero(~again)
+            rows = rows[by_shard(shard[rows], self.deal.shards)]
+            cuts = np.flatnonzero(np.diff(shard[rows], prepend=-1))
+            for a, z in zip(cuts, [*cuts[1:], len(rows)]):
+                if (f := self.file(order, int(shard[rows[a]]))) is None:
                     continue
-                rows = of[shard == i]
-                at = np.searchsorted(f["key"], hashes[rows])
-                at[at == len(f["key"])] = 0
-                hit = f["key"][at] == hashes[rows]
-                for k, name in enumerate(("total", "once", "twice", "more")):
-                    out[rows[hit], k] += widen(f, name, at[hit])
+                mine = of[rows[a:z]]
+                h = hashes[mine]
+                at = np.searchsorted(f["lone"], h)
+                hit = np.flatnonzero(_found(f["lone"], at, h))
+                n = widen(f, "lone_count", at[hit])
+                out[mine[hit], 0] += n
+                out[mine[hit], np.minimum(n, 3)] += 1
+                at = np.searchsorted(f["key"], h)
+                hit = np.flatnonzero(_found(f["key"], at, h))
+                at, mine = at[hit], mine[hit]
+                once, twice = widen(f, "once", at), widen(f, "twice", at)
+                out[mine, 0] += widen(f, "total", at)
+                out[mine, 1] += once
+                out[mine, 2] += twice
+                out[mine, 3] += f["first"][at + 1].astype(np.int64) - f["first"][at] - once - twice
         return out
 
-    def counts(self, order: int, grams: np.ndarray) -> np.ndarray:
-        """The counts of distinct n-grams, 0 where training has none."""
-        out = np.zeros(len(grams), dtype=np.int64)
-        hashes, shard = self.deal.of(grams)
-        by = np.lexsort((hashes, shard))
-        cuts = np.searchsorted(shard[by], np.unique(shard))
+    def counts(self, order: int, parts: np.ndarray, hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The counts of n-grams, 0 where training has none; rows sorted by ``hashes`` of their contexts."""
+        out = np.zeros(len(hashes), dtype=np.int64)
+        shard = self.deal.shard(hashes, self.deal.part(parts, last))
+        by = by_shard(shard, self.deal.shards)
+        cuts = np.flatnonzero(np.diff(shard[by], prepend=-1))
         for a, z in zip(cuts, [*cuts[1:], len(by)]):
             rows = by[a:z]
             if (f := self.file(order, int(shard[rows[0]]))) is None:
                 continue
-            at = np.searchsorted(f["key"], hashes[rows])
-            at[at == len(f["key"])] = 0
-            hit = f["key"][at] == hashes[rows]
+            h = hashes[rows]
+            at = np.searchsorted(f["lone"], h)
+            hit = np.flatnonzero(_found(f["lone"], at, h))
+            hit = hit[f["lone_word"][at[hit]] == last[rows[hit]]]
+            out[rows[hit]] = widen(f, "lone_count", at[hit])
+            at = np.searchsorted(f["key"], h)
+            hit = np.flatnonzero(_found(f["key"], at, h))
             rows, at = rows[hit], at[hit]
             low, end = f["first"][at].astype(np.int64), f["first"][at + 1].astype(np.int64)
-            high, word = end.copy(), grams[rows, -1]
-            while len(open_ := np.flatnonzero(low < high)):  # all rows search their context's words at once
-                mid = (low[open_] + high[open_]) // 2
-                less = f["word"][mid].astype(np.int64) < word[open_]
-                low[open_] = np.where(less, mid + 1, low[open_])
-                high[open_] = np.where(less, high[open_], mid)
-            found = np.flatnonzero(low < end)
-            found = found[f["word"][low[found]].astype(np.int64) == word[found]]
-            out[rows[found]] = widen(f, "count", low[found])
+            high, word, words = end.copy(), last[rows].astype(f["word"].dtype), f["word"]
+            open_ = np.arange(len(rows))
+            while len(open_):  # all rows search their context's words at once
+                a_, z_ = low[open_], high[open_]
+                mid = (a_ + z_) >> 1
+                less = words[mid] < word[open_]
+                a_, z_ = np.where(less, mid + 1, a_), np.where(less, z_, mid)
+                low[open_], high[open_] = a_, z_
+                open_ = open_[a_ < z_]
+            hit = np.flatnonzero(low < end)
+            hit = hit[words[low[hit]] == word[hit]]
+            out[rows[hit]] = widen(f, "count", low[hit])
         return out
 
-    def probabilities(self, grams: np.ndarray) -> np.ndarray:
-        """The model's probability of the last word of each row, given the others."""
-        p = self.unigram(grams[:, -1])
+    def probabilities(self, grams: np.ndarray, lowest: np.ndarray | None = None) -> np.ndarray:
+        """The model's probability of the last word of each row, given the others; ``lowest``: without them."""
+        p = self.unigram(grams[:, -1]) if lowest is None else lowest
         for k in range(2, self.order + 1):
             part = grams[:, -k:]
-            context_hash = self.deal.context(part[:, :-1])
-            unique, at, inverse = np.unique(context_hash, return_index=True, return_inverse=True)
-            t = self.totals(k, part[at, :-1], unique)[inverse]
-            has = np.flatnonzero(t[:, 0] > 0)
+            hashes = self.deal.context(part[:, :-1])
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            new = np.concatenate([np.ones(min(1, len(order)), bool), hashes[1:] != hashes[:-1]])
+            d = np.array([0.0, *self.about[f"discounts{k}"]])
+            parts = self.deal.parts(part[order[new], :-1])
+            t = self.totals(k, parts, hashes[new]).astype(np.float64)
+            of = np.cumsum(new) - 1
+            has = np.flatnonzero((t[:, 0] > 0)[of])
             if not len(has):
                 break
-            known = has[part[has, -1] >= 0]
-            key = mix(context_hash[known], part[known, -1].astype(np.uint64))
-            _, first, back = np.unique(key, return_index=True, return_inverse=True)
-            n = np.zeros(len(grams), dtype=np.int64)
-            if len(known):
-                n[known] = self.counts(k, part[known[first]])[back]
-            d = np.array([0.0, *self.about[f"discounts{k}"]])
-            left = t[has, 1] * d[1] + t[has, 2] * d[2] + t[has, 3] * d[3]
-            p[has] = (n[has] - d[np.minimum(n[has], 3)] + left * p[has]) / t[has, 0]
+            rows, hashes, of = order[has], hashes[has], of[has]
+            total, left = t[:, 0][of], (t[:, 1:] @ d[1:])[of]
+            n = np.zeros(len(rows), dtype=np.int64)
+            last = grams[rows, -1]
+            known = np.flatnonzero(last >= 0)
+            n[known] = self.counts(k, parts[of[known]], hashes[known], last[known])
+            p[rows] = (n - d[np.minimum(n, 3)] + left * p[rows]) / total
         return p
 
 
+def _found(keys: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether searchsorted has met the key itself."""
+    if not len(keys):
+        return np.zeros(len(at), dtype=bool)
+    return keys[np.minimum(at, len(keys) - 1)] == wanted
+
+
 @lru_cache(maxsize=2)
 def _open(about: str) -> Model:
     return Model(json.loads(about))
@@ -551,7 +680,11 @@ def score(docs: DataFrame, about: dict) -> DataFrame:
                 unique, inverse = np.unique(numbers, return_inverse=True)
                 c = model.vocabulary.counts(unique)[inverse]
                 base = np.log10((c + 0.5) / total)
-                p = np.log10(model.probabilities(windows(numbers, lengths, model.order, model.vocabulary.size))) if about["tokens"] else np.zeros(len(c))
+                if about["tokens"]:
+                    p = model.probabilities(windows(numbers, lengths, model.order, model.vocabulary.size), model.unigram(unique)[inverse])
+                    p = np.log10(p)
+                else:
+                    p = np.zeros(len(c))
                 sums = [np.add.reduceat(x, ends) for x in ((c > 0).astype(np.int64), base, p)]
                 yield record_batch(schema, b.column(0).slice(a, z - a), lengths, sums[0], np.full(z - a, about["tokens"]), sums[1], sums[2])
 
