@@ -32,6 +32,18 @@ def id_mod(col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string")) % n, F.lit(-1))
 
 
+def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``key``; the same for the same rows.
+
+    Only rows with a hash below a bound leave their tasks, a few more than are wanted of all rows
+    together: otherwise every task would send the driver as many as are wanted.
+    """
+    n = rows.count()
+    share = F.shiftrightunsigned(F.xxhash64(key), 11) * 2.0**-53
+    few = rows.where(share < min(1.0, (1.2 * most + 64) / max(n, 1)))
+    return few.orderBy(share, key).limit(most)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

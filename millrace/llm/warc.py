@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Shared, as_bytes, record_batch
+from millrace.llm.common import Shared, as_bytes, hashed_sample, record_batch
 
 #: Parameters.  The dictionary is fitted on SAMPLE pages at most, SAMPLE_BYTES of each.
 LEVEL, DICTIONARY, SAMPLE, SAMPLE_BYTES, SALTS, FEED = 3, 32 << 10, 400, 16 << 10, 16, 1 << 16
@@ -185,7 +185,7 @@ def read_archive(read: Callable[[int], bytes]) -> Iterator[bytes]:
 def fit_dictionary(pages: DataFrame, id_col: str, html_col: str, size: int = DICTIONARY) -> bytes | None:
     """A dictionary from a bounded sample drawn by a hash of the id; None if there is too little to learn."""
     rows = pages.select(F.col(id_col).alias("i"), F.substring(F.coalesce(html_col, F.lit("")), 1, SAMPLE_BYTES).alias("t"))
-    samples = [make_record(r.i, None, r.t.encode(), None) for r in rows.orderBy(F.xxhash64("i"), "i").limit(SAMPLE).collect()]
+    samples = [make_record(r.i, None, r.t.encode(), None) for r in hashed_sample(rows, "i", SAMPLE).collect()]
     if sum(map(len, samples)) < 8 * size or len(samples) < 20:
         return None
     try:
