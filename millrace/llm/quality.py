@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import as_bytes, mix, record_batch, steps
+from millrace.llm.common import as_bytes, hashed_sample, mix, record_batch, steps
 
 #: Parameters.  ``SAMPLE`` documents of each label at most, ``LINES`` lines of each, are fitted.
 MIN_WORDS, WINDOW, REPEAT_SHARE, CONTENT_SHARE = 10, 5, 20, 0.5
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids: dict[int, int] = {}
     for quality in (0, 1):
         picked = labels.where((F.col(label_col) == quality) & F.col(id_col).isNotNull()).select(id_col).distinct()
-        for r in picked.orderBy(F.xxhash64(id_col), id_col).limit(sample).collect():
+        for r in hashed_sample(picked, id_col, sample).collect():
             ids[r[0]] = 1 - quality
     if not ids:
         return Crf.indifferent()
