@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Shared, as_bytes, id_mod, record_batch
+from millrace.llm.common import Shared, as_bytes, hashed_sample, id_mod, record_batch
 
 #: Parameters.  At most SAMPLE labelled texts of each class are fitted.
 SAMPLE, Z, NEUTRAL, EXPECT, THRESHOLD = 4000, 3.09, 0.3, 0.05, 0.7
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids: dict[int, int] = {}
     for toxic in (0, 1):
         picked = labels.where((F.col(label_col) == toxic) & F.col(id_col).isNotNull() & (id_mod(id_col, 3) != 1)).select(id_col).distinct()
-        ids.update((r[0], toxic) for r in picked.orderBy(F.xxhash64(id_col), id_col).limit(sample).collect())
+        ids.update((r[0], toxic) for r in hashed_sample(picked, id_col, sample).collect())
     if len(set(ids.values())) < 2:
         return Model()
     shared = Shared.create(spark, "toxicity")
