@@ -22,7 +22,7 @@ def same(name: str, text: str, oracle: str | None = None) -> None:
 @query(
     "flagship_revenue",
     """
-SELECT n_name, o_orderpriority, count(*) AS n_lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+SELECT n_name, o_orderpriority, count(*) AS n_lines, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'
 GROUP BY n_name, o_orderpriority
@@ -32,9 +32,9 @@ def flagship_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '1996-01-01' AND l_shipdate < TIMESTAMP_NTZ '1998-01-01'")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customers = sized_join(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    revenue = F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double")  # exact in any order
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers.select("c_custkey", "n_name"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n_lines"), F.round(revenue, 2).alias("revenue"))
+    return joined.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n_lines"), revenue.alias("revenue"))
 
 
 same("scan_parquet", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
