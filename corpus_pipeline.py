@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, mixing, quality, simhash, toxicity
+from millrace.llm import bpe, jaccard, mixing, quality, toxicity
 from millrace.llm.common import Shared, table
 
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of like fingerprints stays."""
-    return simhash.deduplicate(docs)
+    """One document of each component of near copies stays: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    return jaccard.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,72 @@
+import random
+
+import corpus_pipeline
+from millrace.llm import jaccard
+from millrace.llm.common import table
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def plain_kept(rows):
+    """rows: [(id, text)] -> smallest ids of the components, by brute force."""
+    found = [plain_shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(found):
+        for j, b in enumerate(found[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(least.values())
+
+
+def edited(seed=3, n=25):
+    """Texts with copies of which ever more words are replaced, on both sides of 0.8, and chains of them."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((4, 6, 40, 120, 300)))]
+        out.append(" ".join(words))
+        for k in range(5):
+            words = list(words)
+            for i in rng.sample(range(len(words)), min(k, len(words) // 20)):
+                words[i] = f"x{rng.randrange(5000)}"
+            out.append(" ".join(words).upper() if k == 2 else " ".join(words))
+    return [(i, t) for i, t in enumerate(out)]
+
+
+def test_stage_equals_brute_force(spark, sf):
+    rows = edited()
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    want = plain_kept(rows)
+    assert 25 <= len(want) < len(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == want
+    for block in (200, 1000):
+        assert sorted(r.doc_id for r in jaccard.deduplicate(docs, block=block).collect()) == want
+
+
+def test_stage_on_documents(spark, sf):
+    docs = table(spark, sf, "documents")
+    want = plain_kept([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == want
+
+
+def test_odd_rows(spark):
+    text = "one two three four five six seven eight"
+    rows = [(3, text, "en", "a", 1), (3, text, "en", "a", 1), (1, None, None, None, None), (2, "", "en", "a", 0), (9, " \n\t", None, "b", 2), (None, text, None, None, None), (None, "alone " * 9, None, None, None), (None, "alone " * 9, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS node", "2 AS id", "3 AS root")
+    kept = jaccard.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, None]
+    assert jaccard.deduplicate(docs.limit(0)).count() == 0
