@@ -54,6 +54,13 @@ def fn_hash_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, "SELECT doc_id, crc32(CAST(text AS BINARY)) AS c, xxhash64(text) AS x, hash(text) AS h, url_decode(url_encode(substring(text, 1, 40))) = substring(text, 1, 40) AS same FROM documents")
 
 
+same(
+    "fn_url_text",
+    "SELECT doc_id, url_encode(text) AS ue, url_decode(url_encode(text)) = text AS same FROM documents",
+    "SELECT doc_id, replace(replace(replace(url_encode(text), '%20', '+'), '%2A', '*'), '~', '%7E') AS ue, url_decode(url_encode(text)) = text AS same FROM documents",
+)
+
+
 _MATH = """SELECT event_id, abs(value - 50) AS ab, CAST(ceil(value) AS BIGINT) AS ce, CAST(floor(value) AS BIGINT) AS fl, round(value, 1) AS ro, CAST(sign(value - 50) AS DOUBLE) AS sg, round(sqrt(value), 9) AS sq,
   round(cbrt(value), 9) AS cb, round(exp(value / 100), 9) AS ex, round(ln(value + 1), 9) AS lnv, round(log2(value + 1), 9) AS l2, round(log10(value + 1), 9) AS l10, round(pow(value, 1.5), 6) AS pw,
   round(sin(value), 9) AS sn, round(cos(value), 9) AS cs, round(tan(value), 6) AS tn, round(asin(value / 1000), 9) AS asn, round(acos(value / 1000), 9) AS acs, round(atan(value), 9) AS atn, round(atan2(value, 2.0), 9) AS at2,

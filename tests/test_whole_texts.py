@@ -1,5 +1,7 @@
 """Queries over whole texts and vectors: nothing is cut before it is split, filtered or encoded."""
 
+from urllib.parse import quote_plus
+
 import pytest
 
 from millrace.plans import catalogue
@@ -21,3 +23,8 @@ def test_every_word(spark, folder):
 
 def test_every_component(spark, folder):
     assert sorted(map(tuple, catalogue.queries()["unnest_vector"](spark, folder).collect()), key=str) == [(1, 0.5), (2, None), (3, None)]
+
+
+def test_every_character(spark, folder):
+    rows = {r.doc_id: (r.ue, r.same) for r in catalogue.queries()["fn_url_text"](spark, folder).collect()}
+    assert rows == {1: (quote_plus(TEXT, safe="*").replace("~", "%7E"), True), 2: ("", True), 3: (None, None)}
