@@ -26,6 +26,8 @@ from millrace.llm.common import Shared
 
 #: Parameters.  SAMPLE vectors at most fit the centroids, PROBES queries at most measure the walk.
 K, SAMPLE, PROBES, AIM, CHUNK, RECALL, MOST_CENTROIDS = 5, 8192, 128, 1024, 8192, 0.96, 1024
+#: Cosines by matrix product and by the fixed order of sums differ by less.
+TIE = 1e-9
 
 
 @dataclass
@@ -224,12 +226,14 @@ def search(vectors: DataFrame, every: int, k: int = K, recall: float = RECALL, i
             return q[keep], v[keep], s[keep]
 
         def score(qid: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            top = min(k + 4, len(nx))  # a few more than k, then the measure itself in a fixed order of sums
-            close = cosines(q, nx)
-            pick = np.argpartition(-close, top - 1, axis=1)[:, :top].ravel()
-            of = np.repeat(np.arange(len(q)), top)
-            a, b = q[of], nx[pick]
-            s = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+            close = cosines(q, nx)  # own vector may be among the first k + 1; ties with the last of them all stay
+            top = min(k + 1, len(nx))
+            least = np.partition(close, len(nx) - top, axis=1)[:, len(nx) - top]
+            of, pick = np.nonzero(close >= least[:, None] - TIE)
+            s = np.empty(len(of))
+            for at in range(0, len(of), 1 << 14):  # the measure itself, in a fixed order of sums
+                a, b = q[of[at : at + (1 << 14)]], nx[pick[at : at + (1 << 14)]]
+                s[at : at + (1 << 14)] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
             lengths = np.array([len(ids[p]) for p in pick])
             rows = np.repeat(np.arange(len(pick)), lengths)
             v = np.concatenate([ids[p] for p in pick])

@@ -78,3 +78,14 @@ def test_odd_rows(spark):
     assert [tuple(r)[:3] for r in neighbours.search(few, 50).collect()] == [(0, 1, 1)]
     assert neighbours.search(few.limit(0), 50).count() == 0
     assert neighbours.search(few.where("vec_id = 0"), 50).count() == 0
+
+
+def test_ties_of_different_vectors_go_to_the_smaller_ids(spark):
+    ids = np.random.default_rng(2).permutation(60)
+    rows = [(int(i), [2.0**k, 2.0**k, 0.0]) for k, i in enumerate(ids)]  # all alike but no two equal
+    df = spark.createDataFrame(rows + [(100 + i, [float(i), 0.0, 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 60, 10):
+        assert got[q] == [i for i in range(6) if i != q][:5]
