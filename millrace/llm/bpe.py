@@ -1,9 +1,9 @@
 """BPE encoding and decoding, equal to the tokenizers library for texts of any length.
 
-Short texts go to the library as they are, or, if they are in Latin-1, to an encoder over the same
-merges as ranks, which gives the same tokens in a quarter of the time.  A long text is first cut where no token can cross: at a
-space between two characters that aren't white space.  A stretch without such a place ("unsplit")
-is split into the tokenizer's own pre-tokens, and a pre-token longer than a leaf is encoded as a
+Short texts go to the library as they are, or, if they are in Latin-1 without long words, to tiktoken over
+the same merges as ranks, which gives the same tokens in a quarter of the time.  A text that is longer, or
+has a stretch over a leaf without such a place, is first cut where no token can cross: at a space between
+two characters that aren't white space.  A stretch over a leaf without such a place ("unsplit") is split into the tokenizer's own pre-tokens, and a pre-token longer than a leaf is encoded as a
 tree: both halves apart (the leaves in one parallel batch), then joined.
 
 Joining uses that a sequence of tokens is the encoding of its bytes if and only if every two
@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm.common import record_batch
 
-#: Parameters: texts over LONG characters are cut; pre-tokens over LEAF bytes are encoded as trees.
+#: Parameters: texts over LONG characters, or with unsplit stretches over LEAF, are cut; pre-tokens over LEAF bytes are encoded as trees.
 #: Words over RANKED_WORD characters aren't left to the ranked encoder, whose time grows with their square.
 LONG, LEAF, FIRST_WINDOW, STEP_CHARS, RANKED_WORD = 1 << 16, 1 << 12, 4, 1 << 19, 400
 #: Fixed value: how byte-level pre-tokenizers split text.
@@ -71,6 +71,10 @@ class Bpe:
         if None in made or any(a >= b for a, b in zip(made, made[1:])):
             return None
         ranks = {self.bytes[i]: i for t, i in model["vocab"].items() if t not in self.specials}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        listed = {i: tuple(self.bytes[model["vocab"][x]] for x in m) for i, m in zip(made, pairs)}
+        if any(_last_pair(t, i, ranks) != listed.get(i, ()) for t, i in ranks.items() if len(t) > 1):
+            return None
         return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _suits_ranked(self, text: str) -> bool:
@@ -90,7 +94,7 @@ class Bpe:
         for i, t in enumerate(texts):
             if len(t) <= self.long and self._suits_ranked(t):
                 out[i] = self.ranked.encode_ordinary(t)
-        short = [i for i, t in enumerate(texts) if out[i] is None and len(t) <= self.long]
+        short = [i for i, t in enumerate(texts) if out[i] is None and len(t) <= self.long and not self._has_unsplit(t)]
         for i, found in zip(short, self._library([texts[i] for i in short])):
             out[i] = found
         return [self.encode_long(t) if ids is None else ids for t, ids in zip(texts, out)]
@@ -106,6 +110,21 @@ class Bpe:
             if i < len(texts):
                 size += len(texts[i])
 
+    def _cuts(self, text: str) -> Iterator[int]:
+        """Where no token can cross, and the end."""
+        yield from (m.start() for m in _CUT.finditer(text))
+        yield len(text)
+
+    def _has_unsplit(self, text: str) -> bool:
+        """Whether a stretch without cuts is longer than a leaf."""
+        at = 0
+        if len(text) > self.leaf:
+            for end in self._cuts(text):
+                if end - at > self.leaf:
+                    return True
+                at = end
+        return False
+
     def encode_long(self, text: str) -> list[int]:
         ids: list[int] = []
         pieces: list[str] = []
@@ -115,18 +134,20 @@ class Bpe:
                 ids.extend(found)
             pieces.clear()
 
-        at = 0
-        while at < len(text):
-            cut = _CUT.search(text, min(len(text), at + self.long // 2))
-            end = cut.start() if cut else len(text)
-            if end - at <= self.long:
+        at = last = 0
+        for end in self._cuts(text):
+            if end - last > self.leaf:
+                pieces.append(text[at:last])
+                flush()
+                ids += self.encode_unsplit(text[last:end])
+                at = end
+            elif end - at > self.long // 2:
                 pieces.append(text[at:end])
                 if len(pieces) >= 64:
                     flush()
-            else:
-                flush()
-                ids += self.encode_unsplit(text[at:end])
-            at = end
+                at = end
+            last = end
+        pieces.append(text[at:])
         flush()
         return ids
 
@@ -142,8 +163,22 @@ class Bpe:
 
     def _pretokens(self, text: str) -> list[int]:
         ids: list[int] = []
+        words: list[str] = []
+
+        def flush() -> None:
+            for found in self._raw(words) if words else ():
+                ids.extend(found)
+            words.clear()
+
         for word, _ in self.library.pre_tokenizer.pre_tokenize_str(text) if text else ():
-            ids += self.tree(word)
+            if len(word) <= self.leaf:
+                words.append(word)
+                if len(words) >= 4096:
+                    flush()
+            else:
+                flush()
+                ids += self.tree(word)
+        flush()
         return ids
 
     def _raw(self, words: list[str], parallel: bool = False) -> list[list[int]]:
@@ -181,6 +216,21 @@ class Bpe:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _last_pair(token: bytes, rank: int, ranks: dict[bytes, int]) -> tuple[bytes, ...] | None:
+    """What merging by ranks below ``rank`` leaves of a token's bytes.
+
+    Merging by ranks joins the token only from these parts, in any text: until then no merge has
+    crossed its ends.  So ranks stand for the listed merges if these parts are the listed pair.
+    """
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        least, at = min((ranks.get(a + b, rank), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if least >= rank:
+            return None
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return tuple(parts)
+
+
 def _byte_alphabet() -> dict[str, int]:
     """Byte-level BPE writes printable Latin-1 bytes as themselves, the others from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]

@@ -87,3 +87,30 @@ def test_odd_rows_and_round_trip(spark, library):
     back = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert sorted((tuple(r) for r in back), key=str) == sorted(((i, t or "") for i, t, _ in rows), key=str)
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_unsplit_stretches_of_short_texts_are_trees(library, monkeypatch):
+    own, seen = bpe.Bpe(PATH), []
+    unsplit = own.encode_unsplit
+    monkeypatch.setattr(own, "encode_unsplit", lambda text: seen.append(len(text)) or unsplit(text))
+    for text in ("a few words " + "漢字" * 5000 + " and more", "a" * 5000, "字\n" * 4000):
+        assert own.encode_batch([text])[0] == library.encode(text, add_special_tokens=False).ids
+    assert len(seen) == 3 and min(seen) > bpe.LEAF
+
+
+def test_ranks_need_every_joinable_pair_to_be_a_merge(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        said = json.load(f)
+    assert bpe.Bpe(PATH).ranked is not None
+    vocab = {c: i for i, c in enumerate(sorted(bpe._byte_alphabet()))}
+    merges = [["b", "c"], ["a", "b"], ["ab", "c"]]  # ranks would join a and bc, which no merge does
+    said["model"] |= {"vocab": vocab | {"".join(m): len(vocab) + i for i, m in enumerate(merges)}, "merges": merges}
+    said["added_tokens"] = []
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(said, f)
+    own = bpe.Bpe(path)
+    assert own.encode_batch(["abc"])[0] == Tokenizer.from_file(path).encode("abc", add_special_tokens=False).ids
+    assert own.ranked is None
