@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import as_bytes, hashed_sample, mix, record_batch, steps
 
-#: Parameters.  ``SAMPLE`` documents of each label at most, ``LINES`` lines of each, are fitted.
+#: Parameters.  ``SAMPLE`` documents of each label at most are fitted, on all of their lines.
 MIN_WORDS, WINDOW, REPEAT_SHARE, CONTENT_SHARE = 10, 5, 20, 0.5
-SAMPLE, LINES = 1000, 64
+SAMPLE = 1000
 SYMBOLS = b"#*$%&|<>"
 _CONTINUED = bytes(range(0x80, 0xC0))
 _DIGITS = b"0123456789"
@@ -190,12 +190,15 @@ def fit(lines: list[np.ndarray], labels: list[int], rounds: int = 80, rate: floa
     kept = [(f, y) for f, y in zip(lines, labels) if len(f)]
     if len({y for _, y in kept}) < 2:
         return Crf.indifferent()
-    x, lengths = _padded([f for f, _ in kept])
-    y = np.array([y for _, y in kept])
+    size = np.array([(len(f) - 1).bit_length() for f, _ in kept])
+    batches = []  # documents of like length, so that a long one pads few others
+    for k in np.unique(size):
+        of = [kept[i] for i in np.flatnonzero(size == k)]
+        batches.append((*_padded([f for f, _ in of]), np.array([y for _, y in of])))
     crf = Crf(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
-    total, moment, square = int(lengths.sum()), [0.0, 0.0], [0.0, 0.0]
+    total, moment, square = sum(len(f) for f, _ in kept), [0.0, 0.0], [0.0, 0.0]
     for k in range(1, rounds + 1):
-        _, *gradients = likelihood(crf, x, lengths, y)
+        gradients = [sum(g) for g in zip(*(likelihood(crf, *batch)[1:] for batch in batches))]
         for i, (w, g) in enumerate(zip((crf.unary, crf.move), gradients)):
             g = g / total - ridge * w
             moment[i] = 0.9 * moment[i] + 0.1 * g
@@ -261,8 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
                 _, lines = measure([t])
-                at = (i * 7919) % max(1, len(lines.features) - LINES + 1)
-                yield record_batch(schema, [i], [np.packbits(lines.features[at : at + LINES], axis=1).tobytes()])
+                yield record_batch(schema, [i], [np.packbits(lines.features, axis=1).tobytes()])
 
     picked = docs.where(F.col(id_col).isin(list(ids))).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     width = -(-N_FEATURES // 8)

@@ -105,3 +105,24 @@ def test_odd_rows(spark):
     assert quality.quality(empty, quality.train(empty, none)).count() == 0
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (77, 0)], "doc_id long, quality int")
     assert quality.quality(docs, quality.train(docs, labels)).count() == len(rows)
+
+
+def test_all_lines_are_fitted(spark):
+    rng = random.Random(4)
+    good = ["".join(rng.choice(["A plain sentence of words, ", "and more of it. "]) for _ in range(4)) for _ in range(300)]
+    junk = ["".join(rng.choice(["# * | ", "<a> $ ", "x "]) for _ in range(5)) for _ in range(200)]
+    texts = {1: "\n".join(good), 2: "\n".join(junk), 3: "\n".join(junk[:150] + good[:3]), 4: good[0]}
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, quality int")
+    crf = quality.train(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), labels)
+    lines = [quality.measure([t.encode()])[1].features for t in texts.values()]
+    assert max(map(len, lines)) == 300
+    x, lengths = quality._padded(lines)
+    y = np.array([0, 1, 1, 0])
+    total, moment, square, want = sum(map(len, lines)), [0.0, 0.0], [0.0, 0.0], quality.Crf(np.zeros((quality.N_FEATURES, 2)), np.zeros((2, 2)))
+    for k in range(1, 81):  # plain ascent over one batch
+        _, *gradients = quality.likelihood(want, x, lengths, y)
+        for i, (w, g) in enumerate(zip((want.unary, want.move), gradients)):
+            g = g / total - 1e-3 * w
+            moment[i], square[i] = 0.9 * moment[i] + 0.1 * g, 0.99 * square[i] + 0.01 * g * g
+            w += 0.15 * (moment[i] / (1 - 0.9**k)) / (np.sqrt(square[i] / (1 - 0.99**k)) + 1e-8)
+    assert crf.unary == pytest.approx(want.unary, rel=1e-2, abs=1e-2) and crf.move == pytest.approx(want.move, rel=1e-2, abs=1e-2)
