@@ -83,6 +83,17 @@ def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def unused(names: Iterable[str], *stems: str) -> list[str]:
+    """The stems, lengthened until none is among the names in any case."""
+    taken, out = {n.lower() for n in names}, []
+    for s in stems:
+        while s.lower() in taken:
+            s += "_"
+        taken.add(s.lower())
+        out.append(s)
+    return out
+
+
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)

@@ -1,55 +1,86 @@
-"""SimHash near-duplicates: 64-bit fingerprints, compared bit plane by bit plane.
-
-Texts become fingerprints in Python workers (XXH64 of every word shingle, a bit is set if it is set
-in over half of them).  Distinct fingerprints are dealt into buckets so that any two within the
-radius share at least one bucket: the 64 bits are cut into blocks, and two fingerprints that differ
-in ``r`` bits agree in all but ``r`` of the blocks.  Inside a bucket the fingerprints are stored as
-64 bit planes; carry-save counters add up the differing bits of 64 fingerprints at a time, and a
-row of the block is abandoned once all of its counters have passed the radius.  A bucket gives
-back a star for each group it finds, never its pairs, and the stars are joined into components.
-
-A bucket with more fingerprints than ``block`` is cut into parts and every two parts are compared
-in a task of their own, so no task holds more than two parts and no link is lost.
+"""SimHash near-duplicates: fingerprints compared bit plane by bit plane.
+
+Texts become fingerprints in Python workers (a bit is set if it is set in over half of the hashes of
+the text's word shingles).  Fingerprints are dealt into buckets by some of their bits, and compared
+inside a bucket as vertical bit planes with carry-save counters (``bitslice``); a bucket of any size
+gives back links that join what it holds, never its pairs (``pairing``), and links are joined into
+components.
+
+``near_duplicates`` links by the radius alone.  Its buckets lose no link: the 64 bits are cut into
+blocks, and two fingerprints that differ in ``r`` bits agree in all but ``r`` of the blocks.
+
+``similar`` links by the similarity of shingle sets.  Its 128-bit fingerprints propose: a bucket is
+a random choice of bits, enough buckets are taken that a pair at the least similarity misses all of
+them with a chance of ``MISSED`` (more alike pairs far less), and the radius leaves out hardly any.
+The components of what they propose are compared exactly, shingle by shingle, so every link of the
+result holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, comb, log2, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Shared, as_bytes, record_batch, signed
+from millrace.llm.bitslice import matches
+from millrace.llm.common import Shared, as_bytes, mix, record_batch, signed, steps, unused
 from millrace.llm.components import components
+from millrace.llm.pairing import Match, link_groups
 
-#: Parameters of the registered query.
+#: Parameters of the registered query: words of a shingle, seed, radius; fingerprints compared at once, and aimed at in a bucket.
 SHINGLE, SEED, RADIUS, BLOCK, AIM = 3, 42, 3, 8192, 512
+#: Parameters of ``similar``: words of a shingle, least similarity as a fraction, words of a fingerprint, radius, chance of a missed pair, shingles compared at once.
+SIMILAR_SHINGLE, LEAST, WIDE, SIMILAR_RADIUS, MISSED, SETS = 5, (4, 5), 2, 36, 0.002, 1 << 19
 
 
 # -- fingerprints ---------------------------------------------------------------------------
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every word shingle, in order; a text of fewer words is one shingle, a wordless one has none."""
     words = text.lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.zeros(0, dtype=np.uint64)
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    h, n = xxhash.xxh64_intdigest, len(starts)
+    starts = (ends - lengths)[:n].tolist()
+    ends, h = ends[min(shingle, len(words)) - 1 :].tolist(), xxhash.xxh64_intdigest
+    return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, ends)), dtype=np.uint64, count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 if there are none."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
-        part = np.array([h(joined[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], dtype=np.uint64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles."""
+    return np.unique(shingle_hashes(text, SIMILAR_SHINGLE))
+
+
+def wide_fingerprint(found: np.ndarray) -> list[int]:
+    """``WIDE`` words of 64 bits; the later ones from rehashed shingles."""
+    return [majority(mix(found, k) if k else found) for k in range(WIDE)]
+
+
+def set_name(found: np.ndarray) -> int:
+    """A hash of a shingle set; 0 for the empty one."""
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED) if len(found) else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -64,87 +95,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
 
 
-# -- the bit-sliced kernel ------------------------------------------------------------------
-
-
-def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """uint64[n] -> uint64[64, ceil(n / 64)]: plane b holds bit b of every fingerprint."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, dtype=np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
-
-
-def within(queries: np.ndarray, planes: np.ndarray, radius: int, every: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``queries`` with a fingerprint within the radius, and for each the words of its match bits.
-
-    counters[k] holds bit k of 64 counts a word; ``over`` is set for good once a count has passed
-    2 ** len(counters) - 1.  Two planes at a time go through a carry-save adder with the lowest counter.
-    """
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    rows = np.arange(len(queries))
-    n_counters = max(1, int(radius).bit_length())
-    counters = [np.zeros((len(rows), planes.shape[1]), dtype=np.uint64) for _ in range(n_counters)]
-    over = np.zeros_like(counters[0])
-    for b in range(0, 64, 2):
-        d, e = ((planes[k] ^ np.where((queries >> np.uint64(k)) & np.uint64(1), full, np.uint64(0))[:, None]) for k in (b, b + 1))
-        half = d ^ e
-        carry = (d & e) | (half & counters[0])
-        counters[0] ^= half
-        for c in counters[1:]:
-            up = c & carry
-            c ^= carry
-            carry = up
-        over |= carry
-        if b % every == every - 2 and b < 62:
-            alive = (over != full).any(axis=1)
-            if not alive.all():
-                rows, queries, over = rows[alive], queries[alive], over[alive]
-                counters = [c[alive] for c in counters]
-                if not len(rows):
-                    return rows, over
-    less, equal = np.zeros_like(over), np.full_like(over, full)
-    for k in reversed(range(n_counters)):  # count < radius + 1, from the highest bit down
-        bit = full if (radius >> k) & 1 else np.uint64(0)
-        less |= equal & ~counters[k] & bit
-        equal &= ~(counters[k] ^ bit)
-    return rows, (less | equal) & ~over
-
-
-def stars(fps: np.ndarray, radius: int = RADIUS, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, smallest of its group) for the groups among distinct ``fps``."""
-    n = len(fps)
-    fps = np.sort(fps)
-    parent = np.arange(n)
-    planes = bit_planes(fps)
-    for at in range(0, n, tile):
-        first = at // 64  # earlier fingerprints have been compared with these as queries
-        rows, words = within(fps[at : at + tile], planes[:, first:], radius)
-        for r, w in zip(rows + at, words):
-            near = np.flatnonzero(np.unpackbits(w.view(np.uint8), bitorder="little")) + first * 64
-            near = near[near < n]
-            if len(near) < 2:
-                continue
-            roots = parent[np.append(near, r)]
-            while (up := parent[roots] != roots).any():
-                roots[up] = parent[roots[up]]
-            parent[roots] = roots.min()
-    while (parent[parent] != parent).any():
-        parent = parent[parent]
-    child = np.flatnonzero(parent != np.arange(n))
-    return fps[child], fps[parent[child]]
-
-
 # -- buckets --------------------------------------------------------------------------------
 
 
-def bucket_masks(n: int, radius: int = RADIUS, aim: int = AIM) -> list[list[tuple[int, int]]]:
-    """For each bucket table, the (shift, width) pieces whose bits make the key.
+def bucket_masks(n: int, radius: int = RADIUS, aim: int = AIM) -> list[list[int]]:
+    """For each bucket table the bits that make its key; no pair within the radius shares none.
 
     With m blocks and a radius of r, every m - r of the blocks make a table; m is the least for
     which n fingerprints spread to about ``aim`` a bucket.  A key needs no more bits than that.
     """
-    need = max(0, int(np.ceil(np.log2(max(1, n / aim)))))
+    need = max(0, ceil(log2(max(1, n / aim))))
+    if not need:
+        return [[0]]
     for m in range(radius + 1, 17):
         cuts = [64 * i // m for i in range(m + 1)]
         width = min(cuts[i + 1] - cuts[i] for i in range(m)) * (m - radius)
@@ -152,67 +114,57 @@ def bucket_masks(n: int, radius: int = RADIUS, aim: int = AIM) -> list[list[tupl
             break
     tables = []
     for blocks in combinations(range(m), m - radius):
-        left, pieces = need, []
+        left, mask = need, 0
         for i in blocks:
             take = min(cuts[i + 1] - cuts[i], left)
             left -= take
-            if take:
-                pieces.append((cuts[i], take))
-        tables.append(pieces)
-    return tables if need else [[]]
+            mask |= ((1 << take) - 1) << cuts[i]
+        tables.append([mask])
+    return tables
 
 
-def links(fps: DataFrame, n: int, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """``fps(fp)`` distinct, ``n`` of them -> star links ``(u, v)`` that join all within the radius."""
-    if not 0 <= radius <= 12:
-        raise ValueError("radius must be 0 to 12")
+def random_masks(n: int, least: tuple[int, int] = LEAST, missed: float = MISSED, aim: int = AIM) -> list[list[int]]:
+    """Tables of random bits that miss a pair at the least similarity with a chance of ``missed``.
+
+    Sets of Jaccard similarity J lie at an angle of at most acos(2 J / (1 + J)), and every bit
+    differs with a chance of the angle's share of a half turn.
+    """
+    need, bits = max(0, ceil(log2(max(1, n / aim)))), 64 * WIDE
+    if not need:
+        return [[0] * WIDE]
+    j = least[0] / least[1]
+    p = acos(2 * j / (1 + j)) / pi
+    differ = [(comb(bits, d) * p**d * (1 - p) ** (bits - d), comb(bits - d, need) / comb(bits, need)) for d in range(bits - need + 1)]
+    tables = 1
+    while sum(w * (1 - hit) ** tables for w, hit in differ) > missed:
+        tables += 1 + tables // 16
+    rng = np.random.default_rng(SEED)
+    masks = [sum(1 << int(b) for b in rng.choice(bits, need, replace=False)) for _ in range(tables)]
+    return [[m >> 64 * k & (1 << 64) - 1 for k in range(WIDE)] for m in masks]
+
+
+def deal(rows: DataFrame, words: list[str], masks: list[list[int]]) -> DataFrame:
+    """``rows(node, words...)`` -> ``(g, node, words...)``, a row for each bucket."""
     keys = []
-    for t, pieces in enumerate(bucket_masks(n, radius)):
-        key, at = F.lit(0).cast("long"), 0
-        for shift, width in pieces:
-            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")), at))
-            at += width
-        keys.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "fp")
-    parts = dealt.groupBy("t", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = dealt.join(parts, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("own", own).select("t", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    by = ["t", "key", "i", "j"]
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def compare(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if held and sum(map(len, held)) > 1:
-            u, v = stars(np.concatenate(held).view(np.uint64), radius)
-            if len(u):
-                yield record_batch(schema, signed(u), signed(v))
+    for t, mask in enumerate(masks):
+        used = [F.col(w).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for w, m in zip(words, mask) if m]
+        keys.append(F.xxhash64(F.lit(t), *used))
+    return rows.select(F.explode(F.array(*keys)).alias("g"), "node", *words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            change = np.zeros(b.num_rows, dtype=bool)
-            for c in cols[:4]:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
-            for a, z in zip(cuts, cuts[1:]):
-                key = tuple(c[a] for c in cols[:4])
-                if key != last:
-                    yield from compare(held)
-                    last, held = key, []
-                held.append(cols[4][a:z].astype(np.int64))
-        yield from compare(held)
 
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
+def near_links(rows: DataFrame, masks: list[list[int]], radius: int, shared: Shared, block: int = BLOCK) -> DataFrame:
+    """``rows(node, words...)``, distinct nodes -> links ``(u, v)`` that join all that share a bucket within the radius."""
+
+    def match(task: pa.Table) -> Match:
+        return matches(np.stack([c.to_numpy() for c in task.columns], axis=1).astype(np.int64).view(np.uint64), radius)
 
+    return link_groups(deal(rows, rows.columns[1:], masks), match, shared, "near", block, F.lit(1))
 
-# -- the operator ---------------------------------------------------------------------------
 
+# -- linked by the radius -------------------------------------------------------------------
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """One row ``(doc_id, fingerprint, component_id, cluster)`` for each row of ``docs``.
 
     ``component_id`` is the smallest id that can be reached over links of at most ``radius``
@@ -222,11 +174,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Empty, null and wordless texts have fingerprint 0, linked like any other.  Repeated rows and
     repeated ids give a row each.  An empty table gives an empty table.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    shared = Shared.create(spark, "simhash")
+    if not 0 <= radius <= 12:
+        raise ValueError("radius must be 0 to 12")
+    shared = Shared.create(docs.sparkSession, "simhash")
     prints = shared.table(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
     known = shared.table(prints.groupBy("fp").agg(F.min("id").alias("least")), "known")
-    found = components(links(known.select("fp"), known.count(), radius), shared)
+    links = near_links(known.select(F.col("fp").alias("node"), "fp"), bucket_masks(known.count(), radius), radius, shared, block)
+    found = components(links, shared)
     member = known.join(found, known.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     member = member.join(named, "root").select("fp", "root", "component_id")
@@ -238,35 +192,127 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with one document of each component left: the one with the smallest id.
+# -- linked by the similarity of shingle sets -----------------------------------------------
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+
+
+def set_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(key, id, node, n, f0, f1)`` for each row: its key, its set's name and size, the wide fingerprint."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *((f"f{k}", pa.int64()) for k in range(WIDE))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(set_name(x), len(x), *wide_fingerprint(x)) for x in map(shingle_set, as_bytes(b.column(2)))]
+            names, sizes, *words = zip(*found) if found else [()] * (2 + WIDE)
+            as_signed = [signed(np.array(x, dtype=np.uint64)) for x in (names, *words)]
+            yield record_batch(schema, b.column(0), b.column(1), as_signed[0], sizes, *as_signed[1:])
+
+    rows = docs.select(row_key(id_col, text_col), F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+    return rows.mapInArrow(run, "key long, id long, node long, n long, " + ", ".join(f"f{k} long" for k in range(WIDE)))
+
+
+def chosen(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, *keep: str) -> DataFrame:
+    """The rows of ``docs`` that ``wanted(key, id, times, ...)`` names, one of equal ones, with the columns ``keep`` of it.
 
-    Of repeated rows with that id one stays.  Rows without an id go if their component holds an id;
-    otherwise one of them stays.
+    Rows that are repeated (``times``) are spread over many tasks until but one of each is left.
     """
-    spark, names = docs.sparkSession, docs.columns
-    shared = Shared.create(spark, "dedup")
-    found = shared.table(near_duplicates(docs, id_col, text_col, **options), "found")
-    stay = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__stay")).agg(F.count("*").alias("__times"))
-    with_id = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("__stay"))
-    repeated = stay.where("__times > 1").limit(1).count() > 0
-    out = with_id.where("__times = 1").select(*names)
-    if repeated:
-        out = out.unionByName(with_id.where("__times > 1").select(*names).dropDuplicates([id_col]))
-    if found.where("component_id is null").limit(1).count():
-        anonymous = docs.where(F.col(id_col).isNull())
-        out = out.unionByName(_one_of_each(anonymous, found, text_col, **options).select(*names))
-    return out
-
-
-def _one_of_each(docs: DataFrame, found: DataFrame, text_col: str, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """Of rows without ids, one for each component that has no id at all."""
     names = docs.columns
+    key, own, salt, turn, *others = unused(names, "key", "id", "salt", "turn", "wanted_key", "wanted_id", "times", *(f"wanted_{c}" for c in keep))
+    wanted = wanted.select(*(F.col(c).alias(o) for c, o in zip(("key", "id", "times", *keep), others)))
+    rows = docs.withColumns({key: row_key(id_col, text_col), own: F.col(f"`{id_col}`").cast("long")})
+    same = (F.col(key) == F.col(others[0])) & F.col(own).eqNullSafe(F.col(others[1]))
+    out = [*(F.col(f"`{c}`") for c in names), *(F.col(o).alias(c) for o, c in zip(others[3:], keep))]
+    once = rows.join(wanted.where(F.col(others[2]) == 1), same).select(*out)
+    many = wanted.where(F.col(others[2]) > 1)
+    if not many.limit(1).count():
+        return once
+    dealt = rows.withColumn(salt, F.spark_partition_id() % 64)
+    many = many.withColumn(turn, F.explode(F.sequence(F.lit(0), F.lit(63))))
+    met = dealt.join(many, same & (F.col(salt) == F.col(turn))).dropDuplicates([key, own])
+    return once.unionByName(met.select(*out))
+
+
+def like(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> Match:
+    """A function of the sets that ask: yields each with the sets of at least the similarity, by counting common shingles."""
+    sizes = np.array([len(x) for x in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+
+    def find(asks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for i in asks:
+            a, z = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+            count = z - a
+            common = np.zeros(len(sets), dtype=np.int64)
+            for part in np.array_split(np.arange(len(a)), max(1, int(count.sum()) >> 22)):  # bounded, however common the shingles
+                c = count[part]
+                at = np.repeat(a[part] - np.cumsum(c) + c, c) + np.arange(c.sum())
+                common += np.bincount(owner[at], minlength=len(sets))
+            # c / (n + m - c) >= p / q
+            near = np.flatnonzero((common > 0) & ((least[0] + least[1]) * common >= least[0] * (len(sets[i]) + sizes)))
+            if len(near) > 1:
+                yield int(i), near
+
+    return find
+
+
+def similar_links(docs: DataFrame, id_col: str, text_col: str, units: DataFrame, proposed: DataFrame, shared: Shared, block: int) -> DataFrame:
+    """``units(key, id, times, node)`` and ``proposed(node, root)`` -> exact links ``(u, v)``; each set is made once, from one of its rows."""
+    least = F.min(F.struct(F.col("id").isNull(), "id", "key", "times")).alias("r")
+    wanted = units.join(proposed, "node").groupBy("node", "root").agg(least).select("node", "root", "r.key", "r.id", "r.times")
+    texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    rows = chosen(texts, "i", "t", wanted, "root", "node").select("root", "node", F.col("t").cast("string"))
+    schema = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("found", pa.binary())])
 
-    @F.pandas_udf("string")
-    def hexed(texts):
-        return texts.map(lambda t: f"{fingerprint((t or '').encode(), shingle, seed):016x}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = as_bytes(b.column(2))
+            for i, j in steps(texts):
+                found = [shingle_set(t) for t in texts[i:j]]
+                yield record_batch(schema, b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), [len(x) for x in found], [x.tobytes() for x in found])
+
+    def match(task: pa.Table) -> Match:
+        return like([np.frombuffer(x, dtype=np.uint64) for x in task.column(1).to_pylist()])
+
+    sets = shared.table(rows.mapInArrow(run, "g long, node long, n long, found binary"), "sets")
+    return link_groups(sets, match, shared, "like", block, F.col("n"))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", aim: int = AIM, block: int = BLOCK, sets: int = SETS) -> DataFrame:
+    """``(key, doc_id, node, times, component_id, cluster)``, a row for each distinct id and text of ``docs``.
+
+    ``component_id`` is the smallest id that can be reached over pairs of a Jaccard similarity of
+    0.8 or more (sets of 5-word shingles, A-Z lower-cased); ``cluster`` names the component even
+    where no row of it has an id.  ``times`` counts the rows with this id and text.
 
-    clusters = found.where("component_id is null").select(F.col("fingerprint").alias("__fp"), F.col("cluster").alias("__cluster")).distinct()
-    marked = docs.withColumn("__fp", hexed(F.col(text_col).cast("string"))).join(clusters, "__fp")
-    return marked.dropDuplicates(["__cluster"]).select(*names)
+    Texts with equal sets are one node; null and wordless texts are one node that is like no other.
+    A text of fewer than five words is one shingle.  An empty table gives an empty table; other
+    columns are ignored.
+    """
+    shared = Shared.create(docs.sparkSession, "similar")
+    words = [f"f{k}" for k in range(WIDE)]
+    prints = set_prints(docs, id_col, text_col)
+    units = shared.table(prints.groupBy("key", "id", "node").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", *words))), "units")
+    known = shared.table(units.where("n > 0").groupBy("node").agg(*(F.first(c).alias(c) for c in words)), "known")
+    proposed = components(near_links(known, random_masks(known.count(), aim=aim), SIMILAR_RADIUS, shared, block), shared, "proposed")
+    proposed = shared.table(proposed.union(proposed.select("root", "root")).distinct(), "proposed")
+    joined = components(similar_links(docs, id_col, text_col, units, proposed, shared, sets), shared, "joined")
+    member = units.join(joined, "node", "left").select("key", "id", "node", "times", F.coalesce("root", "node").alias("cluster"))
+    named = member.groupBy("cluster").agg(F.min("id").alias("component_id"))
+    return member.join(named, "cluster").select("key", F.col("id").alias("doc_id"), "node", "times", "component_id", "cluster")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with one document of each component of ``similar`` left: the one with the smallest id.
+
+    Of repeated rows with that id one stays.  A component without ids keeps one of its rows.  Null
+    and wordless texts are one component.  All columns stay, whatever their names; an empty table
+    gives an empty table.
+    """
+    shared = Shared.create(docs.sparkSession, "dedup")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "times")).alias("r")
+    stay = shared.table(similar(docs, id_col, text_col, **options).groupBy("cluster").agg(least).select("r.key", F.col("r.doc_id").alias("id"), "r.times"), "stay")
+    return chosen(docs, id_col, text_col, stay)

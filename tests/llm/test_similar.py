@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from millrace.llm import jaccard
+from millrace.llm import simhash
 from millrace.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -52,21 +54,51 @@ def test_stage_equals_brute_force(spark, sf):
     want = plain_kept(rows)
     assert 25 <= len(want) < len(rows)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == want
-    for block in (200, 1000):
-        assert sorted(r.doc_id for r in jaccard.deduplicate(docs, block=block).collect()) == want
+    for block, sets in ((40, 2000), (8192, 400)):
+        assert sorted(r.doc_id for r in simhash.deduplicate(docs, block=block, sets=sets).collect()) == want
 
 
 def test_stage_on_documents(spark, sf):
     docs = table(spark, sf, "documents")
     want = plain_kept([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == want
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs, aim=8).collect()) == want
+
+
+def test_random_tables_miss_few_pairs():
+    """Pairs at the least similarity, over the tables of a large input, by the bits themselves."""
+    rng = np.random.default_rng(0)
+    masks = simhash.random_masks(1 << 22)
+    missed = 0
+    for k in range(400):
+        common, own = rng.integers(0, 1 << 63, 160, dtype=np.uint64), rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+        a, b = (simhash.wide_fingerprint(np.concatenate([common, x])) for x in (own[:20], own[20:]))
+        differ = [x ^ y for x, y in zip(a, b)]
+        near = sum(d.bit_count() for d in differ) <= simhash.SIMILAR_RADIUS
+        missed += not (near and any(not any(d & m for d, m in zip(differ, mask)) for mask in masks))
+    assert missed <= 6
+
+
+def test_a_hot_group_of_copies(spark):
+    """Near copies of one text and repeated rows, far above the block."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i % 150}"
+        rows.append((1000 - i, " ".join(words)))
+    rows += [(5000 + i, f"alone {i} " * 3) for i in range(40)] + [(7, "same words in every row of this one")] * 200
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS)
+    want = plain_kept(rows)
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs, block=16, sets=300).collect()) == want
 
 
 def test_odd_rows(spark):
     text = "one two three four five six seven eight"
     rows = [(3, text, "en", "a", 1), (3, text, "en", "a", 1), (1, None, None, None, None), (2, "", "en", "a", 0), (9, " \n\t", None, "b", 2), (None, text, None, None, None), (None, "alone " * 9, None, None, None), (None, "alone " * 9, None, None, None)]
-    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS node", "2 AS id", "3 AS root")
-    kept = jaccard.deduplicate(docs)
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS node", "2 AS id", "3 AS root", "4 AS KEY", "5 AS times", "6 AS wanted_id", "map('a', 1) AS g")
+    kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, None]
-    assert jaccard.deduplicate(docs.limit(0)).count() == 0
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
