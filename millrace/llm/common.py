@@ -182,6 +182,15 @@ class Shared:
             return np.memmap(f, dtype=np.uint8, mode="r") if f.tell() else np.zeros(0, np.uint8)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Written and read again: cuts the lineage, and lost executors lose nothing of it."""
-        df.write.mode("overwrite").parquet(self.uri(name))
+        """Written and read again: cuts the lineage, and lost executors lose nothing of it.
+
+        Shuffle files of the write are deleted with its end, not when the driver's garbage is collected.
+        """
+        conf, free = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(free, None)
+        conf.set(free, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.uri(name))
+        finally:
+            conf.set(free, before) if before is not None else conf.unset(free)
         return df.sparkSession.read.schema(df.schema).parquet(self.uri(name))

@@ -19,25 +19,24 @@ Counts take a byte, those of 255 and more stand in a side array.  No n-gram is d
 
 from __future__ import annotations
 
-import gc
 import json
-import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Shared, as_bytes, hash_bytes, mix, record_batch, signed, steps
+from millrace.llm.common import Shared, as_bytes, mix, record_batch, signed, steps
 
-#: Parameters: the order, n-grams of a shard at most about, words a worker remembers, bytes of text a step.
-ORDER, SHARD, CACHE, STEP = 3, 1 << 20, 300_000, 2 << 20
-END = b""  # no word is empty
+#: Parameters: the order, n-grams of a shard at most about, bytes of text a step, bits of a memo's slots.
+ORDER, SHARD, STEP, MEMO = 3, 1 << 20, 2 << 20, 19
+END = np.uint64(0x5851F42D4C957F2D)  # stands for the hash of a text's end
 _SALT = np.uint64(0x9E3779B97F4A7C15)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 # -- files of arrays ------------------------------------------------------------------------
@@ -145,12 +144,75 @@ def add_up(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # -- vocabulary -----------------------------------------------------------------------------
 
 
-class Numbering(dict):
-    """Numbers keys in the order in which they are first asked for."""
+def hash_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as hashes, an end after each text; and how many tokens each text has.
 
-    def __missing__(self, key: bytes) -> int:
-        n = self[key] = len(self)
-        return n
+    All texts are split and hashed together, eight bytes of every word at a time.
+    """
+    data = b"\n".join(texts).lower() + bytes(9)  # eight bytes can be read from any place
+    n = len(data) - 9
+    body = np.frombuffer(data, np.uint8, n)
+    inside = (body != 32) & (body - np.uint8(9) >= 5)
+    change = np.zeros(n + 1, dtype=bool)
+    if n:
+        change[0], change[n] = inside[0], inside[-1]
+        np.not_equal(inside[1:], inside[:-1], out=change[1:n])
+    edges = np.flatnonzero(change)
+    starts, ends = edges[::2], edges[1::2]
+    size = ends - starts
+    eight = np.ndarray((n + 1,), "<u8", data, strides=(1,))
+    h = mix(eight[starts] & _LOW_BYTES[np.minimum(size, 8)], size.astype(np.uint64))
+    rows = np.flatnonzero(size > 8)
+    for at in range(8, 64, 8):
+        if not len(rows):
+            break
+        left = size[rows] - at
+        h[rows] = mix(h[rows], eight[starts[rows] + at] & _LOW_BYTES[np.minimum(left, 8)])
+        rows = rows[left > 8]
+    for r in rows:
+        h[r] = mix(h[r : r + 1], xxhash.xxh64_intdigest(data[starts[r] + 64 : ends[r]]))[0]
+    words = np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]) - 1), prepend=0) if texts else np.zeros(0, np.int64)
+    out = np.full(len(h) + len(texts), END, dtype=np.uint64)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(texts)), words)] = h
+    return out, words + 1
+
+
+class Memo:
+    """What is known of words, by hash: columns with a slot for each value of a hash's highest bits.
+
+    A later word takes an earlier one's slot.  Words that aren't in their slots are resolved
+    together, stand behind the slots until the next call, and take their slots then.  Row 0 is for
+    the mark before a text.
+    """
+
+    def __init__(self, kinds: dict[str, type], resolve: Callable[[np.ndarray], dict[str, np.ndarray]], bits: int | None = None):
+        self.bits, self.resolve = bits or MEMO, resolve
+        self.behind = 1 + (1 << self.bits)
+        self.columns = {k: np.zeros(self.behind, dtype=kind) for k, kind in {"key": np.uint64, **kinds}.items()}
+        self.pending = np.zeros(0, np.uint64)
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64) + 1
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        if len(self.pending):
+            slots = self._slots(self.pending)  # in order, as the words are
+            last = np.flatnonzero(np.append(slots[1:] != slots[:-1], True))
+            for c in self.columns.values():
+                c[slots[last]] = c[self.behind + last]
+        out = self._slots(hashes)
+        miss = np.flatnonzero(self.columns["key"][out] != hashes)
+        self.pending, inverse = np.unique(hashes[miss], return_inverse=True)
+        if n := len(self.pending):
+            if self.behind + n > len(self.columns["key"]):
+                self.columns = {k: np.concatenate([c[: self.behind], np.zeros(n + n // 4, c.dtype)]) for k, c in self.columns.items()}
+            for k, c in {"key": self.pending, **self.resolve(self.pending)}.items():
+                self.columns[k][self.behind : self.behind + n] = c
+            out[miss] = self.behind + inverse
+        return out
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[name]
 
 
 class Vocabulary:
@@ -160,8 +222,7 @@ class Vocabulary:
         self.shared, self.bits, self.starts = shared, bits, np.array(starts, dtype=np.int64)
         self.size = int(starts[-1])
         self._shards: dict[int, dict[str, np.ndarray]] = {}
-        self._words = Numbering()
-        self._numbers = np.zeros(0, np.int64)
+        self._memo: Memo | None = None
 
     def shard(self, i: int) -> dict[str, np.ndarray]:
         if i not in self._shards:
@@ -169,18 +230,17 @@ class Vocabulary:
         return self._shards[i]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of sorted hashes."""
         out = np.full(len(hashes), -1, dtype=np.int64)
-        order = np.argsort(hashes)
-        hashes = hashes[order]
         shards = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        for i in np.unique(shards):
+        cuts = np.flatnonzero(np.diff(shards, prepend=-1))
+        for a, z in zip(cuts, [*cuts[1:], len(hashes)]):
+            i = int(shards[a])
             if self.starts[i] == self.starts[i + 1]:
                 continue
-            a, z = np.searchsorted(shards, [i, i + 1])
-            keys = self.shard(int(i))["key"]
+            keys = self.shard(i)["key"]
             at = np.searchsorted(keys, hashes[a:z])
-            at[at == len(keys)] = 0
-            out[order[a:z]] = np.where(keys[at] == hashes[a:z], at + self.starts[i], -1)
+            out[a:z] = np.where(_found(keys, at, hashes[a:z]), at + self.starts[i], -1)
         return out
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
@@ -195,24 +255,11 @@ class Vocabulary:
             out[of] = widen(self.shard(int(i)), "count", numbers[of] - self.starts[i])
         return out
 
-    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
-        """The words of all texts, one after the other, as numbers."""
-        if len(self._words) > CACHE:
-            self._words, self._numbers = Numbering(), np.zeros(0, np.int64)
-        known, before = self._words, len(self._words)
-        n = sum(map(len, texts))
-        local = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=n)
-        if len(known) > before:
-            new = list(islice(known, before, None))
-            self._numbers = np.concatenate([self._numbers, self.find(hash_bytes(new, len(new)))])
-        return self._numbers[local] if n else local
-
-
-def _words_of(texts: list[bytes]) -> list[list[bytes]]:
-    out = [t.lower().split() for t in texts]
-    for t in out:
-        t.append(END)
-    return out
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        if self._memo is None:
+            self._memo = Memo({"number": np.int64}, lambda new: {"number": self.find(new)})
+        rows = self._memo.rows(hashes)
+        return self._memo["number"][rows]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -220,41 +267,44 @@ def count_words(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        found: Counter[bytes] = Counter()
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            out = record_batch(schema, signed(hash_bytes(found, len(found))), np.fromiter(found.values(), np.int64, len(found)))
-            found.clear()
-            return out
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return record_batch(schema, signed(words), n)
 
         for b in batches:
-            for t in _words_of(as_bytes(b.column(1))):
-                found.update(t)
-                if len(found) > CACHE:
+            texts = as_bytes(b.column(1))
+            for a, z in steps(texts, STEP):
+                held.append(hash_tokens(texts[a:z])[0])
+                if sum(map(len, held)) > 4 * SHARD:
                     yield flush()
-        if found:
+        if held:
             yield flush()
 
     return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def build_vocabulary(docs: DataFrame, shared: Shared) -> tuple[Vocabulary, int, list[int]]:
-    """Writes the shards; the vocabulary, the number of training tokens, and the shards' starts."""
+def build_vocabulary(docs: DataFrame, shared: Shared, hot: int) -> tuple[Vocabulary, int, list[int]]:
+    """Writes the shards and the words that occur ``hot`` times or more (tokens / hot of them at most).
+
+    Returns the vocabulary, the number of training tokens, and the shards' starts.
+    """
     words = shared.table(count_words(docs), "counted")
     n, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = max(1, int(np.ceil(np.log2(max(1, n / SHARD)))))
-    schema = pa.schema([("shard", pa.int64()), ("size", pa.int64())])
+    schema = pa.schema([("shard", pa.int64()), ("size", pa.int64()), ("at", pa.list_(pa.int64())), ("count", pa.list_(pa.int64()))])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, keys, counts = None, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if last is not None:
-                key = np.concatenate(keys).view(np.uint64)
-                shared.write(f"words-{last:06d}", pack_arrays(key=key, **narrow("count", np.concatenate(counts))))
-                yield record_batch(schema, [last], [len(key)])
+                key, count = np.concatenate(keys).view(np.uint64), np.concatenate(counts)
+                shared.write(f"words-{last:06d}", pack_arrays(key=key, **narrow("count", count)))
+                at = np.flatnonzero(count >= hot)
+                yield record_batch(schema, [last], [len(key)], [at], [count[at]])
 
         for b in batches:
             shard, key, count = (c.to_numpy() for c in b.columns)
@@ -272,17 +322,22 @@ def build_vocabulary(docs: DataFrame, shared: Shared) -> tuple[Vocabulary, int,
     dealt = words.select(F.shiftrightunsigned("h", 64 - bits).alias("shard"), "h", "n")
     dealt = dealt.repartition(max(1, min(1 << bits, 4096)), "shard").sortWithinPartitions("shard", "h")
     sizes = np.zeros(1 << bits, dtype=np.int64)
-    for r in dealt.mapInArrow(write, "shard long, size long").collect():
+    rows = sorted(shared.table(dealt.mapInArrow(write, "shard long, size long, at array<long>, count array<long>"), "sizes").collect(), key=lambda r: r.shard)
+    for r in rows:
         sizes[r.shard] = r.size
     starts = [0, *np.cumsum(sizes).tolist()]
+    common = [(starts[r.shard] + at, n) for r in rows for at, n in zip(r["at"], r["count"])]
+    shared.write("common", pack_arrays(word=np.array([w for w, _ in common], np.int64), count=np.array([c for _, c in common], np.int64)))
     shared.remove("counted")
-    free_shuffles(docs.sparkSession)
     return Vocabulary(shared, bits, starts), int(total), starts
 
 
 # -- counting -------------------------------------------------------------------------------
 
 
+_ENDLESS = 1 << 62
+
+
 class Deal:
     """Which shard holds a context and a following word.
 
@@ -308,27 +363,20 @@ class Deal:
             h = mix(h, c.astype(np.uint64))
         return h
 
-    def parts(self, contexts: np.ndarray) -> np.ndarray:
-        """Over how many shards a context is spread."""
-        words, counts = self.common()
-        out = np.ones(len(contexts), dtype=np.int64)
-        rows = np.arange(len(contexts))
-        least = np.full(len(contexts), 8 * self.hot, dtype=np.int64)  # for contexts of the mark before a text alone
-        real = np.zeros(len(contexts), dtype=bool)
-        for c in contexts.T:
-            c = c[rows]
-            start = c == self.vocabulary.size
-            at = np.minimum(np.searchsorted(words, c), max(0, len(words) - 1))
-            found = (words[at] == c) if len(words) else np.zeros(len(c), bool)
-            keep = found | start
-            if found.any():
-                n = counts[at]
-                least[rows] = np.where(found, np.where(real[rows], np.minimum(least[rows], n), n), least[rows])
-                real[rows] |= found
-            rows = rows[keep]
-        out[rows] = np.maximum(1, least[rows] // self.hot)
+    def frequency(self, words: np.ndarray) -> np.ndarray:
+        """How often common words occur, 0 for others; without bound for the mark before a text."""
+        known, counts = self.common()
+        out = np.where(words == self.vocabulary.size, _ENDLESS, 0)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            hit = known[at] == words
+            out[hit] = counts[at[hit]]
         return out
 
+    def parts(self, least: np.ndarray) -> np.ndarray:
+        """Over how many shards contexts are spread whose rarest words have these frequencies."""
+        return np.maximum(1, np.where(least == _ENDLESS, 8, least // self.hot))
+
     def part(self, parts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Which of a context's parts holds the following word."""
         out = np.zeros(len(parts), dtype=np.int64)
@@ -343,7 +391,11 @@ class Deal:
     def of(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Context hashes, and shards, of n-grams."""
         hashes = self.context(grams[:, :-1])
-        return hashes, self.shard(hashes, self.part(self.parts(grams[:, :-1]), grams[:, -1]))
+        least = self.frequency(grams[:, 0])
+        for c in grams.T[1:-1]:
+            some = np.flatnonzero(least)
+            least[some] = np.minimum(least[some], self.frequency(c[some]))
+        return hashes, self.shard(hashes, self.part(self.parts(least), grams[:, -1]))
 
 
 def by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
@@ -383,9 +435,8 @@ def count_grams(docs: DataFrame, deal: Deal, order: int, most: int = SHARD) -> D
         for b in batches:
             texts = as_bytes(b.column(1))
             for a, z in steps(texts, STEP):
-                words = _words_of(texts[a:z])
-                numbers = deal.vocabulary.numbers(words)
-                lengths = np.array([len(w) for w in words])
+                hashes, lengths = hash_tokens(texts[a:z])
+                numbers = deal.vocabulary.numbers(hashes)
                 held.append(windows(numbers, lengths, order, deal.vocabulary.size).astype(np.int32 if deal.vocabulary.size < 1 << 31 else np.int64, order="C"))
                 size += len(numbers)
                 if size >= 2 * most:
@@ -421,12 +472,13 @@ def write_order(dealt: DataFrame, deal: Deal, shared: Shared, order: int, partit
             grams, hashes = grams[by[first]], hashes[by[first]]
             first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
             lengths = np.diff(np.append(first, len(hashes)))
-            wide = np.uint32 if deal.vocabulary.size < 1 << 32 else np.uint64
             # A context that one word alone follows needs no totals.
             alone, many = first[lengths == 1], first[lengths > 1]
             inside = np.repeat(lengths > 1, lengths)
-            arrays = {"lone": hashes[alone], "lone_word": grams[alone, -1].astype(wide), **narrow("lone_count", counts[alone])}
-            arrays |= {"key": hashes[many], "first": np.append(0, np.cumsum(lengths[lengths > 1])).astype(np.uint32), "word": grams[inside, -1].astype(wide), **narrow("count", counts[inside])}
+            shift = np.uint64(deal.vocabulary.size.bit_length())
+            owner = np.repeat(np.arange(len(many), dtype=np.uint64), lengths[lengths > 1])
+            arrays = {"lone": hashes[alone], "lone_word": grams[alone, -1].astype(np.uint32 if shift <= 32 else np.uint64), **narrow("lone_count", counts[alone])}
+            arrays |= {"key": hashes[many], **narrow("types", lengths[lengths > 1]), "pair": owner << shift | grams[inside, -1].astype(np.uint64), **narrow("count", counts[inside])}
             for name, x in (("total", counts), ("once", counts == 1), ("twice", counts == 2)):
                 arrays |= narrow(name, np.add.reduceat(x.astype(np.int64), first)[lengths > 1])
             shared.write(f"order{order}-{shard:06d}", pack_arrays(**arrays))
@@ -470,24 +522,14 @@ def discounts(seen: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer held."""
-    for _ in range(2):  # the first lets go of Python's handles, the second of what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def train(docs: DataFrame, shared: Shared, order: int = ORDER, shard: int = SHARD) -> dict:
     """Learns from ``docs(doc_id, t)`` and writes the model; returns its description."""
     if order < 2:
         raise ValueError("order must be 2 or more")
-    vocabulary, tokens, starts = build_vocabulary(docs, shared)
+    hot = max(1000, shard // 4)
+    vocabulary, tokens, starts = build_vocabulary(docs, shared, hot)
     shards = max(1, -(-tokens // shard))
-    deal = Deal(vocabulary, shards, max(1000, shard // 4))
-    found = [(map_arrays(shared, f"words-{i:06d}"), starts[i]) for i in range(len(starts) - 1) if starts[i] < starts[i + 1]]
-    common = [(start + int(f["count_at"][k]), int(f["count_is"][k])) for f, start in found for k in np.flatnonzero(f["count_is"] >= deal.hot)]
-    shared.write("common", pack_arrays(word=np.array([w for w, _ in common], np.int64), count=np.array([c for _, c in common], np.int64)))
+    deal = Deal(vocabulary, shards, hot)
     about = {"root": shared.root, "order": order, "tokens": tokens, "vocabulary": vocabulary.size, "bits": vocabulary.bits, "starts": starts, "shards": shards, "hot": deal.hot}
     if tokens:
         partitions = max(1, min(shards, 8192))
@@ -495,7 +537,6 @@ def train(docs: DataFrame, shared: Shared, order: int = ORDER, shard: int = SHAR
         for k in range(order, 0, -1):
             dealt = write_order(dealt, deal, shared, k, partitions)
             dealt = shared.table(dealt, f"dealt-{k - 1}")
-            free_shuffles(docs.sparkSession)
             if k < order:
                 shared.remove(f"dealt-{k}")
         shared.remove("dealt-0")
@@ -513,6 +554,8 @@ def train(docs: DataFrame, shared: Shared, order: int = ORDER, shard: int = SHAR
 
 
 class Model:
+    """The arrays of a model, opened from the shared folder as they are needed."""
+
     def __init__(self, about: dict):
         self.about = about
         self.shared = Shared(about["root"])
@@ -521,7 +564,12 @@ class Model:
         self.deal = Deal(self.vocabulary, about["shards"], about["hot"])
         self._files: dict[tuple[int, int], dict[str, np.ndarray] | None] = {}
         self.base = max(1, -(-self.vocabulary.size // self.deal.shards))
-        self._ones = None
+        self.unit = about["tokens"] + 0.5 * (self.vocabulary.size + 1)
+        f, i = np.float64, np.int64
+        self.words = Memo({"number": i, "known": np.bool_, "base": f, "lowest": f, "common": i, "hash": np.uint64, "parts": i, "total": f, "left": f, "shard": i, "at": i}, self.resolve)
+        start = self._context_of(np.array([self.vocabulary.size], dtype=i)) if about["tokens"] else {}
+        for name, x in ({"number": self.vocabulary.size} | start).items():
+            self.words[name][:1] = x
 
     def file(self, order: int, shard: int) -> dict[str, np.ndarray] | None:
         if (order, shard) not in self._files:
@@ -529,121 +577,157 @@ class Model:
             self._files[order, shard] = map_arrays(self.shared, name) if self.shared.exists(name) else None
         return self._files[order, shard]
 
+    def _groups(self, order: int, shard: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+        """Each shard's arrays, and the rows that it concerns."""
+        by = by_shard(shard, self.deal.shards)
+        cuts = np.flatnonzero(np.diff(shard[by], prepend=-1))
+        for a, z in zip(cuts, [*cuts[1:], len(by)]):
+            if (f := self.file(order, int(shard[by[a]]))) is not None:
+                yield f, by[a:z]
+
+    # -- what is remembered of a word
+
+    def resolve(self, hashes: np.ndarray) -> dict[str, np.ndarray]:
+        numbers = self.vocabulary.find(hashes)
+        c = self.vocabulary.counts(numbers)
+        out = {"number": numbers, "known": c > 0, "base": np.log10((c + 0.5) / self.unit)}
+        return out | ({"lowest": self.unigram(numbers)} | self._context_of(numbers) if self.about["tokens"] else {})
+
+    def _context_of(self, numbers: np.ndarray) -> dict[str, np.ndarray]:
+        """The word as a context of its own."""
+        common = self.deal.frequency(numbers)
+        hashes, parts = self.deal.context(numbers[:, None]), self.deal.parts(common)
+        found = self.contexts(2, hashes, parts)
+        return {"common": common, "hash": hashes, "parts": parts, **dict(zip(("total", "left", "shard", "at"), found))}
+
     def unigram(self, words: np.ndarray) -> np.ndarray:
         """Interpolated with the uniform distribution over the vocabulary and one unknown word."""
         about = self.about
         d1, d2, d3 = about["discounts1"]
         n = np.zeros(len(words), dtype=np.int64)
         known = np.flatnonzero(words >= 0)
-        known = known[np.argsort(words[known])]
-        shard = words[known] // self.base
-        cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-        for a, z in zip(cuts, [*cuts[1:], len(known)]):
-            at, i = known[a:z], int(shard[a])
-            if (f := self.file(1, i)) is not None:
-                n[at] = widen(f, "count", words[at] - i * self.base)
+        for f, rows in self._groups(1, words[known] // self.base):
+            n[known[rows]] = widen(f, "count", words[known[rows]] % self.base)
         once, twice, _ = about["once1"]
         mass = d1 * once + d2 * twice + d3 * (about["types"] - once - twice)
         taken = np.array([0, d1, d2, d3])[np.minimum(n, 3)]
         total = about["sum1"]
         return (n - taken) / total + mass / total / (about["types"] + 1)
 
-    def totals(self, order: int, parts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """[contexts, 4]: count, and words that follow once, twice, more often; ``hashes`` sorted.
+    # -- lookups
 
-        A context that is spread is added up over its shards.
-        """
-        out = np.zeros((len(hashes), 4), dtype=np.int64)
-        of = np.arange(len(hashes))
-        shards: list[np.ndarray] = []
-        for p in range(int(parts.max(initial=0))):
-            more = parts[of] > p
-            of, shards = of[more], [x[more] for x in shards]
-            shard = self.deal.shard(hashes[of], p)
-            again = np.zeros(len(of), dtype=bool)  # two parts of a context may have come to one shard
-            for earlier in shards:
-                again |= earlier == shard
-            shards.append(shard)
-            rows = np.flatnonzero(~again)
-            rows = rows[by_shard(shard[rows], self.deal.shards)]
-            cuts = np.flatnonzero(np.diff(shard[rows], prepend=-1))
-            for a, z in zip(cuts, [*cuts[1:], len(rows)]):
-                if (f := self.file(order, int(shard[rows[a]]))) is None:
-                    continue
-                mine = of[rows[a:z]]
-                h = hashes[mine]
-                at = np.searchsorted(f["lone"], h)
-                hit = np.flatnonzero(_found(f["lone"], at, h))
-                n = widen(f, "lone_count", at[hit])
-                out[mine[hit], 0] += n
-                out[mine[hit], np.minimum(n, 3)] += 1
-                at = np.searchsorted(f["key"], h)
-                hit = np.flatnonzero(_found(f["key"], at, h))
-                at, mine = at[hit], mine[hit]
-                once, twice = widen(f, "once", at), widen(f, "twice", at)
-                out[mine, 0] += widen(f, "total", at)
-                out[mine, 1] += once
-                out[mine, 2] += twice
-                out[mine, 3] += f["first"][at + 1].astype(np.int64) - f["first"][at] - once - twice
-        return out
+    def place(self, order: int, hashes: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """int64[5, n] for contexts: their place in the shard (-1: none); count, words that follow once, twice, and all of them.
 
-    def counts(self, order: int, parts: np.ndarray, hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The counts of n-grams, 0 where training has none; rows sorted by ``hashes`` of their contexts."""
-        out = np.zeros(len(hashes), dtype=np.int64)
-        shard = self.deal.shard(hashes, self.deal.part(parts, last))
-        by = by_shard(shard, self.deal.shards)
-        cuts = np.flatnonzero(np.diff(shard[by], prepend=-1))
-        for a, z in zip(cuts, [*cuts[1:], len(by)]):
-            rows = by[a:z]
-            if (f := self.file(order, int(shard[rows[0]]))) is None:
-                continue
+        Contexts that one word alone follows are placed behind the others.
+        """
+        out = np.zeros((5, len(hashes)), dtype=np.int64)
+        out[0] = -1
+        for f, rows in self._groups(order, shard):
             h = hashes[rows]
-            at = np.searchsorted(f["lone"], h)
-            hit = np.flatnonzero(_found(f["lone"], at, h))
-            hit = hit[f["lone_word"][at[hit]] == last[rows[hit]]]
-            out[rows[hit]] = widen(f, "lone_count", at[hit])
             at = np.searchsorted(f["key"], h)
-            hit = np.flatnonzero(_found(f["key"], at, h))
-            rows, at = rows[hit], at[hit]
-            low, end = f["first"][at].astype(np.int64), f["first"][at + 1].astype(np.int64)
-            high, word, words = end.copy(), last[rows].astype(f["word"].dtype), f["word"]
-            open_ = np.arange(len(rows))
-            while len(open_):  # all rows search their context's words at once
-                a_, z_ = low[open_], high[open_]
-                mid = (a_ + z_) >> 1
-                less = words[mid] < word[open_]
-                a_, z_ = np.where(less, mid + 1, a_), np.where(less, z_, mid)
-                low[open_], high[open_] = a_, z_
-                open_ = open_[a_ < z_]
-            hit = np.flatnonzero(low < end)
-            hit = hit[words[low[hit]] == word[hit]]
-            out[rows[hit]] = widen(f, "count", low[hit])
+            found = _found(f["key"], at, h)
+            mine, at = rows[found], at[found]
+            for k, x in enumerate((at, *(widen(f, name, at) for name in ("total", "once", "twice", "types")))):
+                out[k, mine] = x
+            mine, h = rows[~found], h[~found]
+            at = np.searchsorted(f["lone"], h)
+            found = _found(f["lone"], at, h)
+            mine, at = mine[found], at[found]
+            n = widen(f, "lone_count", at)
+            for k, x in enumerate((at + len(f["key"]), n, n == 1, n == 2, 1)):
+                out[k, mine] = x
+        return out
+
+    def contexts(self, order: int, hashes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Total and discounted mass of contexts; their shard and place, of no use for contexts that are spread."""
+        shard = self.deal.shard(hashes, 0)
+        at, *kinds = self.place(order, hashes, shard)
+        spread = np.flatnonzero(parts > 1)
+        if len(spread):
+            _, first, inverse = np.unique(hashes[spread], return_index=True, return_inverse=True)
+            for x, y in zip(kinds, self._spread(order, hashes[spread[first]], parts[spread[first]])):
+                x[spread] = y[inverse]
+        d1, d2, d3 = self.about[f"discounts{order}"]
+        total, once, twice, types = kinds
+        return total.astype(np.float64), d1 * once + d2 * twice + d3 * (types - once - twice), shard, at
+
+    def _spread(self, order: int, hashes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Count, words that follow once, twice, and all of them, added up over the shards of each context."""
+        out = np.zeros((4, len(hashes)), dtype=np.int64)
+        of = np.repeat(np.arange(len(hashes)), parts)
+        part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        shard = self.deal.shard(hashes[of], part)
+        # Two parts of a context may have come to one shard.
+        order_ = np.lexsort((shard, of))
+        new = np.ones(len(of), dtype=bool)
+        new[1:] = (np.diff(of[order_]) != 0) | (np.diff(shard[order_]) != 0)
+        of, shard = of[order_[new]], shard[order_[new]]
+        for x, y in zip(out, self.place(order, hashes[of], shard)[1:]):
+            np.add.at(x, of, y)
+        return out
+
+    def counts(self, order: int, shard: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The counts of words after the contexts at these places of shards; 0 where they don't follow."""
+        out = np.zeros(len(words), dtype=np.int64)
+        real = np.flatnonzero((at >= 0) & (words >= 0))
+        shift = np.uint64(self.vocabulary.size.bit_length())
+        for f, rows in self._groups(order, shard[real]):
+            rows = real[rows]
+            lone = at[rows] - len(f["key"])
+            mine, i = rows[lone >= 0], lone[lone >= 0]
+            hit = f["lone_word"][i] == words[mine]
+            out[mine[hit]] = widen(f, "lone_count", i[hit])
+            mine = rows[lone < 0]
+            wanted = at[mine].astype(np.uint64) << shift | words[mine].astype(np.uint64)
+            i = np.searchsorted(f["pair"], wanted)
+            hit = _found(f["pair"], i, wanted)
+            out[mine[hit]] = widen(f, "count", i[hit])
         return out
 
-    def probabilities(self, grams: np.ndarray, lowest: np.ndarray | None = None) -> np.ndarray:
-        """The model's probability of the last word of each row, given the others; ``lowest``: without them."""
-        p = self.unigram(grams[:, -1]) if lowest is None else lowest
+    # -- probabilities
+
+    def score(self, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token of some texts: whether training has it, its base log10, and the model's probability."""
+        word = self.words.rows(hashes)
+        known, base, p = (self.words[k][word] for k in ("known", "base", "lowest"))
+        if not self.about["tokens"]:
+            return known, base, np.ones(len(word))
+        number = self.words["number"]
+        grams = windows(word, lengths, self.order, 0)  # rows of the memo, the mark before a text being row 0
+        last = number[word]
+        first = np.zeros(len(word), dtype=bool)
+        first[np.cumsum(lengths) - lengths] = True
+        seen = np.ones(len(word), dtype=bool)  # whether the context's own n-gram was counted; else no longer one was either
         for k in range(2, self.order + 1):
-            part = grams[:, -k:]
-            hashes = self.deal.context(part[:, :-1])
-            order = np.argsort(hashes)
-            hashes = hashes[order]
-            new = np.concatenate([np.ones(min(1, len(order)), bool), hashes[1:] != hashes[:-1]])
+            rows = np.flatnonzero(seen)
+            if k == 2:
+                before = grams[:, -2]
+                rows = np.argsort(self.words["hash"][before])  # lookups in order are several times faster
+                before = before[rows]
+                hash_, parts, total, left, shard, at = (self.words[c][before] for c in ("hash", "parts", "total", "left", "shard", "at"))
+            else:
+                context = grams[rows, -k:-1]
+                hash_ = self.deal.context(number[context])
+                order = np.argsort(hash_)
+                rows, hash_, context = rows[order], hash_[order], context[order]
+                parts = self.deal.parts(np.minimum.reduce([self.words["common"][c] for c in context.T]))
+                total, left, shard, at = self.contexts(k, hash_, parts)
+            word_ = last[rows]
+            spread = np.flatnonzero(parts > 1)
+            if len(spread):
+                shard[spread] = self.deal.shard(hash_[spread], self.deal.part(parts[spread], word_[spread]))
+                at[spread] = self.place(k, hash_[spread], shard[spread])[0]
+            n = self.counts(k, shard, at, word_)
             d = np.array([0.0, *self.about[f"discounts{k}"]])
-            parts = self.deal.parts(part[order[new], :-1])
-            t = self.totals(k, parts, hashes[new]).astype(np.float64)
-            of = np.cumsum(new) - 1
-            has = np.flatnonzero((t[:, 0] > 0)[of])
-            if not len(has):
-                break
-            rows, hashes, of = order[has], hashes[has], of[has]
-            total, left = t[:, 0][of], (t[:, 1:] @ d[1:])[of]
-            n = np.zeros(len(rows), dtype=np.int64)
-            last = grams[rows, -1]
-            known = np.flatnonzero(last >= 0)
-            n[known] = self.counts(k, parts[of[known]], hashes[known], last[known])
-            p[rows] = (n - d[np.minimum(n, 3)] + left * p[rows]) / total
-        return p
+            has = np.flatnonzero(total > 0)
+            mine = rows[has]
+            p[mine] = (n[has] - d[np.minimum(n[has], 3)] + left[has] * p[mine]) / total[has]
+            if k < self.order:
+                counted = np.zeros(len(word) + 1, dtype=bool)
+                counted[rows + 1] = n > 0
+                seen = counted[:-1] | first
+        return known, base, p
 
 
 def _found(keys: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -666,26 +750,15 @@ def score(docs: DataFrame, about: dict) -> DataFrame:
     """
     text = json.dumps(about)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    total = about["tokens"] + 0.5 * (about["vocabulary"] + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _open(text)
         for b in batches:
             texts = as_bytes(b.column(1))
             for a, z in steps(texts, STEP):
-                words = _words_of(texts[a:z])
-                lengths = np.array([len(w) for w in words])
-                ends = np.cumsum(lengths) - lengths
-                numbers = model.vocabulary.numbers(words)
-                unique, inverse = np.unique(numbers, return_inverse=True)
-                c = model.vocabulary.counts(unique)[inverse]
-                base = np.log10((c + 0.5) / total)
-                if about["tokens"]:
-                    p = model.probabilities(windows(numbers, lengths, model.order, model.vocabulary.size), model.unigram(unique)[inverse])
-                    p = np.log10(p)
-                else:
-                    p = np.zeros(len(c))
-                sums = [np.add.reduceat(x, ends) for x in ((c > 0).astype(np.int64), base, p)]
+                hashes, lengths = hash_tokens(texts[a:z])
+                known, base, p = model.score(hashes, lengths)
+                sums = [np.add.reduceat(x, np.cumsum(lengths) - lengths) for x in (known.astype(np.int64), base, np.log10(p))]
                 yield record_batch(schema, b.column(0).slice(a, z - a), lengths, sums[0], np.full(z - a, about["tokens"]), sums[1], sums[2])
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

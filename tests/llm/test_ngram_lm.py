@@ -86,7 +86,7 @@ def test_orders_shards_and_hot_contexts(spark, order, shard, monkeypatch):
     rng = random.Random(order)
     rows = [(i, " ".join(rng.choice(["a", "a", "a", "b", "c", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 90)))) for i in range(150)]
     rows += [(900, None), (901, ""), (902, "never seen words A B")]
-    monkeypatch.setattr(ngram_lm, "CACHE", 40)
+    monkeypatch.setattr(ngram_lm, "MEMO", 3)
     df = spark.createDataFrame(rows, "doc_id long, t string")
     shared = Shared.create(spark, "lm-test")
     train = df.where("doc_id % 3 <> 0 AND doc_id < 900")
@@ -95,11 +95,26 @@ def test_orders_shards_and_hot_contexts(spark, order, shard, monkeypatch):
     check(ngram_lm.score(df, about).collect(), want)
     # The distribution over all words and the unknown one adds up to 1 after any context.
     model = ngram_lm.Model(about)
-    every = np.append(np.arange(model.vocabulary.size), -1)
-    for context in ([], [0], [model.vocabulary.size], [1, 2], [2, -1], [-1, 3]):
-        context = ([model.vocabulary.size] * order + context)[-(order - 1) :] if order > 1 else []
-        grams = np.array([[*context, w] for w in every], dtype=np.int64)
-        assert model.probabilities(grams).sum() == pytest.approx(1)
+    shards = [i for i in range(len(about["starts"]) - 1) if about["starts"][i] < about["starts"][i + 1]]
+    keys = np.concatenate([*(model.vocabulary.shard(i)["key"] for i in shards), np.array([12345], np.uint64)])
+    for context in ([], [0], [1], [1, 2], [2, -1], [-1, 3], [4, 5, 6], [2, 3, 2, 3]):
+        hashes = np.concatenate([keys[[*context, w]] for w in range(len(keys))])
+        p = model.score(hashes, np.full(len(keys), len(context) + 1))[2]
+        assert p.reshape(len(keys), -1)[:, -1].sum() == pytest.approx(1)
+
+
+def test_tokens_are_hashed_alike():
+    rng = random.Random(1)
+    alphabet = "abAB \t\n\x0b\x0c\r\x1c\u00a0\u00e9\u4e2d.\x00"
+    texts = ["", " ", "a", "x" * 63, "x" * 64, "x" * 65, "Y" * 64 + "z" * 80, "y" * 64 + "z" * 81, "a\x00", "a\x00\x00"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(120))) for _ in range(300)]
+    texts += ["".join(rng.choice("ab  ") * rng.randrange(30) for _ in range(40)) for _ in range(60)]
+    hashes, lengths = ngram_lm.hash_tokens([t.encode() for t in texts])
+    words = [plain_words(t) for t in texts]
+    assert lengths.tolist() == [len(w) for w in words]
+    flat = [x for w in words for x in w]
+    assert len(hashes) == len(flat) and len(set(zip(hashes.tolist(), flat))) == len(set(flat)) == len(set(hashes.tolist()))
+    assert [len(x) for x in ngram_lm.hash_tokens([])] == [0, 0]
 
 
 def test_spread_contexts(spark):
@@ -108,8 +123,8 @@ def test_spread_contexts(spark):
     df = spark.createDataFrame(rows, "doc_id long, t string")
     about = ngram_lm.train(df, Shared.create(spark, "lm-test"), 3, 4000)
     model = ngram_lm.Model(about)
-    a = model.vocabulary.numbers([[b"a"]])
-    assert about["shards"] > 4 and model.deal.parts(a[:, None])[0] > 4
+    a = model.vocabulary.numbers(ngram_lm.hash_tokens([b"a"])[0][:1])
+    assert about["shards"] > 4 and model.deal.parts(model.deal.frequency(a))[0] > 4
     _, want = plain_scores(rows, lambda i: False, 3)
     check(ngram_lm.score(df, about).collect(), want)
 
