@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +17,18 @@ from millrace.sources.tables import read, table, write
 from millrace.streaming.sink import write_table
 
 
-def _engine(spark: SparkSession) -> Engine:
-    """A fresh warehouse in the folder that the cluster shares, or a temporary one in tests."""
+def fresh_engine(spark: SparkSession) -> Engine:
+    """A warehouse of its own in the folder that the cluster shares; a temporary one only where all run in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
-        folder = root.removeprefix("file://").removeprefix("file:")
-        __import__("os").makedirs(folder, exist_ok=True)
-        return Engine(spark, tempfile.mkdtemp(prefix="warehouse-", dir=folder))
+        return Engine(spark, f"{root.rstrip('/')}/warehouse-{uuid.uuid4().hex}")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set, and a folder of this machine isn't seen by the others")
     return Engine(spark, tempfile.mkdtemp(prefix="warehouse-"))
 
 
 def _managed(spark: SparkSession, sf_dir: str, name: str, partition_by: tuple[tuple[str, str], ...] = (), where: str = "true") -> tuple[Engine, Table]:
-    engine = _engine(spark)
+    engine = fresh_engine(spark)
     df = table(spark, sf_dir, name).where(where)
     engine.catalog.create_namespace("lake")
     made = engine.catalog.create_table(f"lake.{name}", df.schema, partition_by)
@@ -87,9 +88,54 @@ def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT p_partkey, p_retailprice FROM lake.part")
 
 
+@query(
+    "merge_conditional",
+    """SELECT p_partkey, CASE WHEN p_size > 45 THEN NULL WHEN p_size > 40 THEN 'large ' || p_brand WHEN p_size > 30 AND p_type <> 'PROMO' THEN lower(p_brand) ELSE p_brand END AS p_brand, CASE WHEN p_size > 40 AND p_size <= 45 THEN 0 ELSE p_size END AS p_size
+       FROM part WHERE p_size <= 45
+       UNION ALL SELECT p_partkey + 1000000, p_brand, p_size FROM part WHERE p_size > 48""",
+)
+def merge_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first clause that holds decides; rows for which none holds stay, or aren't inserted."""
+    engine, parts = _managed(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part")
+    part.where("p_size > 30").unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 1000000)).createOrReplaceTempView("part_changes")
+    engine.sql(
+        """MERGE INTO lake.part AS t USING part_changes AS s ON t.p_partkey = s.p_partkey
+           WHEN MATCHED AND s.p_size > 45 THEN DELETE
+           WHEN MATCHED AND s.p_size > 40 THEN UPDATE SET p_brand = concat('large ', t.p_brand), p_size = 0
+           WHEN MATCHED AND CASE WHEN s.p_type = 'PROMO' THEN false ELSE true END THEN UPDATE SET t.p_brand = lower(s.p_brand)
+           WHEN NOT MATCHED AND s.p_size > 48 THEN INSERT *"""
+    )
+    return engine.sql("SELECT p_partkey, p_brand, p_size FROM lake.part")
+
+
+@query(
+    "merge_insert_list",
+    """SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
+       UNION ALL SELECT c_custkey + 1000000, 'a, WHEN MATCHED', NULL, c_acctbal * 2, NULL FROM customer WHERE c_nationkey = 3
+       UNION ALL SELECT c_custkey + 1000000, upper(c_name), c_nationkey, NULL, NULL FROM customer WHERE c_nationkey BETWEEN 4 AND 6""",
+)
+def merge_insert_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns and values of an INSERT are taken as written; the others are null."""
+    engine, _ = _managed(spark, sf_dir, "customer")
+    table(spark, sf_dir, "customer").createOrReplaceTempView("known_customers")
+    engine.sql(
+        """MERGE INTO lake.customer USING (SELECT *, c_custkey + 1000000 AS new_key FROM known_customers) new ON customer.c_custkey = new.new_key
+           WHEN NOT MATCHED AND new.c_nationkey = 3 THEN INSERT (c_custkey, c_name, c_acctbal) VALUES (new.new_key, 'a, WHEN MATCHED', new.c_acctbal * 2)
+           WHEN NOT MATCHED AND new.c_nationkey BETWEEN 4 AND 6 THEN INSERT (c_nationkey, c_name, c_custkey) VALUES (new.c_nationkey, upper(new.c_name), new.new_key)"""
+    )
+    return engine.sql("SELECT * FROM lake.customer")
+
+
+@query("fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7 OFFSET 3")
+def fetch_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, _ = _managed(spark, sf_dir, "orders")
+    return engine.sql("SELECT o_orderkey FROM lake.orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 3 ROWS FETCH FIRST 7 ROWS ONLY")
+
+
 @query("ddl_roundtrip", "SELECT n_nationkey, n_name AS name, NULL::DOUBLE AS score FROM nation")
 def ddl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = _engine(spark)
+    engine = fresh_engine(spark)
     table(spark, sf_dir, "nation").createOrReplaceTempView("source_nation")
     engine.sql("CREATE NAMESPACE IF NOT EXISTS lake")
     engine.sql("CREATE TABLE lake.n (n_nationkey INT NOT NULL, n_name STRING, n_regionkey INT)")
@@ -121,7 +167,7 @@ def _through(kind: str, select: str, schema: str | None, **options: str):
     """Nations written in a format and read again."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"file://{_engine(spark).catalog.root}/{kind}"
+        path = f"file://{fresh_engine(spark).catalog.root}/{kind}"
         write(table(spark, sf_dir, "nation").selectExpr(*select.split("; ")), kind, path, **options)
         return read(spark, kind, path, schema, **options)
 
@@ -136,7 +182,7 @@ query("scan_text_files", "SELECT n_name AS value FROM nation")(_through("text",
 
 @query("scan_binary_files", "SELECT CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM nation")
 def scan_binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"file://{_engine(spark).catalog.root}/raw"
+    path = f"file://{fresh_engine(spark).catalog.root}/raw"
     write(table(spark, sf_dir, "nation").select("n_name").repartition(3), "text", path)
     files = read(spark, "binaryFile", path, pathGlobFilter="part-*")
     lines = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1
@@ -161,7 +207,7 @@ def evolve_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("namespaces", "SELECT 'lake' AS namespace, 'a' AS \"table\" UNION ALL SELECT 'lake', 'b'")
 def namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = _engine(spark)
+    engine = fresh_engine(spark)
     engine.catalog.create_namespace(("lake", "inner"))
     for t in ("lake.b", "lake.a", "lake.inner.c"):
         engine.sql(f"CREATE TABLE {t} (x INT)")
@@ -177,3 +223,19 @@ def stream_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"file://{feed}")
     write_table(stream, events, f"file://{engine.catalog.root}/checkpoint").awaitTermination()
     return events.refresh().scan(["event_id", "event_type"])
+
+
+@query("stream_two_to_table", "SELECT event_id, event_type FROM events UNION ALL SELECT event_id + 1000000, 'again' FROM events")
+def stream_two_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams into one table, and one of them again with a checkpoint of its own: nothing is lost."""
+    engine, events = _managed(spark, sf_dir, "events", where="false")
+    root = f"file://{engine.catalog.root}"
+    table(spark, sf_dir, "events").where("event_id % 2 = 0").repartition(3).write.parquet(f"{root}/even")
+    table(spark, sf_dir, "events").where("event_id % 2 <> 0").repartition(3).write.parquet(f"{root}/odd")
+    even, odd = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{x}") for x in ("even", "odd"))
+    again = [s.withColumn("event_id", F.col("event_id") + 1000000).withColumn("event_type", F.lit("again")) for s in (even, odd)]
+    streams = [write_table(s, engine.catalog.load_table("lake.events"), f"{root}/checkpoint-{k}") for k, s in enumerate([even, odd, *again])]
+    for s in streams:
+        s.awaitTermination()
+    write_table(even, events, f"{root}/checkpoint-0").awaitTermination()  # has nothing more to do
+    return events.refresh().scan(["event_id", "event_type"])

@@ -86,24 +86,12 @@ def distinct_on_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 same(
     "unnest_array",
-    "SELECT doc_id, pos, word FROM (SELECT doc_id, split(substring(text, 1, 200), ' ') AS words FROM documents) LATERAL VIEW posexplode(words) t AS pos, word",
-    """SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, words[i] AS word FROM (SELECT doc_id, string_split(substring(text, 1, 200), ' ') AS words FROM documents),
-       LATERAL (SELECT unnest(generate_series(1, len(words))) AS i)""",
-)
-same(
-    "unnest_outer",
-    "SELECT vec_id, x FROM embeddings LATERAL VIEW OUTER explode(filter(slice(embedding, 1, 4), e -> e > 0.15)) t AS x",
-    """SELECT vec_id, x FROM (SELECT vec_id, list_filter(embedding[1:4], lambda e: e > 0.15) AS xs FROM embeddings)
-       LEFT JOIN LATERAL (SELECT unnest(xs) AS x) ON true""",
-)
-same(
-    "unnest_words",
     "SELECT doc_id, pos, word FROM (SELECT doc_id, split(text, ' ') AS words FROM documents) LATERAL VIEW posexplode(words) t AS pos, word",
     """SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, words[i] AS word FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents),
        LATERAL (SELECT unnest(generate_series(1, len(words))) AS i)""",
 )
 same(
-    "unnest_vector",
+    "unnest_outer",
     "SELECT vec_id, x FROM embeddings LATERAL VIEW OUTER explode(filter(embedding, e -> e > 0.15)) t AS x",
     """SELECT vec_id, x FROM (SELECT vec_id, list_filter(embedding, lambda e: e > 0.15) AS xs FROM embeddings)
        LEFT JOIN LATERAL (SELECT unnest(xs) AS x) ON true""",

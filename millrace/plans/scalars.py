@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.udf import clipped, register_sql_functions
+from millrace.functions.udf import Words, clipped, geometric_mean, register_sql_functions
 from millrace.functions.vector import cosine, dot, norm
 from millrace.plans.catalogue import query
 from millrace.plans.relational import same
@@ -44,14 +44,14 @@ same(
 same("fn_regex_instr", "SELECT p_partkey, CAST(regexp_instr(p_brand, '[0-9]') AS BIGINT) AS at FROM part", "SELECT p_partkey, CAST(CASE WHEN regexp_matches(p_brand, '[0-9]') THEN length(regexp_extract(p_brand, '^[^0-9]*')) + 1 ELSE 0 END AS BIGINT) AS at FROM part")
 same(
     "fn_hash",
-    "SELECT doc_id, md5(text) AS m, sha1(text) AS s1, sha2(text, 256) AS s2, url_encode(substring(text, 1, 40)) AS ue FROM documents",
-    "SELECT doc_id, md5(text) AS m, sha1(text) AS s1, sha256(text) AS s2, replace(replace(url_encode(substring(text, 1, 40)), '%20', '+'), '%2A', '*') AS ue FROM documents",
+    "SELECT doc_id, md5(text) AS m, sha1(text) AS s1, sha2(text, 256) AS s2 FROM documents",
+    "SELECT doc_id, md5(text) AS m, sha1(text) AS s1, sha256(text) AS s2 FROM documents",
 )
 
 
 @query("fn_hash_more")
 def fn_hash_more(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, "SELECT doc_id, crc32(CAST(text AS BINARY)) AS c, xxhash64(text) AS x, hash(text) AS h, url_decode(url_encode(substring(text, 1, 40))) = substring(text, 1, 40) AS same FROM documents")
+    return sql(spark, sf_dir, "SELECT doc_id, crc32(CAST(text AS BINARY)) AS c, xxhash64(text) AS x, hash(text) AS h, url_decode(url_encode(text)) = text AS same FROM documents")
 
 
 same(
@@ -78,6 +78,7 @@ def fn_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.rand(3).between(0, 1).alias("r"), F.shuffle(F.array(F.lit(1), F.lit(2))).alias("s"))
 
 
+same("fn_log_base", "SELECT event_id, round(log(2.0D, value + 1), 9) AS l2, round(log(10.0D, value + 1), 9) AS l10 FROM events", "SELECT event_id, round(ln(value + 1) / ln(2), 9) AS l2, round(ln(value + 1) / ln(10), 9) AS l10 FROM events")
 same(
     "fn_bit",
     "SELECT event_id, shiftleft(event_id, 3) AS sl, shiftright(event_id, 2) AS sr, bit_count(event_id) AS bc, ~event_id AS nt, event_id & 12 AS an, event_id | 5 AS orr, event_id ^ 9 AS xo FROM events",
@@ -98,6 +99,9 @@ same(
 )
 
 
+same("fn_day_of_month", "SELECT o_orderkey, CAST(dayofmonth(o_orderdate) AS BIGINT) AS d FROM orders", "SELECT o_orderkey, dayofmonth(o_orderdate) AS d FROM orders")
+
+
 @query("fn_date_more")
 def fn_date_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions of the present moment and of time zones."""
@@ -141,6 +145,7 @@ same(
     """SELECT event_id, props->>'$.k' AS k, CAST(props->>'$.k' AS INTEGER) AS ki, CAST(json_object('id', event_id, 't', event_type) AS VARCHAR) AS js, CAST(json_array_length('[1,2,3]') AS BIGINT) AS jl,
       array_to_string(json_keys(props), ',') AS ks, CAST(props->>'$.k' AS INTEGER) AS vk FROM events""",
 )
+same("fn_json_schema", """SELECT n_nationkey, schema_of_json('{"a": 1, "b": ["x"]}') AS s FROM nation""", "SELECT n_nationkey, 'STRUCT<a: BIGINT, b: ARRAY<STRING>>' AS s FROM nation")
 same("fn_json_tuple", "SELECT event_id, j.k FROM events LATERAL VIEW json_tuple(props, 'k') j AS k", "SELECT event_id, props->>'$.k' AS k FROM events")
 same(
     "fn_cond",
@@ -182,3 +187,14 @@ def udtf_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("udf_vectorised", "SELECT event_id, greatest(least(value, 60.0), 20.0) AS v FROM events")
 def udf_vectorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", clipped(F.col("value"), F.lit(20.0), F.lit(60.0)).alias("v"))
+
+
+@query("udaf_python", "SELECT event_type, round(exp(avg(ln(value + 1))), 6) AS g FROM events GROUP BY event_type")
+def udaf_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(geometric_mean(F.col("value") + 1), 6).alias("g"))
+
+
+@query("udtf_python", "SELECT p_partkey, w AS word, CAST(i AS INTEGER) AS place FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part) WHERE w <> ''")
+def udtf_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.udtf.register("words_of", Words)
+    return sql(spark, sf_dir, "SELECT p_partkey, word, place FROM part, LATERAL words_of(p_name)")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.windows import sessions
 from millrace.plans.catalogue import query
+from millrace.plans.engine import Engine
+from millrace.plans.lakehouse import fresh_engine
 from millrace.sources.tables import table
 from millrace.streaming import windows
+from millrace.streaming.sink import upsert_table, write_table
 
 
 @query("window_tumbling", "SELECT date_trunc('hour', ts) AS opened, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
@@ -48,23 +50,53 @@ def session_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", "6 HOURS").select("event_id", "session")
 
 
+def _fed(spark: SparkSession, sf_dir: str, name: str) -> tuple[Engine, DataFrame]:
+    """A fresh warehouse, and a table of the tests as a stream of some files."""
+    engine = fresh_engine(spark)
+    engine.catalog.create_namespace("lake")
+    feed = f"file://{engine.catalog.root}/feed"
+    rows = table(spark, sf_dir, name)
+    rows.repartition(4).write.parquet(feed)
+    return engine, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(feed)
+
+
+def _landed(engine: Engine, stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The stream run into a managed table until it has caught up: appended, or the last row of each key."""
+    made = engine.catalog.create_table("lake.found", T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema]))
+    checkpoint = f"file://{engine.catalog.root}/checkpoint"
+    (upsert_table(stream, made, keys, checkpoint) if keys else write_table(stream, made, checkpoint)).awaitTermination()
+    return made.refresh().scan()
+
+
 @query("stream_tumbling", "SELECT date_trunc('day', ts) AS opened, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Parquet file stream through a watermarked aggregate into a table, run until it has caught up."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/")
-    if not _is_file(spark, f"{sf_dir}/events.parquet"):
-        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
-    name = f"stream_{uuid.uuid4().hex}"
-    found = windows.tumbling(stream, "ts", "1 day", ("event_type",), late="1 hour", n=F.count("*"))
-    running = found.writeStream.format("memory").queryName(name).outputMode("complete").start()
-    try:
-        running.processAllAvailable()
-    finally:
-        running.stop()
-    return spark.table(name)
-
-
-def _is_file(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+    """A watermarked aggregate in update mode, upserted into a managed table."""
+    engine, events = _fed(spark, sf_dir, "events")
+    found = windows.tumbling(events, "ts", "1 day", ("event_type",), late="60 days", n=F.count("*"))
+    return _landed(engine, found, ["opened", "event_type"])
+
+
+@query("stream_deduplicated", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, events = _fed(spark, sf_dir, "events")
+    return _landed(engine, windows.deduplicated(events, "ts", ["user_id", "event_type"], "60 days").select("user_id", "event_type"))
+
+
+@query(
+    "stream_interval_join",
+    """SELECT a.user_id, a.event_id AS seen_id, b.event_id AS bought_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 12 HOUR
+       WHERE a.event_type = 'view' AND b.event_type = 'purchase'""",
+)
+def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases within twelve hours after a view, stream to stream."""
+    engine, events = _fed(spark, sf_dir, "events")
+    seen = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("seen_id"), F.col("ts").alias("seen_at"))
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought_id"), F.col("ts").alias("bought_at"))
+    found = windows.interval_join(seen, bought, "user_id", "seen_at", "bought_at", "12 hours", "60 days")
+    return _landed(engine, found.select("user_id", "seen_id", "bought_id"))
+
+
+@query("stream_stateful", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id")
+def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, events = _fed(spark, sf_dir, "events")
+    return _landed(engine, windows.running_totals(events, "user_id", "value"), ["user_id"]).withColumn("total", F.round("total", 2))

@@ -168,6 +168,87 @@ def test_merge(numbers, spark):
     assert numbers.scan().count() == 4
 
 
+def test_merge_clauses_as_written(catalog, spark):
+    e = Engine(spark, "", catalog=catalog)
+    e.sql("CREATE TABLE default.t (id BIGINT NOT NULL, v BIGINT, at STRING)")
+    e.sql("INSERT INTO default.t VALUES (1, 10, 'a'), (2, 20, 'b'), (3, 30, 'c')")
+    spark.createDataFrame([(1, 1), (2, 99), (3, 5), (4, 50), (5, 7), (None, 60)], "id long, v long").createOrReplaceTempView("src")
+    e.sql("MERGE INTO default.t t USING src s ON t.id = s.id WHEN MATCHED AND s.v > 50 THEN UPDATE SET v = s.v WHEN MATCHED AND s.v = 5 THEN DELETE WHEN NOT MATCHED AND s.v > 10 AND s.id IS NOT NULL THEN INSERT (id, v) VALUES (s.id, s.v * 2)")
+    assert values(e.sql("SELECT * FROM default.t"), "id", "v", "at") == [(1, 10, "a"), (2, 99, "b"), (4, 100, None)]
+    # Aliases the other way round, names in texts, a condition that isn't an equation of one name, several source rows of which one applies.
+    spark.createDataFrame([(1, 500, "t.id THEN DELETE"), (1, 2, "x"), (40, 1, "y")], "key long, v long, w string").createOrReplaceTempView("src")
+    e.sql("MERGE INTO default.t AS s USING src AS t ON s.id = t.key WHEN MATCHED AND t.v > 100 THEN UPDATE SET s.at = concat(t.w, ' WHEN MATCHED'), v = s.v + t.v WHEN NOT MATCHED THEN INSERT VALUES (t.key, t.v, NULL)")
+    assert values(e.sql("SELECT * FROM default.t"), "id", "v", "at") == [(1, 510, "t.id THEN DELETE WHEN MATCHED"), (2, 99, "b"), (4, 100, None), (40, 1, None)]
+    for bad in (
+        "WHEN NOT MATCHED BY SOURCE THEN DELETE",
+        "WHEN MATCHED THEN INSERT *",
+        "WHEN NOT MATCHED THEN DELETE",
+        "WHEN MATCHED THEN UPDATE SET v",
+        "WHEN NOT MATCHED THEN INSERT (id) VALUES (t.key, 1)",
+        "WHEN MATCHED THEN DELETE nonsense",
+        "WHEN MATCHED THEN UPDATE SET nothing = 1",
+    ):
+        with pytest.raises((ValueError, SchemaError)):
+            e.sql(f"MERGE INTO default.t AS s USING src AS t ON s.id = t.key AND t.v > 100 {bad}")
+    with pytest.raises(ValueError, match="two source rows"):
+        e.sql("MERGE INTO default.t AS s USING src AS t ON s.id = t.key WHEN MATCHED THEN DELETE")
+    assert e.sql("SELECT * FROM default.t").count() == 4
+
+
+def test_merge_meets_a_concurrent_append(numbers, spark, monkeypatch):
+    """A key that another writer adds while the merge is worked out isn't inserted twice."""
+    write, other = lakehouse.Table._write, numbers.catalog.load_table("default.n")
+    late = [spark.createDataFrame([(9, 1.0, "other")], "k long, v double, s string")]
+
+    def slow(self, df):
+        found = write(self, df)
+        if self is numbers and late:
+            other.append(late.pop())
+        return found
+
+    monkeypatch.setattr(lakehouse.Table, "_write", slow)
+    numbers.merge(spark.createDataFrame([(9, 90.0, "merged"), (1, 10.0, "merged")], "k long, v double, s string"), ["k"])
+    assert [r for r in values(numbers.refresh().scan(), "k", "v", "s") if r[0] in (1, 9)] == [(1, 10.0, "merged"), (9, 90.0, "merged")]
+    late.append(spark.createDataFrame([(10, 1.0, "other")], "k long, v double, s string"))
+    with pytest.raises(CommitConflict):
+        numbers.merge(spark.createDataFrame([(10, 90.0, "merged")], "k long, v double, s string"), ["k"], attempts=1)
+
+
+def test_metadata_stays_small(numbers, spark):
+    row = spark.createDataFrame([(5, 5.0, "e")], "k long, v double, s string")
+    for k in range(4):
+        numbers.append(row, batch_id=("stream", k)).append(row, batch_id=("stream", max(0, k - 1)))
+    assert numbers.scan().count() == 8 and numbers.meta["batches"] == {"main/stream": 3}
+    numbers.create_ref("kept", 1).expire_snapshots(2)
+    assert [r.snapshot_id for r in numbers.snapshots().collect()] == [1, 4, 5]
+    numbers.append(row)
+    assert numbers.meta["refs"]["main"] == 6 and numbers.scan().count() == 9 and numbers.scan(ref="kept").count() == 4
+    with pytest.raises(LookupError):
+        numbers.scan(snapshot_id=3)
+
+
+def test_a_taken_location_stays(catalog, tmp_path):
+    place = str(tmp_path / "place")
+    catalog.create_table("default.t", EVENTS, location=place)
+    with pytest.raises(ValueError):
+        catalog.create_table("default.u", EVENTS, location=place)
+
+
+def test_partitions_get_few_files(catalog, spark):
+    t = catalog.create_table("default.t", T.StructType([T.StructField("d", T.LongType()), T.StructField("x", T.LongType())]), [("d", "identity")])
+    t.append(spark.range(4000).selectExpr("id % 10 AS d", "id AS x").repartition(16))
+    assert len(t.files(t.snapshot())) <= 20 and t.scan().count() == 4000
+
+
+def test_files_by_path_and_fetch_first(catalog, spark, tmp_path):
+    e = Engine(spark, "", catalog=catalog)
+    spark.range(10).write.parquet(str(tmp_path / "raw.files"))
+    assert e.sql(f"SELECT count(*) AS n FROM parquet.`{tmp_path}/raw.files`").first().n == 10
+    e.sql("CREATE TABLE default.t AS SELECT * FROM range(20)")
+    assert values(e.sql("SELECT id, 'FETCH FIRST 1 ROWS ONLY' AS t FROM default.t ORDER BY id OFFSET 2 ROWS FETCH NEXT 3 ROWS ONLY"), "id") == [(2,), (3,), (4,)]
+    assert e.sql("SELECT id FROM default.t ORDER BY id FETCH FIRST ROW ONLY").collect() == [(0,)]
+
+
 def test_time_travel_refs_and_compaction(numbers, spark):
     for k in range(5, 9):
         numbers.append(spark.createDataFrame([(k, 1.0, "z")], "k long, v double, s string"))
@@ -281,6 +362,22 @@ def test_access_rules(catalog, spark, tmp_path):
             reader.sql(text)
     with pytest.raises(AccessDenied):
         Engine(spark, "", policy, "nobody", catalog).sql("SELECT * FROM default.n")
+    for text in ("CREATE NAMESPACE mine", "DROP NAMESPACE default", "CREATE TABLE mine.t (x INT)"):
+        with pytest.raises(AccessDenied):
+            reader.sql(text)
+    admin = Engine(spark, "", policy, "admin", catalog)
+    admin.sql("CREATE NAMESPACE theirs")
+    admin.sql("CREATE TABLE theirs.t (x INT)")
+    assert values(reader.sql("SHOW NAMESPACES"), "namespace") == [("default",)] and reader.sql("SHOW TABLES IN theirs").count() == 0
+    assert ("t",) in values(admin.sql("SHOW TABLES IN theirs"), "table")
+    with pytest.raises(AccessDenied):
+        Engine(spark, "", policy, "nobody", catalog).sql("SHOW NAMESPACES")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION twice(x INT) RETURNS INT RETURN x * 2")
+    assert admin.sql("SELECT twice(x) AS y, upper('a') AS u FROM default.n").count() == 0
+    assert reader.sql("SELECT upper('a') AS u FROM default.n").count() == 0
+    for text in ("SELECT twice(x) AS y FROM default.n", "SELECT 1 AS x WHERE EXISTS (SELECT 1 FROM default.n WHERE twice(x) > 1)"):
+        with pytest.raises(AccessDenied):
+            reader.sql(text)
     assert policy.owns_schema("admin", "main", "default") and not policy.owns_schema("reader", "main", "default")
     assert policy.may_call("admin", "main", "f") and not policy.may_call("reader", "main", "f")
     path.write_text("{}")

@@ -1,9 +1,14 @@
 """Every registered query with SQL equals the oracle; the others run."""
 
+import datetime as dt
+import zlib
+
 import pytest
+import xxhash
 
 import __spark_entry__ as entry
 from millrace.plans import catalogue
+from millrace.sources.tables import table
 from tests.oracle import compare
 
 NAMES = sorted(catalogue.queries())
@@ -38,3 +43,63 @@ def test_no_nested_loops(spark, sf):
     for name in ("join_range", "join_overlap", "join_asof"):
         plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_functions_without_an_oracle_by_value(spark, sf):
+    """What the oracle lacks, against Python's own libraries."""
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    for r in catalogue.queries()["fn_hash_more"](spark, sf).collect():
+        raw = texts[r.doc_id].encode()
+        assert r.c == zlib.crc32(raw) and r.x % (1 << 64) == xxhash.xxh64_intdigest(raw, 42) and r.h == murmur(raw) and r.same
+    names = {r.c_custkey: r.c_name for r in table(spark, sf, "customer").select("c_custkey", "c_name").collect()}
+    for r in catalogue.queries()["fn_string_more"](spark, sf).collect():
+        name = names[r.c_custkey]
+        assert (r.sx, r.lo, r.en, bytes(r.un), r.ub) == (soundex(name), name.find("0", 4) + 1, name, name.encode(), name)
+    times = {r.event_id: r.ts for r in table(spark, sf, "events").select("event_id", "ts").collect()}
+    for r in catalogue.queries()["fn_date_more"](spark, sf).collect():
+        ts = times[r.event_id]
+        months = (ts.year - 2023) * 12 + ts.month - 1 + (ts.day - 1) / 31
+        assert r.today and r.now and r.fu == dt.datetime.fromtimestamp(r.event_id, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        assert r.tz == ts + dt.timedelta(hours=9) and r.mb == pytest.approx(months, abs=1e-7) and r.iv == "2 days" and r.ta.replace(tzinfo=None) == ts + dt.timedelta(minutes=5)
+
+
+def murmur(data, seed=42):
+    """Murmur3 in 32 bits as Spark has it: the bytes after the last whole word go in one by one, sign-extended."""
+    h = seed
+
+    def turn(x, n):
+        return (x << n | x >> (32 - n)) & 0xFFFFFFFF
+
+    words = [int.from_bytes(data[i : i + 4], "little") for i in range(0, len(data) - len(data) % 4, 4)]
+    for k in words + [b - 256 & 0xFFFFFFFF if b > 127 else b for b in data[len(data) - len(data) % 4 :]]:
+        h ^= turn(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+        h = turn(h, 13) * 5 + 0xE6546B64 & 0xFFFFFFFF
+    h ^= len(data)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> shift) * by & 0xFFFFFFFF
+    return h - (1 << 32) if h >> 31 else h
+
+
+def soundex(word):
+    codes = {c: str(k) for k, cs in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in cs}
+    out, last = word[0].upper(), codes.get(word[0].lower())
+    for c in word[1:].lower():
+        code = codes.get(c)
+        if code and code != last:
+            out += code
+        if c not in "hw":
+            last = code
+    return (out + "000")[:4]
+
+
+def test_approximate_aggregates_are_near(spark, sf):
+    rows = {r.l_returnflag: r for r in catalogue.queries()["agg_approx"](spark, sf).collect()}
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_partkey", "l_quantity").collect()
+    for flag, r in rows.items():
+        mine = [x for x in lines if x.l_returnflag == flag]
+        assert r.orders == pytest.approx(len({x.l_orderkey for x in mine}), rel=0.15) and r.parts == pytest.approx(len({x.l_partkey for x in mine}), rel=0.1)
+        quantities = sorted(x.l_quantity for x in mine)
+        assert all(abs(q - quantities[int(len(mine) * s)]) <= 1 for q, s in zip(r.quartiles, (0.25, 0.5, 0.75)))
+        assert sum(b.y for b in r.histogram) == len(mine)
+    found = catalogue.queries()["sample_rows"](spark, sf)
+    assert 0 < found.count() and found.distinct().count() == found.count()

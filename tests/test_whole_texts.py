@@ -17,12 +17,12 @@ def folder(spark, tmp_path):
 
 
 def test_every_word(spark, folder):
-    rows = sorted(map(tuple, catalogue.queries()["unnest_words"](spark, folder).collect()))
+    rows = sorted(map(tuple, catalogue.queries()["unnest_array"](spark, folder).collect()))
     assert rows == [(1, i, w) for i, w in enumerate(TEXT.split(" "))] + [(2, 0, "")]
 
 
 def test_every_component(spark, folder):
-    assert sorted(map(tuple, catalogue.queries()["unnest_vector"](spark, folder).collect()), key=str) == [(1, 0.5), (2, None), (3, None)]
+    assert sorted(map(tuple, catalogue.queries()["unnest_outer"](spark, folder).collect()), key=str) == [(1, 0.5), (2, None), (3, None)]
 
 
 def test_every_character(spark, folder):
