@@ -2,9 +2,12 @@
 
 Every line with a word is a position of the chain; its two labels are *content* and
 *boilerplate*.  Weights are fitted by maximum likelihood (forward-backward) on a bounded sample of
-documents whose ``quality`` is known, every line taking its document's label; the chain's
-transition weights let a line lean on its neighbours.  Viterbi decoding marks the lines of every
-whole text, and the share of words in content lines decides whether the document stays.
+documents whose ``quality`` is known.  The lines' own labels aren't known: a document's label is
+evidence for each of its lines, and must hold for most of them.  Fitting starts from lines by
+themselves and then goes back and forth between labelling the lines (Viterbi, with that evidence)
+and fitting the chain to them, so good documents may hold boilerplate and bad ones content, and the
+chain's transition weights tell how labels follow each other.  Viterbi decoding marks the lines of
+every whole text, and the share of words in content lines decides whether the document stays.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from millrace.llm.common import as_bytes, hashed_sample, mix, record_batch, step
 #: Parameters.  ``SAMPLE`` documents of each label at most are fitted, on all of their lines.
 MIN_WORDS, WINDOW, REPEAT_SHARE, CONTENT_SHARE = 10, 5, 20, 0.5
 SAMPLE = 1000
+#: What a document's label adds to the score of that label in each of its lines, and how often lines are labelled anew.
+EVIDENCE, PASSES = 0.5, 3
 SYMBOLS = b"#*$%&|<>"
 _CONTINUED = bytes(range(0x80, 0xC0))
 _DIGITS = b"0123456789"
@@ -160,7 +165,7 @@ def _logadd(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 def likelihood(crf: Crf, x: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood of all lines having their document's label, and its gradients."""
+    """Log-likelihood of the lines' labels (int[documents, lines]), and its gradients."""
     n, most, _ = x.shape
     scores = x @ crf.unary.astype(np.float32)
     inside = np.arange(most)[None, :] < lengths[:, None]
@@ -175,42 +180,77 @@ def likelihood(crf: Crf, x: np.ndarray, lengths: np.ndarray, labels: np.ndarray)
         backward[:, t] = np.where(inside[:, t + 1, None], step, 0)
     z = _logadd(forward[:, -1], 1)
     expected = np.exp(forward + backward - z[:, None, None]) * inside[..., None]
-    seen = np.eye(2)[labels][:, None, :] * inside[..., None]
+    seen = np.eye(2)[labels] * inside[..., None]
     g_unary = np.tensordot(x, seen - expected, axes=([0, 1], [0, 1]))
     pair = forward[:, :-1, :, None] + crf.move + (scores[:, 1:] + backward[:, 1:])[:, :, None, :]
     pair = np.exp(pair - z[:, None, None, None]) * inside[:, 1:, None, None]
-    g_move = -pair.sum(axis=(0, 1))
-    g_move[[0, 1], [0, 1]] += [(lengths[labels == k] - 1).sum() for k in (0, 1)]
-    gold = (scores * seen).sum() + sum((lengths[labels == k] - 1).sum() * crf.move[k, k] for k in (0, 1))
-    return float(gold - z.sum()), g_unary, g_move
+    moved = np.einsum("nta,ntb->ab", seen[:, :-1], seen[:, 1:])  # lines outside have no label
+    gold = (scores * seen).sum() + (moved * crf.move).sum()
+    return float(gold - z.sum()), g_unary, moved - pair.sum(axis=(0, 1))
 
 
-def fit(lines: list[np.ndarray], labels: list[int], rounds: int = 80, rate: float = 0.15, ridge: float = 1e-3) -> Crf:
-    """Weights by gradient ascent with per-weight step sizes; the classes weigh the same."""
+def relabel(crf: Crf, lines: list[np.ndarray], labels: list[int], evidence: float = EVIDENCE) -> list[np.ndarray]:
+    """The best labels of the documents' lines, given the documents' own; a document that would lose its label keeps it in all lines."""
+    text = np.repeat(np.arange(len(lines)), [len(f) for f in lines])
+    own = np.array(labels)[text]
+    every = np.concatenate(lines).astype(np.float64) @ crf.unary
+    every[np.arange(len(own)), own] += evidence
+    found = best_path(every, crf.move, text, len(lines))
+    agrees = np.bincount(text, weights=found == own, minlength=len(lines)) * 2 > np.bincount(text, minlength=len(lines))
+    found = np.where(agrees[text], found, own)
+    return np.split(found.astype(np.int64), np.cumsum([len(f) for f in lines])[:-1])
+
+
+def fit(lines: list[np.ndarray], labels: list[int], rounds: int = 80, rate: float = 0.15, ridge: float = 1e-3, passes: int = PASSES) -> Crf:
+    """Weights by gradient ascent with per-weight step sizes; lines are labelled ``passes`` times."""
     kept = [(f, y) for f, y in zip(lines, labels) if len(f)]
     if len({y for _, y in kept}) < 2:
         return Crf.indifferent()
-    size = np.array([(len(f) - 1).bit_length() for f, _ in kept])
-    batches = []  # documents of like length, so that a long one pads few others
-    for k in np.unique(size):
-        of = [kept[i] for i in np.flatnonzero(size == k)]
-        batches.append((*_padded([f for f, _ in of]), np.array([y for _, y in of])))
+    lines, labels = [f for f, _ in kept], [y for _, y in kept]
+    size = np.array([(len(f) - 1).bit_length() for f in lines])
+    groups = [np.flatnonzero(size == k) for k in np.unique(size)]  # documents of like length, so that a long one pads few others
+    padded = [_padded([lines[i] for i in of]) for of in groups]
+    total = sum(map(len, lines))
+
+    def ascend(crf: Crf, of_lines: list[np.ndarray], rounds: int, chained: bool) -> None:
+        batches = []
+        for of, (x, lengths) in zip(groups, padded):
+            y = np.zeros(x.shape[:2], dtype=np.int64)
+            for row, i in enumerate(of):
+                y[row, : len(of_lines[i])] = of_lines[i]
+            batches.append((x, lengths, y))
+        moment, square = [0.0, 0.0], [0.0, 0.0]
+        for k in range(1, rounds + 1):
+            gradients = [sum(g) for g in zip(*(likelihood(crf, *batch)[1:] for batch in batches))]
+            for i, (w, g) in enumerate(zip((crf.unary, crf.move), gradients)):
+                if i and not chained:
+                    continue
+                g = g / total - ridge * w
+                moment[i] = 0.9 * moment[i] + 0.1 * g
+                square[i] = 0.99 * square[i] + 0.01 * g * g
+                w += rate * (moment[i] / (1 - 0.9**k)) / (np.sqrt(square[i] / (1 - 0.99**k)) + 1e-8)
+
     crf = Crf(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
-    total, moment, square = sum(len(f) for f, _ in kept), [0.0, 0.0], [0.0, 0.0]
-    for k in range(1, rounds + 1):
-        gradients = [sum(g) for g in zip(*(likelihood(crf, *batch)[1:] for batch in batches))]
-        for i, (w, g) in enumerate(zip((crf.unary, crf.move), gradients)):
-            g = g / total - ridge * w
-            moment[i] = 0.9 * moment[i] + 0.1 * g
-            square[i] = 0.99 * square[i] + 0.01 * g * g
-            w += rate * (moment[i] / (1 - 0.9**k)) / (np.sqrt(square[i] / (1 - 0.99**k)) + 1e-8)
+    own = [np.full(len(f), y, dtype=np.int64) for f, y in zip(lines, labels)]
+    ascend(crf, own, rounds, chained=False)
+    before = None
+    for k in range(passes):
+        found = relabel(crf, lines, labels)
+        if before is not None and all(np.array_equal(a, b) for a, b in zip(before, found)):
+            break
+        ascend(crf, found, rounds if k == 0 else rounds // 2, chained=True)
+        before = found
     return crf
 
 
 def viterbi(crf: Crf, lines: Lines, n_texts: int) -> np.ndarray:
-    """The best label of every line.  Texts of like length are decoded together, a position at a time."""
-    scores = lines.features.astype(np.float64) @ crf.unary
-    lengths = np.bincount(lines.text, minlength=n_texts)
+    """The best label of every line."""
+    return best_path(lines.features.astype(np.float64) @ crf.unary, crf.move, lines.text, n_texts)
+
+
+def best_path(scores: np.ndarray, move: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
+    """Viterbi; texts of like length are decoded together, a position at a time."""
+    lengths = np.bincount(text, minlength=n_texts)
     starts = np.cumsum(lengths) - lengths
     out = np.zeros(len(scores), dtype=np.int8)
     size = np.where(lengths > 0, np.ceil(np.log2(np.maximum(lengths, 1))).astype(int), -1)
@@ -223,7 +263,7 @@ def viterbi(crf: Crf, lines: Lines, n_texts: int) -> np.ndarray:
         back = np.zeros((most, len(of), 2), dtype=np.int8)
         for t in range(1, most):
             go = t < length
-            ways = best[:, :, None] + crf.move
+            ways = best[:, :, None] + move
             back[t] = ways.argmax(axis=1)
             step = ways.max(axis=1) + scores[np.minimum(start + t, len(scores) - 1)]
             best = np.where(go[:, None], step, best)
@@ -293,7 +333,11 @@ def quality(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_good(docs: DataFrame, crf: Crf, text_col: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that stay, with all their columns, in one pass without a shuffle.
+
+    Null, empty and wordless texts go (they fail the counts); repeated rows stay or go together; an
+    empty table gives an empty table; columns may have any names.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
