@@ -167,7 +167,7 @@ def _through(kind: str, select: str, schema: str | None, **options: str):
     """Nations written in a format and read again."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"file://{fresh_engine(spark).catalog.root}/{kind}"
+        path = f"{fresh_engine(spark).catalog.root.uri}/{kind}"
         write(table(spark, sf_dir, "nation").selectExpr(*select.split("; ")), kind, path, **options)
         return read(spark, kind, path, schema, **options)
 
@@ -182,7 +182,7 @@ query("scan_text_files", "SELECT n_name AS value FROM nation")(_through("text",
 
 @query("scan_binary_files", "SELECT CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM nation")
 def scan_binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"file://{fresh_engine(spark).catalog.root}/raw"
+    path = f"{fresh_engine(spark).catalog.root.uri}/raw"
     write(table(spark, sf_dir, "nation").select("n_name").repartition(3), "text", path)
     files = read(spark, "binaryFile", path, pathGlobFilter="part-*")
     lines = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1
@@ -218,10 +218,10 @@ def namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file stream into a managed table, exactly once."""
     engine, events = _managed(spark, sf_dir, "events", where="false")
-    feed = f"{engine.catalog.root}/feed"
-    table(spark, sf_dir, "events").repartition(3).write.parquet(f"file://{feed}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"file://{feed}")
-    write_table(stream, events, f"file://{engine.catalog.root}/checkpoint").awaitTermination()
+    feed = f"{engine.catalog.root.uri}/feed"
+    table(spark, sf_dir, "events").repartition(3).write.parquet(feed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(feed)
+    write_table(stream, events, f"{engine.catalog.root.uri}/checkpoint").awaitTermination()
     return events.refresh().scan(["event_id", "event_type"])
 
 
@@ -229,7 +229,7 @@ def stream_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_two_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams into one table, and one of them again with a checkpoint of its own: nothing is lost."""
     engine, events = _managed(spark, sf_dir, "events", where="false")
-    root = f"file://{engine.catalog.root}"
+    root = engine.catalog.root.uri
     table(spark, sf_dir, "events").where("event_id % 2 = 0").repartition(3).write.parquet(f"{root}/even")
     table(spark, sf_dir, "events").where("event_id % 2 <> 0").repartition(3).write.parquet(f"{root}/odd")
     even, odd = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{x}") for x in ("even", "odd"))

@@ -54,7 +54,7 @@ def _fed(spark: SparkSession, sf_dir: str, name: str) -> tuple[Engine, DataFrame
     """A fresh warehouse, and a table of the tests as a stream of some files."""
     engine = fresh_engine(spark)
     engine.catalog.create_namespace("lake")
-    feed = f"file://{engine.catalog.root}/feed"
+    feed = f"{engine.catalog.root.uri}/feed"
     rows = table(spark, sf_dir, name)
     rows.repartition(4).write.parquet(feed)
     return engine, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(feed)
@@ -63,7 +63,7 @@ def _fed(spark: SparkSession, sf_dir: str, name: str) -> tuple[Engine, DataFrame
 def _landed(engine: Engine, stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The stream run into a managed table until it has caught up: appended, or the last row of each key."""
     made = engine.catalog.create_table("lake.found", T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema]))
-    checkpoint = f"file://{engine.catalog.root}/checkpoint"
+    checkpoint = f"{engine.catalog.root.uri}/checkpoint"
     (upsert_table(stream, made, keys, checkpoint) if keys else write_table(stream, made, checkpoint)).awaitTermination()
     return made.refresh().scan()
 

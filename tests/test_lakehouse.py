@@ -20,6 +20,7 @@ from millrace.service import Service, server
 from millrace.settings import Settings, catalog_options
 from millrace.sources import lakehouse
 from millrace.sources.lakehouse import Catalog, CommitConflict, NoSuchNamespace, NoSuchTable
+from millrace.sources.place import LocalPlace, StorePlace
 from millrace.sources.pruning import Filter
 from millrace.sources.schema import SchemaError
 from millrace.sources.storage import ObjectStore
@@ -234,6 +235,39 @@ def test_a_taken_location_stays(catalog, tmp_path):
         catalog.create_table("default.u", EVENTS, location=place)
 
 
+def test_places(spark, tmp_path):
+    local = LocalPlace(tmp_path / "a")
+    store = StorePlace(spark, f"file://{tmp_path}/b")  # Spark's own file systems, over local files
+    for place in (local, store):
+        place.make_folder()
+        (place / "x").replace("{}")
+        (place / "x").replace('{"é": 1}')
+        (place / "in" / "deep").make_folder()
+        (place / "in" / "deep" / "y.parquet").replace("")
+        assert (place / "x").read() == '{"é": 1}' and sorted(n for n in place.names() if not n.endswith(".crc")) == ["in", "x"]
+        assert [f.rsplit("/", 1)[1] for f in place.files(".parquet")] == ["y.parquet"] and (place / "in").parent.name == place.name
+        (place / "in").remove()
+        (place / "none").remove()
+        assert not (place / "in").exists() and (place / "none").names() == []
+    (local / "z").create("1")
+    with pytest.raises(FileExistsError):
+        (local / "z").create("2")
+    assert (local / "z").read() == "1" and sorted(local.names()) == ["x", "z"]
+    with pytest.raises(NotImplementedError):
+        (store / "z").create("1")  # a store that can't create exclusively is refused
+
+
+def test_a_warehouse_by_another_scheme(spark, tmp_path):
+    """A mounted name resolves to its folder; tables are read and committed there."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.lake.link./w", f"file://{tmp_path}")
+    c = Catalog(spark, "viewfs://lake/w/house")
+    c.create_namespace("default")
+    t = c.create_table("default.t", T.StructType([T.StructField("x", T.LongType())]))
+    t.append(spark.range(4).toDF("x")).delete("x = 2")
+    assert values(c.load_table("default.t").scan(), "x") == [(0,), (1,), (3,)] and str(c.root) == f"{tmp_path}/house"
+
+
 def test_partitions_get_few_files(catalog, spark):
     t = catalog.create_table("default.t", T.StructType([T.StructField("d", T.LongType()), T.StructField("x", T.LongType())]), [("d", "identity")])
     t.append(spark.range(4000).selectExpr("id % 10 AS d", "id AS x").repartition(16))
