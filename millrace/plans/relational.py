@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import asof_join, overlap_join, range_join, salted_join, sized_join
+from millrace.operators.patterns import match_rows
 from millrace.operators.windows import distinct_on, groups_frame, qualify, top_per_group
 from millrace.plans.catalogue import query
 from millrace.sources.tables import sql, table
@@ -183,16 +184,22 @@ def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return salted_join(table(spark, sf_dir, "events"), kinds, ["event_type"]).select("event_id", "k")
 
 
-@query(
-    "join_asof",
-    """SELECT p.event_id, p.user_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
-       ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""",
-)
-def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    clicks = events.where("event_type = 'click'").select("user_id", "ts", "event_id")
-    found = asof_join(events.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), clicks, "ts", ["user_id"])
-    return found.select("event_id", "user_id", F.col("event_id_right").alias("click_id"))
+_ASOF = """SELECT p.event_id, p.user_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+       ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts"""
+
+
+def _asof(width: float | None = None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = table(spark, sf_dir, "events")
+        clicks = events.where("event_type = 'click'").select("user_id", "ts", "event_id")
+        found = asof_join(events.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), clicks, "ts", ["user_id"], width=width)
+        return found.select("event_id", "user_id", F.col("event_id_right").alias("click_id"))
+
+    return run
+
+
+query("join_asof", _ASOF)(_asof())
+query("join_asof_binned", _ASOF)(_asof(width=86400.0))
 
 
 @query(
@@ -330,6 +337,23 @@ def win_qualify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualify(events, F.col("value") > F.avg("value").over(Window.partitionBy("user_id"))).select("event_id")
 
 
+@query(
+    "match_recognize",
+    """WITH s AS (SELECT user_id, string_agg(CASE event_type WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'purchase' THEN 'p' ELSE '-' END, '' ORDER BY ts) AS s, list(event_id ORDER BY ts) AS ids FROM events GROUP BY user_id),
+       m AS (SELECT user_id, ids, s, regexp_extract_all(s, 'v[vc]*p') AS found FROM s),
+       r AS (SELECT user_id, ids, s, found, unnest(generate_series(1, len(found))) AS k FROM m),
+       e AS (SELECT user_id, ids, found, k, length(array_to_string(found[1:k], '')) AS upto, s FROM r),
+       p AS (SELECT user_id, ids, found[k] AS text, k, s FROM e),
+       w AS (SELECT user_id, ids, k, text, CAST(list_sum(list_transform(generate_series(1, k), lambda i: length(string_split_regex(s, 'v[vc]*p')[i]))) + (SELECT coalesce(sum(length(f)), 0) FROM (SELECT unnest(regexp_extract_all(s, 'v[vc]*p')[1:k - 1]) AS f)) AS BIGINT) AS start FROM p)
+       SELECT user_id, CAST(k AS INTEGER) AS "match", CAST(length(text) AS INTEGER) AS n, ids[start + 1] AS event_id_first, ids[start + length(text)] AS event_id_last FROM w""",
+)
+def match_recognize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the views and clicks that lead up to them: PATTERN (view (view | click)* purchase)."""
+    kind = F.col("event_type")
+    define = {"v": kind == "view", "c": kind == "click", "p": kind == "purchase"}
+    return match_rows(table(spark, sf_dir, "events"), ["user_id"], ["ts"], define, "v[vc]*p", ["event_id"]).drop("ts_first", "ts_last")
+
+
 # -- sort, limit, set operations ------------------------------------------------------------
 
 same("sort_multi", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg, c_acctbal FROM customer ORDER BY nullif(c_mktsegment, 'BUILDING') DESC NULLS LAST, c_acctbal ASC NULLS FIRST, c_custkey")

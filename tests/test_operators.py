@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from millrace.functions.vector import cosine, dot
 from millrace.operators import joins, windows
+from millrace.operators.patterns import match_rows
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 KEY, TIME = st.one_of(st.none(), st.integers(0, 2)), st.one_of(st.none(), st.integers(0, 12))
 
 
 @FEW
-@given(left=st.lists(st.tuples(KEY, TIME), max_size=12), right=st.lists(st.tuples(KEY, st.integers(0, 12)), max_size=8, unique=True), equal=st.booleans())
-def test_asof(spark, left, right, equal):
+@given(left=st.lists(st.tuples(KEY, TIME), max_size=12), right=st.lists(st.tuples(KEY, st.integers(0, 12)), max_size=8, unique=True), equal=st.booleans(), width=st.sampled_from([None, 1.0, 4.0, 100.0]))
+def test_asof(spark, left, right, equal, width):
     a = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(left)], "id int, k int, t int")
     b = spark.createDataFrame([(k, t, 100 * (k or 0) + t) for k, t in right], "k int, t int, v int")
-    got = {r.id: r.v_right for r in joins.asof_join(a, b, "t", ["k"], allow_equal=equal).collect()}
+    got = {r.id: r.v_right for r in joins.asof_join(a, b, "t", ["k"], allow_equal=equal, width=width).collect()}
     for i, (k, t) in enumerate(left):
         ok = [s for j, s in right if k is not None and t is not None and j == k and (s <= t if equal else s < t)]
         assert got[i] == (100 * k + max(ok) if ok else None)
@@ -64,3 +65,30 @@ def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 4.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     rows = df.select(dot("a", "b").alias("d"), cosine("a", "b").alias("c")).collect()
     assert (rows[0].d, round(rows[0].c, 9), rows[1].c) == (10.0, 1.0, None)
+
+
+@FEW
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 2)), st.integers(0, 3)), max_size=30), pattern=st.sampled_from(["ab+", "a(b|c)*", "[ab]c", "b*", "x"]))
+def test_row_patterns(spark, rows, pattern):
+    import re
+
+    df = spark.createDataFrame([(k, t, v) for t, (k, v) in enumerate(rows)], "k int, t int, v int").repartition(3)
+    define = {"a": F.col("v") == 0, "b": F.col("v") <= 1, "c": F.col("v") == 2}
+    got = sorted(((r.k, r.match, r.n, r.t_first, r.t_last, r.v_first, r.v_last) for r in match_rows(df, ["k"], ["t"], define, pattern, ["v"]).collect()), key=str)
+    want = []
+    for key in {k for k, _ in rows}:
+        mine = [(t, v) for t, (k, v) in enumerate(rows) if k == key]
+        found = [m for m in re.finditer(pattern, "".join("abc-"[v] for _, v in mine)) if m[0]]
+        want += [(key, i, len(m[0]), mine[m.start()][0], mine[m.end() - 1][0], mine[m.start()][1], mine[m.end() - 1][1]) for i, m in enumerate(found, 1)]
+    assert got == sorted(want, key=str)
+
+
+def test_row_patterns_with_windows_and_bad_names(spark):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(t, v) for t, v in enumerate([5, 4, 3, 4, 6, 2, 1, 9])], "t int, v int").withColumn("g", F.lit(1))
+    before = F.lag("v").over(Window.partitionBy("g").orderBy("t"))
+    found = match_rows(df, ["g"], ["t"], {"d": F.col("v") < before, "u": F.col("v") > before}, "d+u+").collect()
+    assert [(r.t_first, r.t_last) for r in sorted(found)] == [(1, 4), (5, 7)]
+    with pytest.raises(ValueError):
+        match_rows(df, ["g"], ["t"], {"down": F.lit(True)}, "d")
