@@ -134,30 +134,37 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], rounds: int = 120, rate:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Fits on at most ``sample`` texts of each language among documents whose crc32(id) mod 5 isn't 0.
 
-    The sample is drawn by a hash of the id.  None if no row has both a text with a letter and a language.
+    A text is drawn by a hash of itself, and equal texts of a language count once, so repeated rows
+    and repeated ids change nothing, nor does the rows' order.  A text that stands under several
+    languages speaks for each.  None if no row has both a text with a letter and a language.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (id_mod(id_col, 5) != 0))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = {r.id: r.lang for r in rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).collect() if r.id is not None}
-    if not picked:
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    rows = docs.where(F.col(id_col).isNotNull() & (id_mod(id_col, 5) != 0)).select(text.alias("t"), lang.alias("lang")).where("t IS NOT NULL AND lang IS NOT NULL")
+    share = F.shiftrightunsigned(F.xxhash64("t", F.lit(5)), 11) * 2.0**-53
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("t", 0.02).alias("n")).collect()}
+    if not sizes:
         return None
-    schema = pa.schema([("id", pa.int64()), ("x", pa.binary())])
+    bound = F.lit(0.0)
+    for name, n in sorted(sizes.items()):  # a fifth more than are wanted, so that few rows leave their tasks
+        bound = F.when(F.col("lang") == name, min(1.0, (1.2 * sample + 64) / max(n, 1) * 1.1)).otherwise(bound)
+    few = rows.withColumn("share", share).where(F.col("share") < bound).dropDuplicates(["lang", "t"])
+    order = Window.partitionBy("lang").orderBy("share", "t")
+    few = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    schema = pa.schema([("lang", pa.string()), ("share", pa.float64()), ("x", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+            for i, t in enumerate(as_bytes(b.column(2))):
                 if has_letter(t):
-                    yield record_batch(schema, [i], [zlib.compress(np.minimum(profile(t), 65535).astype(np.uint16).tobytes(), 1)])
+                    yield record_batch(schema, b.column(0).slice(i, 1), b.column(1).slice(i, 1), [zlib.compress(np.minimum(profile(t), 65535).astype(np.uint16).tobytes(), 1)])
 
-    texts = docs.where(F.col(id_col).isin(list(picked))).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    found = {r.id: r.x for r in texts.mapInArrow(run, "id long, x binary").collect()}
-    langs = sorted({picked[i] for i in found})
-    if not langs:
+    found = few.select("lang", "share", "t").mapInArrow(run, "lang string, share double, x binary").collect()
+    if not found:
         return None
-    ids = sorted(found, key=lambda i: (i * 2654435761) % (1 << 32))
-    x = np.stack([scaled(np.frombuffer(zlib.decompress(found[i]), np.uint16)) for i in ids])
-    return fit(x, np.array([langs.index(picked[i]) for i in ids]), langs)
+    found.sort(key=lambda r: (r.share, r.lang, bytes(r.x)))
+    langs = sorted({r.lang for r in found})
+    x = np.stack([scaled(np.frombuffer(zlib.decompress(r.x), np.uint16)) for r in found])
+    return fit(x, np.array([langs.index(r.lang) for r in found]), langs)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

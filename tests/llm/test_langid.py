@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +57,56 @@ def test_odd_rows(spark):
     assert nothing is None and {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
     one = langid.train(docs.where("lang = 'en'"))
     assert {r.lang_pred for r in langid.identify(odd.where("doc_id = 5"), one).collect()} == {"en"}
+
+
+def test_repeated_ids_and_rows_change_nothing(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    mixed = docs.withColumn("doc_id", F.col("doc_id") % 7 + F.lit(1))  # few ids, each with many texts and languages
+    models = [langid.train(d) for d in (mixed, mixed.unionAll(mixed).orderBy(F.rand(3)), mixed.repartition(5).orderBy(F.desc("text")))]
+    assert len(models[0].langs) == 4
+    for m in models[1:]:
+        assert m.langs == models[0].langs and (m.weights == models[0].weights).all() and (m.trust == models[0].trust).all()
+    assert np.mean([r.lang_pred == r.lang for r in langid.identify(docs, models[0]).join(docs, "doc_id").collect()]) > 0.9
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(i, f"wort{i} und {'x' * (i % 9)} haus", "de") for i in range(3000)] + [(i, f"word{i} and house", "en") for i in range(3000, 3040)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = langid.fit
+    try:
+        langid.fit = lambda x, y, langs, **k: seen.append(np.bincount(y).tolist()) or fit(x, y, langs, **k)
+        langid.train(docs, sample=50)
+    finally:
+        langid.fit = fit
+    assert seen[0][0] == 50 and 25 <= seen[0][1] <= 40
+
+
+def plain_prediction(model, text):
+    """Bit by bit: margins over the text's own n-grams, then the codeword of the least weighted loss."""
+    raw = (text or "").encode().lower()
+    if not any(c.isalpha() for c in (text or "")):
+        return "und", 0.0
+    counts = {}
+    for n in langid.ORDERS:
+        for at in range(len(raw) - n + 1):
+            key = 0
+            for k, c in enumerate(raw[at : at + n], 1):
+                key = (key * 0x01000193 + c + k) & 0xFFFFFFFF
+            slot = (key * 0x9E3779B1 & 0xFFFFFFFF) >> 19
+            counts[slot] = counts.get(slot, 0) + 1
+    norm = math.sqrt(sum(counts.values()))
+    margins = [float(model.bias[b]) + sum(math.sqrt(n) / norm * float(model.weights[s, b]) for s, n in counts.items()) for b in range(model.code.shape[1])]
+    losses = [sum(float(t) * math.log1p(math.exp(-m * float(c))) for t, m, c in zip(trust, margins, code)) for trust, code in zip(model.trust, model.code)]
+    e = [math.exp(-x * model.sharpness + min(losses) * model.sharpness) for x in losses]
+    return model.langs[losses.index(min(losses))], max(e) / sum(e)
+
+
+def test_query_equals_plain_decoding(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in op6_langid(spark, sf).collect():
+        lang, score = plain_prediction(model, texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, rel=1e-3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
