@@ -42,22 +42,28 @@ def segments(scores: list[tuple[int, float]], n: int, neutral: float = NEUTRAL)
 
     ``scores`` are the positions with a positive score, in order; every other word scores -neutral.
     """
-    held: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    firsts: list[int] = []
+    lasts: list[int] = []
+    lows: list[float] = []  # the sum of all scores before the segment
+    highs: list[float] = []  # and with it
+    lower: list[int] = []  # the nearest earlier segment with a lower sum before it; all between can be passed over
     total, last = 0.0, -1
     for at, s in scores:
         total -= neutral * (at - last - 1)
-        first, end, left, right = at, at, total, total + s
-        total, last = right, at
+        first, low, high = at, total, total + s
+        total, last = high, at
+        j = len(firsts) - 1
         while True:
-            j = len(held) - 1
-            while j >= 0 and held[j][2] >= left:
-                j -= 1
-            if j < 0 or held[j][3] >= right:
-                held.append((first, end, left, right))
+            while j >= 0 and lows[j] >= low:
+                j = lower[j]
+            if j < 0 or highs[j] >= high:
                 break
-            first, left = held[j][0], held[j][2]
-            del held[j:]
-    return [(a, z, right - left) for a, z, left, right in held]
+            first, low, k, j = firsts[j], lows[j], j, lower[j]
+            for held in (firsts, lasts, lows, highs, lower):
+                del held[k:]
+        for held, x in ((firsts, first), (lasts, at), (lows, low), (highs, high), (lower, j)):
+            held.append(x)
+    return [(a, z, high - low) for a, z, low, high in zip(firsts, lasts, lows, highs)]
 
 
 @dataclass
@@ -227,8 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, score, predicted, n_passages, toxic_words)`` for each row.
 
-    Null, empty and wordless texts get the score of a text without passages.  Repeated rows give a
-    row each; an empty table gives an empty table; other columns are ignored.
+    Null, empty and wordless texts get the score of a text without passages.  A text of any length is
+    scanned in linear time.  Repeated rows give a row each; an empty table gives an empty table; other
+    columns are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_passages", pa.int64()), ("toxic_words", pa.int64())])
 
@@ -242,7 +249,10 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every significant passage: ``(doc_id, first_word, last_word, significance)``, none for clean texts."""
+    """Every significant passage: ``(doc_id, first_word, last_word, significance)``.
+
+    Null, empty and clean texts have none, repeated rows have theirs again, an empty table has none.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("significance", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +265,11 @@ def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns, whatever their names.
+
+    Null and empty texts stay, as they hold no passage; repeated rows stay or go together; an empty
+    table gives an empty table.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

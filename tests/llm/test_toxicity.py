@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -34,6 +35,18 @@ def test_segments_follow_the_definition():
         assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
+def test_scan_is_linear():
+    """Spaced hits that never join, and hits that fall and rise again: both once cost the square."""
+    import time
+
+    start = time.perf_counter()
+    apart = toxicity.segments([(i * 50, 1.0) for i in range(200_000)], 10_000_000)
+    assert len(apart) == 200_000
+    falling = toxicity.segments([(i * 2, 0.29) for i in range(200_000)] + [(400_001, 1e6)], 400_002)
+    assert len(falling) == 1 or falling[-1][1] == 400_001
+    assert time.perf_counter() - start < 10
+
+
 def test_karlin_root():
     scores, share = np.array([2.0, -1.0]), np.array([0.2, 0.8])
     rate = toxicity._karlin(scores, share)
@@ -66,3 +79,70 @@ def test_odd_rows(spark):
     assert toxicity.toxicity(odd.limit(0), model).count() == 0
     untrained = toxicity.train(docs, labels.limit(0))
     assert toxicity.toxicity(odd, untrained).where("predicted = 1").count() == 0
+
+
+def plain_score(model, text):
+    """A text's score from the weights by plain means: best segment by its prefix sums, then both sides of it."""
+    words = (text or "").encode().lower().split()
+    times, scores = {}, []
+    for w in words:
+        clean = w.decode("utf-8", "replace").strip(toxicity.EDGES)
+        s = max([model.weights.get(u, 0.0) for u in ([f"={clean}"] + [f"{n}{clean[:n]}" for n in (4, 5, 6) if len(clean) >= n] if clean else [])], default=0.0)
+        if s:
+            times[w] = times.get(w, 0) + 1
+        scores.append(s / times[w] if s else -model.neutral)
+    evidence, todo = 0.0, [(0, len(scores))]
+    while todo:
+        a, z = todo.pop()
+        best, total, low, low_at, found = 0.0, 0.0, 0.0, a, None
+        for i in range(a, z):
+            total += scores[i]
+            if total - low > best + 1e-9:
+                best, found = total - low, (low_at, i)
+            if total <= low:
+                low, low_at = total, i + 1
+        if found:
+            significance = model.rate * best - np.log(max(model.scale * len(words), 1e-9))
+            if significance >= -np.log(toxicity.EXPECT):
+                evidence += significance
+                todo += [(a, found[0]), (found[1] + 1, z)]
+    return 1 / (1 + np.exp(-(model.slope * np.log1p(evidence) + model.offset)))
+
+
+def test_query_equals_plain_scores(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = op7_toxicity(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), rel=1e-6)
+        assert r.predicted == (r.score >= 0.7)
+    assert sum(r.predicted for r in rows) > 10
+
+
+def test_learning_by_plain_counts(spark):
+    """The weights of units, from plain counts over the sample."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {(texts[r.doc_id], r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    counts = {}
+    for text, toxic in known:
+        for w in set(text.encode().lower().split()):
+            for u in toxicity.units(w):
+                counts.setdefault(u, [0, 0])[toxic] += 1
+    totals = {}
+    for u, (clean, toxic) in counts.items():
+        t = totals.setdefault(u[0], [0, 0])
+        t[0], t[1] = t[0] + clean, t[1] + toxic
+    want = {}
+    for u, (clean, toxic) in counts.items():
+        n_clean, n_toxic = totals[u[0]]
+        prior = 0.5 + 100.0 * (clean + toxic) / (n_clean + n_toxic)
+        delta = np.log((toxic + prior) / (n_toxic + 100.5 - toxic + 1)) - np.log((clean + prior) / (n_clean + 100.5 - clean + 1))
+        if delta > 1 and delta > toxicity.Z * np.sqrt(1 / (toxic + prior) + 1 / (clean + prior)):
+            want[u] = delta
+    assert model.weights == pytest.approx(want) and want
