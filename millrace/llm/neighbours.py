@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Shared
+from millrace.llm.common import Shared, hashed_sample
 
 #: Parameters.  SAMPLE vectors at most fit the centroids, PROBES queries at most measure the walk.
 K, SAMPLE, PROBES, AIM, CHUNK, RECALL, MOST_CENTROIDS = 5, 8192, 128, 1024, 8192, 0.96, 1024
@@ -97,14 +97,17 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def build(vectors: DataFrame, shared: Shared, k: int) -> tuple[Index | None, DataFrame]:
-    """The index, and its entries ``(v, ids, cell)``: distinct vectors with their k + 1 smallest ids."""
+    """The index, and its entries ``(v, ids, cell)``: distinct vectors with their k + 1 smallest ids.
+
+    The centroids are fitted on SAMPLE vectors at most, of the smallest hashes; every vector is an entry.
+    """
     order = Window.partitionBy("v").orderBy("vec_id")
     few = vectors.distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
     entries = shared.table(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     n = entries.count()
     if not n:
         return None, entries.withColumn("cell", F.lit(0))
-    sample = entries.orderBy(F.xxhash64("v"), F.element_at("ids", 1)).limit(SAMPLE).select("v").toArrow()
+    sample = hashed_sample(entries, "v", SAMPLE).select("v").toArrow()
     x = unit(matrix(sample.column(0).combine_chunks()))
     size = int(min(max(2, np.ceil(np.sqrt(n / AIM))), MOST_CENTROIDS, len(x)))
     cut = x.shape[1] // 2
@@ -129,7 +132,7 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def measure(index: Index, entries: DataFrame, queries: DataFrame, k: int, recall: float) -> int:
     """Vectors that a walk must meet for the share ``recall`` of true neighbours, over PROBES queries."""
-    few = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(PROBES).toArrow()
+    few = hashed_sample(queries, "query_id", PROBES).toArrow()
     q = matrix(few.column(1).combine_chunks())
     if not len(q):
         return 1
@@ -208,9 +211,9 @@ def search(vectors: DataFrame, every: int, k: int = K, recall: float = RECALL, i
                     row, cells, chunks = [], [], []
 
     layout = "cell int, chunk int, side int, query_id long, v array<double>, ids array<long>"
-    parts = F.create_map(*[x for c in np.flatnonzero(index.counts > CHUNK) for x in (F.lit(int(c)), F.lit(int(-(-index.counts[c] // CHUNK))))]) if (index.counts > CHUNK).any() else None
-    n_parts = F.coalesce(F.try_element_at(parts, F.col("cell")), F.lit(1)) if parts is not None else F.lit(1)
-    held = entries.select("cell", F.pmod(F.xxhash64("v"), n_parts).cast("int").alias("chunk"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("query_id"), "v", "ids")
+    parts = entries.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).where("parts > 1")
+    held = entries.join(parts, "cell", "left").withColumn("chunk", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int"))
+    held = held.select("cell", "chunk", F.lit(0).alias("side"), F.lit(None).cast("long").alias("query_id"), "v", "ids")
     met = held.unionAll(queries.mapInArrow(probe, layout))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
