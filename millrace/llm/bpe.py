@@ -1,16 +1,21 @@
 """BPE encoding and decoding, equal to the tokenizers library for texts of any length.
 
-Short texts go to the library as they are, or, if they are in Latin-1 without long words, to tiktoken over
-the same merges as ranks, which gives the same tokens in a quarter of the time.  A text that is longer, or
-has a stretch over a leaf without such a place, is first cut where no token can cross: at a space between
-two characters that aren't white space.  A stretch over a leaf without such a place ("unsplit") is split into the tokenizer's own pre-tokens, and a pre-token longer than a leaf is encoded as a
-tree: both halves apart (the leaves in one parallel batch), then joined.
-
-Joining uses that a sequence of tokens is the encoding of its bytes if and only if every two
-neighbours are the encoding of theirs.  A window of tokens around the join is encoded anew.  If the
-result begins with the window's first token and ends with its last one, then every pair of
-neighbours of the spliced sequence has been seen in a true encoding, so the splice is exact;
-otherwise the window doubles on the side that differs.
+A text over LONG characters is encoded as a tree: it is halved, wherever that is, until the parts
+are short; all parts are encoded in one batch, side by side, and then joined pairwise.  Around a
+join a window is encoded anew that grows on both sides until they agree: until it begins and ends
+at a place that no token can cross (a space between two characters that aren't white space), and
+the halves' own tokens up to there are those that the window's parts have by themselves.
+
+A stretch over a leaf without such a place ("unsplit") is taken out first, split into the
+tokenizer's own pre-tokens, and a pre-token longer than a leaf is a tree itself.  Joining there uses
+that a sequence of tokens is the encoding of its bytes if and only if every two neighbours are the
+encoding of theirs.  A window of tokens around the join is encoded anew.  If the result begins with
+the window's first token and ends with its last one, then every pair of neighbours of the spliced
+sequence has been seen in a true encoding, so the splice is exact; otherwise the window doubles on
+the side that differs.
+
+Parts in Latin-1 without long words go to tiktoken over the same merges as ranks, which gives the
+same tokens in a quarter of the time; the others go to the library.
 """
 
 from __future__ import annotations
@@ -30,9 +35,10 @@ from tokenizers import Tokenizer
 
 from millrace.llm.common import record_batch
 
-#: Parameters: texts over LONG characters, or with unsplit stretches over LEAF, are cut; pre-tokens over LEAF bytes are encoded as trees.
+#: Parameters: texts over LONG characters and pre-tokens over LEAF bytes are encoded as trees; stretches over LEAF are unsplit.
+#: FIRST_WINDOW tokens, or 16 times as many characters, stand on each side of a join at first.
 #: Words over RANKED_WORD characters aren't left to the ranked encoder, whose time grows with their square.
-LONG, LEAF, FIRST_WINDOW, STEP_CHARS, RANKED_WORD = 1 << 16, 1 << 12, 4, 1 << 19, 400
+LONG, LEAF, FIRST_WINDOW, STEP_CHARS, RANKED_WORD = 1 << 14, 1 << 12, 4, 1 << 19, 400
 #: Fixed value: how byte-level pre-tokenizers split text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACES = re.compile(rf"\s{{{RANKED_WORD},}}")
@@ -43,7 +49,7 @@ class Bpe:
     """A tokenizer file (byte-level BPE) with exact encoding of long texts."""
 
     def __init__(self, path: str, long: int = LONG, leaf: int = LEAF):
-        self.long, self.leaf = long, leaf
+        self.long, self.leaf, self.joins = long, leaf, 0
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -90,14 +96,27 @@ class Bpe:
     # -- encoding
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(texts)
+        return [ids for ids, _ in self.encode_counted(texts)]
+
+    def encode_counted(self, texts: list[str]) -> list[tuple[list[int], int]]:
+        """The ids of each text, and how many joins its trees took."""
+        plain = [i for i, t in enumerate(texts) if len(t) <= self.long and not self._has_unsplit(t)]
+        out: list[tuple[list[int], int] | None] = [None] * len(texts)
+        for i, ids in zip(plain, self._short([texts[i] for i in plain])):
+            out[i] = ids, 0
         for i, t in enumerate(texts):
-            if len(t) <= self.long and self._suits_ranked(t):
-                out[i] = self.ranked.encode_ordinary(t)
-        short = [i for i, t in enumerate(texts) if out[i] is None and len(t) <= self.long and not self._has_unsplit(t)]
-        for i, found in zip(short, self._library([texts[i] for i in short])):
-            out[i] = found
-        return [self.encode_long(t) if ids is None else ids for t, ids in zip(texts, out)]
+            if out[i] is None:
+                before = self.joins
+                out[i] = self.encode_long(t), self.joins - before
+        return out
+
+    def _short(self, texts: list[str], parallel: bool = False) -> list[list[int]]:
+        """Texts without unsplit stretches, by the ranked encoder where that suits, else by the library."""
+        out = [self.ranked.encode_ordinary(t) if self._suits_ranked(t) else None for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._library([texts[i] for i in rest], parallel)):
+            out[i] = ids
+        return out
 
     def _library(self, texts: list[str], parallel: bool = False) -> Iterator[list[int]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if parallel else "false"
@@ -127,29 +146,38 @@ class Bpe:
 
     def encode_long(self, text: str) -> list[int]:
         ids: list[int] = []
-        pieces: list[str] = []
-
-        def flush() -> None:
-            for found in self._library(pieces, parallel=True):
-                ids.extend(found)
-            pieces.clear()
-
         at = last = 0
         for end in self._cuts(text):
             if end - last > self.leaf:
-                pieces.append(text[at:last])
-                flush()
-                ids += self.encode_unsplit(text[last:end])
-                at = end
-            elif end - at > self.long // 2:
-                pieces.append(text[at:end])
-                if len(pieces) >= 64:
-                    flush()
+                ids += self.tree_of_text(text[at:last]) + self.encode_unsplit(text[last:end])
                 at = end
             last = end
-        pieces.append(text[at:])
-        flush()
-        return ids
+        return ids + self.tree_of_text(text[at:])
+
+    def tree_of_text(self, text: str) -> list[int]:
+        """A text without unsplit stretches: halves of halves are encoded side by side, then joined."""
+        n = 1 << (-(-2 * len(text) // self.long) - 1).bit_length() if len(text) > self.long else 1
+        cuts = [len(text) * i // n for i in range(n + 1)]
+        level = list(zip(cuts, self._short([text[a:z] for a, z in zip(cuts, cuts[1:])], parallel=True)))
+        ends = cuts[1:]
+        while len(level) > 1:
+            level = [(a, self.join_texts(text[a:middle], left, text[middle:end], right)) for (a, left), (middle, right), end in zip(level[::2], level[1::2], ends[1::2])]
+            ends = ends[1::2]
+        return level[0][1]
+
+    def join_texts(self, a: str, left: list[int], b: str, right: list[int]) -> list[int]:
+        """The encoding of ``a + b`` from those of both."""
+        self.joins += 1
+        size = 16 * FIRST_WINDOW
+        while size < 2 * max(len(a), len(b)):
+            begin = max((m.start() for m in _CUT.finditer(a, max(0, len(a) - size))), default=None)
+            end = next((m.start() for m in _CUT.finditer(b, 0, min(len(b), size))), None)
+            if begin is not None and end is not None:
+                head, tail, both = self._short([a[begin:], b[:end], a[begin:] + b[:end]])
+                if left[len(left) - len(head) :] == head and right[: len(tail)] == tail:
+                    return left[: len(left) - len(head)] + both + right[len(tail) :]
+            size *= 2
+        return self._short([a + b])[0]
 
     def encode_unsplit(self, text: str) -> list[int]:
         """A stretch that can't be cut beforehand: special tokens, then pre-tokens, then trees."""
@@ -198,6 +226,7 @@ class Bpe:
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of both, each being an encoding."""
+        self.joins += 1
         i = j = FIRST_WINDOW
         while True:
             i, j = min(i, len(left)), min(j, len(right))
@@ -296,12 +325,14 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encodes and decodes in one pass.
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256, joins)``: encodes and decodes in one pass.
 
-    Ids leave the worker only if ``ids`` asks for them as a further column.  Null and empty texts have no tokens and the digests of nothing.
+    ``joins`` counts the joins of trees, 0 for short texts.  Ids leave the worker only if ``ids`` asks
+    for them as a further column.  Null and empty texts have no tokens and the digests of nothing.
+    Repeated rows give a row each, an empty table an empty one; other columns are ignored.
     """
-    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    layout = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("joins", pa.int64())]
+    layout = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, joins long"
     if ids:
         fields, layout = [*fields, ("ids", pa.list_(pa.int32()))], layout + ", ids array<int>"
     schema = pa.schema(fields)
@@ -312,13 +343,15 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for a, z in _chunks(texts):
-                found = bpe.encode_batch(texts[a:z])
+                counted = bpe.encode_counted(texts[a:z])
+                found = [x for x, _ in counted]
                 yield record_batch(
                     schema,
                     b.column(0).slice(a, z - a),
                     [len(x) for x in found],
                     [sha(",".join(map(bpe.decimal.__getitem__, x)).encode()).hexdigest() for x in found],
                     [sha(bpe.decode(x).encode()).hexdigest() for x in found],
+                    [n for _, n in counted],
                     *([found] if ids else []),
                 )
 

@@ -76,13 +76,40 @@ def digests(library, i, text):
 
 def test_query_equals_the_library(spark, sf, library):
     want = {digests(library, r.doc_id, r.text) for r in table(spark, sf, "documents").collect()}
-    assert {tuple(r) for r in op10_bpe(spark, sf).collect()} == want
+    assert {tuple(r)[:4] for r in op10_bpe(spark, sf).collect()} == want
+
+
+def test_trees_run_through_the_query(spark, tmp_path, library):
+    """Long texts and unsplit stretches are joined from parts, the supplied ones too."""
+    sf = "/root/testdata/sf0.01"
+    lengths = {r.doc_id: len(r.text) for r in table(spark, sf, "documents").collect()}
+    rows = {r.doc_id: r.joins for r in op10_bpe(spark, sf).collect()}
+    long = [i for i, n in lengths.items() if n > bpe.LONG]
+    assert len(long) > 3 and all(rows[i] >= 1 for i in long)
+    texts = [(1, "é" * 9000), (2, "some words " * 40), (3, "漢字 " * 9000), (4, " ".join(f"w{i}" for i in range(9000))), (5, "x" * 4000 + " " + "y" * 4000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op10_bpe(spark, str(tmp_path)).collect()}
+    assert {tuple(r)[:4] for r in got.values()} == {digests(library, i, t) for i, t in texts}
+    assert got[1].joins >= 2 and got[2].joins == 0 and got[3].joins >= 1 and got[4].joins >= 3 and got[5].joins == 0
+
+
+def test_texts_are_halved_anywhere(library):
+    """Cuts inside words, numbers, runs of spaces, contractions and special tokens; windows without a place to end at."""
+    rng = random.Random(21)
+    texts = list(odd_texts()) + ["".join(rng.choice(["can't ", "we'll", "  ", " ", "\n", "é", "字", "12345", "!?", "a", "tion", SPECIAL]) for _ in range(rng.randint(50, 900))) for _ in range(60)]
+    texts += ["b" * 700 + " c" * 3 + "d" * 700, "one two " * 60 + "\n" * 300 + "three four " * 60]
+    for long in (40, 128, 1000):
+        own = bpe.Bpe(PATH, long=long, leaf=1 << 30)
+        for text in texts:
+            want = library.encode(text, add_special_tokens=False).ids
+            assert own.tree_of_text(text) == want
+            assert own.encode_batch([text])[0] == want
 
 
 def test_odd_rows_and_round_trip(spark, library):
     rows = [(1, "a b", 5), (1, "a b", 5), (None, None, None), (3, "", 1), (4, SPECIAL + " x", 1), (5, "é" * 70_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids long")
-    got = sorted((tuple(r) for r in bpe.round_trip(docs, PATH).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in bpe.round_trip(docs, PATH).collect()), key=str)
     assert got == sorted((digests(library, i, t) for i, t, _ in rows), key=str)
     back = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert sorted((tuple(r) for r in back), key=str) == sorted(((i, t or "") for i, t, _ in rows), key=str)
