@@ -16,13 +16,15 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_PATTERN, Shared
+from millrace.llm.common import WORD_PATTERN, Shared, unused
 
 #: Parameters: source weights in turn, words wanted of all words, most copies, documents that meet in a block.
 WEIGHTS, SHARE, MOST, FAN = (5, 2, 1), 1.5, 2, 32
+#: Copies of one row that come out of one task.
+REPEAT = 10_000
 
 
 def word_count(col: str) -> Column:
@@ -35,7 +37,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     Sources in the order of their code points, null last, weigh ``weights`` in turn.  Targets fill
     like connected vessels: at the level L where min(L * weight, most * size) add up to the share.
     Sources sorted by the level at which they are full: the first that isn't full at the level that
-    the earlier ones leave tells the level.  One row for each source stands here, never documents.
+    the earlier ones leave tells the level.  One row of two numbers for each source stands here, never
+    documents, and all of them meet in one task: its bound is tens of millions of sources.
     """
     turn = F.array(*[F.lit(float(w)) for w in weights])
     at = "row_number() OVER (ORDER BY source ASC NULLS LAST)"
@@ -129,9 +132,13 @@ def copies(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: st
     return out.join(mine.drop("n"), out.source.eqNullSafe(mine["__s"])).drop("__s")
 
 
-def _row_share() -> Column:
-    """What the j-th (from 0) of m equal rows gets of their copies."""
-    return F.floor(F.col("copies") / F.col("m")) + F.when(F.col("j") < F.col("copies") % F.col("m"), 1).otherwise(0)
+def _repeated(rows: DataFrame, times: str, turn: str) -> DataFrame:
+    """Every row ``times`` times, ``turn`` counting from 0; a row of very many comes out of many tasks."""
+    few = rows.where(F.col(times).between(1, REPEAT)).withColumn(turn, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times).cast("long") - 1)))
+    many = rows.where(F.col(times) > REPEAT)
+    many = many.withColumn(turn, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / REPEAT)))).repartition(F.col(turn))
+    last = F.least(F.col(times).cast("long") - 1, (F.col(turn) + 1) * REPEAT - 1)
+    return few.unionByName(many.withColumn(turn, F.explode(F.sequence(F.col(turn) * REPEAT, last))))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -143,27 +150,33 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     empty table gives an empty table; other columns are ignored.
     """
     rows = copies(docs, Shared.create(docs.sparkSession, "mixing"), id_col, text_col, source_col, **options)
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("copies", _row_share().cast("long"))
+    share = F.floor(F.col("copies") / F.col("m")) + F.when(F.col("j") < F.col("copies") % F.col("m"), 1).otherwise(0)
+    rows = _repeated(rows, "m", "j").withColumn("copies", share.cast("long"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns."""
+    """The mix itself: every row of ``docs`` as often as ``plan`` takes it, with all its columns.
+
+    Columns may have any names and types.  Rows with one id, source and text that differ elsewhere
+    share their copies in the order of their other columns, as JSON.  Texts without words are taken
+    as often as the whole copies of their source say; an empty table gives an empty table.
+    """
     names = docs.columns
+    key, own, of, m, n, kind, count, before, turn, k_key, k_own, k_of = unused(names, "key", "own", "of", "m", "n", "kind", "count", "before", "turn", "taken_key", "taken_own", "taken_of")
     found = copies(docs, Shared.create(docs.sparkSession, "mixing"), id_col, text_col, source_col, **options)
-    found = found.select(F.col("source").alias("__source"), F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "m", F.col("copies"))
-    found = found.select("__source", "__id", "__h", F.col("m").alias("__m"), F.col("copies").alias("__copies"))
-    same = (F.xxhash64(F.col(text_col).cast("string")) == F.col("__h")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
-
-    def repeated(rows: DataFrame) -> DataFrame:
-        return rows.where("__times > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select(*names)
-
-    once = docs.join(found.where("__m = 1 AND __copies > 0"), same)
-    out = repeated(once.withColumn("__times", F.col("__copies")))
-    if found.where("__m > 1 AND __copies > 0").limit(1).count():
-        many = docs.join(found.where("__m > 1 AND __copies > 0"), same)
-        ordered = ", ".join(f"`{c}`" for c in names if c != text_col) or "1"
-        many = many.withColumn("__j", F.expr(f"row_number() OVER (PARTITION BY __id, __source, __h ORDER BY {ordered}) - 1"))
-        times = F.floor(F.col("__copies") / F.col("__m")) + F.when(F.col("__j") < F.col("__copies") % F.col("__m"), 1).otherwise(0)
-        out = out.unionByName(repeated(many.withColumn("__times", times)))
-    return out
+    found = found.where("copies > 0").select(F.col("h").alias(k_key), F.col("doc_id").alias(k_own), F.col("source").alias(k_of), F.col("m").alias(m), F.col("copies").alias(n))
+    rows = docs.withColumns({key: F.xxhash64(F.col(f"`{text_col}`").cast("string")), own: F.col(f"`{id_col}`").cast("long"), of: F.col(f"`{source_col}`").cast("string")})
+    same = (F.col(key) == F.col(k_key)) & F.col(own).eqNullSafe(F.col(k_own)) & F.col(of).eqNullSafe(F.col(k_of))
+    plain = [F.col(f"`{c}`") for c in names]
+    out = _repeated(rows.join(found.where(F.col(m) == 1), same), n, turn).select(*plain)
+    if not found.where(F.col(m) > 1).limit(1).count():
+        return out
+    many = rows.join(found.where(F.col(m) > 1), same)
+    group = [key, own, of]
+    many = many.groupBy(*group, F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text_col], F.lit(0).alias("c"))).alias(kind)).agg(F.first(F.struct(*plain)).alias(turn), F.count("*").alias(count), F.first(m).alias(m), F.first(n).alias(n))
+    earlier = Window.partitionBy(*group).orderBy(kind).rowsBetween(Window.unboundedPreceding, -1)
+    many = many.withColumn(before, F.coalesce(F.sum(count).over(earlier), F.lit(0)))
+    extra = F.greatest(F.lit(0), F.least(F.col(count), F.col(n) % F.col(m) - F.col(before)))
+    many = many.withColumn(n, F.col(count) * F.floor(F.col(n) / F.col(m)) + extra)
+    return out.unionByName(_repeated(many.select(F.col(turn).alias("row"), F.col(n).alias("n")), "n", "j").select("row.*"))

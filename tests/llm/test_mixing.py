@@ -1,8 +1,10 @@
 import collections
+import math
 import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import mixing
@@ -103,3 +105,93 @@ def test_blocks_hold_few_documents(spark):
     most = spark.read.parquet(shared.uri("level-0")).agg(F.max(F.size("x.done"))).first()[0]
     assert most < 4 * mixing.FAN
     assert np.isfinite(most)
+
+
+def test_columns_of_any_name_and_type(spark):
+    rows = [(1, "a b c", "s", i % 3) for i in range(60)] + [(i, "a b", "s", 0) for i in range(2, 9)] + [(20, "x " * 40, "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").selectExpr("*", "map('k', n) AS key", "1 AS Turn", "array(n) AS taken_key", "2 AS m", "3 AS `a.b`")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.n, str(r.key)) for r in mixed.collect())
+    planned = collections.Counter()
+    for r in mixing.plan(docs).collect():
+        planned[r.doc_id] += r.copies
+    assert collections.Counter({i: sum(n for (j, *_), n in got.items() if j == i) for i in planned}) == planned
+    ones = [sum(n for (j, k, _), n in got.items() if j == 1 and k == v) for v in range(3)]
+    assert all(0 <= n <= 40 for n in ones) and sum(ones) == planned[1]
+    assert sorted(map(str, mixing.mix(docs.repartition(5, F.rand(2))).collect())) == sorted(map(str, mixed.collect()))
+
+
+def test_many_repeats_come_out_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEAT", 50)
+    rows = [(1, "a b", "s")] * 700 + [(2, "c d e", "s"), (3, "f", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(mixing.plan(docs).collect(), rows)
+    planned = mixing.plan(docs).agg(F.sum("copies")).first()[0]
+    assert mixing.mix(docs).count() == planned
+
+
+def spark_hash(*values, seed=42):
+    """Spark's xxhash64 of integers: every one is hashed with the last hash as its seed."""
+    for v, size in values:
+        seed = xxhash.xxh64_intdigest(int(v).to_bytes(size, "little", signed=True), seed % (1 << 64))
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_copies(docs, seed=17):
+    """docs: [(doc_id, text, source)], no id twice -> {doc_id: copies}, by a plain loop over the meetings."""
+    sizes, by_source = collections.Counter(), collections.defaultdict(list)
+    for i, t, s in docs:
+        sizes[s] += len((t or "").encode().split())
+    targets = plain_targets(sizes)
+    for i, t, s in docs:
+        share = targets[s] / sizes[s] if sizes[s] else 0.0
+        by_source[s].append((spark_hash((i, 8), (spark_hash_text(t), 8), (seed, 4)), i, len(t.encode().split()), share))
+    out = {}
+    for units in by_source.values():
+        out |= {i: math.floor(x) for _, i, _, x in units}
+        open_ = [[k, i, float(s), x - out[i]] for k, i, s, x in units if s > 0 and x > out[i]]
+        blocks, level = -(-len(units) // mixing.FAN), 0
+        while open_:
+            dealt = collections.defaultdict(list)
+            for item in open_:
+                dealt[spark_hash((seed + level, 4), (item[0], 8)) % blocks].append(item)
+            open_ = []
+            for items in dealt.values():
+                items.sort()
+                cur = list(items[0])
+                for e in map(list, items[1:]):
+                    s, p, t, q = cur[2], cur[3], e[2], e[3]
+                    down, up = min(s * p, t * (1 - q)), min(s * (1 - p), t * q)  # words that can move from cur, and to it
+                    u = (spark_hash((seed, 4), (level, 4), (cur[0], 8), (e[0], 8)) % (1 << 64) >> 11) * 2.0**-53
+                    if u < down / (up + down):
+                        if s * (1 - p) <= t * q:
+                            out[cur[1]] += 1
+                            cur = [*e[:3], min(1.0, max(0.0, q - s * (1 - p) / t))]
+                        else:
+                            cur[3] = min(1.0, max(0.0, p + t * q / s))
+                    elif s * p <= t * (1 - q):
+                        cur = [*e[:3], min(1.0, max(0.0, q + s * p / t))]
+                    else:
+                        out[e[1]] += 1
+                        cur[3] = min(1.0, max(0.0, p - t * (1 - q) / s))
+                open_.append(cur)
+            if blocks <= 1:
+                (cur,) = open_
+                out[cur[1]] += cur[3] >= 0.5
+                break
+            blocks, level = -(-blocks // mixing.FAN), level + 1
+    return out
+
+
+def test_taken_equals_plain_rounding(spark, sf):
+    """The query, row by row."""
+    want = plain_copies([(r.doc_id, r.text, r.source) for r in table(spark, sf, "documents").collect()])
+    rows = op5_mixing(spark, sf).collect()
+    assert {r.doc_id: r.taken for r in rows} == {r.doc_id: want[r.doc_id] * r.size for r in rows}
+    assert {r.doc_id: r.copies for r in mixing.plan(table(spark, sf, "documents")).collect()} == want
+
+
+def spark_hash_text(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
