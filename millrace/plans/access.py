@@ -49,6 +49,10 @@ class AccessPolicy:
         rule = self._first("tables", user=user, catalog=catalog, schema=schema, table=table)
         return rule is not None and (not rule or privilege in rule.get("privileges", []) or "OWNERSHIP" in rule.get("privileges", []))
 
+    def owns_catalog(self, user: str, catalog: str) -> bool:
+        rule = self._first("catalogs", user=user, catalog=catalog)
+        return rule is not None and rule.get("allow", "all") in ("all", True)
+
     def owns_schema(self, user: str, catalog: str, schema: str) -> bool:
         rule = self._first("schemas", user=user, catalog=catalog, schema=schema)
         return rule is not None and bool(rule.get("owner", not rule))

@@ -268,6 +268,27 @@ def test_a_warehouse_by_another_scheme(spark, tmp_path):
     assert values(c.load_table("default.t").scan(), "x") == [(0,), (1,), (3,)] and str(c.root) == f"{tmp_path}/house"
 
 
+def test_other_catalogs(catalog, spark, tmp_path):
+    e = Engine(spark, "", catalog=catalog)
+    e.sql(f"CREATE CATALOG other USING lake WITH (warehouse = '{tmp_path}/other')")
+    e.sql(f"CREATE CATALOG IF NOT EXISTS other USING lake WITH (\"warehouse\" = '{tmp_path}/other')")
+    e.sql("CREATE TABLE other.sales.t AS SELECT id AS x FROM range(5)")
+    e.sql("CREATE TABLE default.t AS SELECT id AS x FROM range(3)")
+    e.sql("MERGE INTO other.sales.t AS t USING default.t AS s ON t.x = s.x WHEN MATCHED THEN UPDATE SET x = t.x + 100")
+    e.sql("INSERT INTO other.sales.t SELECT x + 50 FROM main.default.t")
+    assert sorted(r.x for r in e.sql("SELECT t.x FROM other.sales.t").collect()) == [3, 4, 50, 51, 52, 100, 101, 102]
+    later = Engine(spark, "", catalog=Catalog(spark, str(catalog.root)))
+    assert later.sql("SELECT * FROM other.sales.t JOIN default.t b ON t.x = b.x + 50").count() == 3
+    assert values(later.sql("SHOW CATALOGS"), "catalog") == [("main",), ("other",)] and values(later.sql("SHOW TABLES IN other.sales"), "table") == [("t",)]
+    assert values(later.sql("SHOW SCHEMAS FROM other"), "namespace") == [("sales",)]
+    with pytest.raises(ValueError):
+        e.sql(f"CREATE CATALOG other USING lake WITH (warehouse = '{tmp_path}/more')")
+    later.sql("DROP CATALOG other")
+    with pytest.raises(LookupError):
+        later.sql("DROP CATALOG other")
+    assert values(later.sql("SHOW CATALOGS"), "catalog") == [("main",)]
+
+
 def test_partitions_get_few_files(catalog, spark):
     t = catalog.create_table("default.t", T.StructType([T.StructField("d", T.LongType()), T.StructField("x", T.LongType())]), [("d", "identity")])
     t.append(spark.range(4000).selectExpr("id % 10 AS d", "id AS x").repartition(16))
