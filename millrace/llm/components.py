@@ -26,9 +26,11 @@ def components(links: DataFrame, shared: Shared, tag: str = "stars") -> DataFram
     while before[0]:
         k += 1
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written, so that the join's two sides are plain shuffles, of which a hub's links can be split.
+        least = shared.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = shared.table(large, f"{tag}-large")
+        least = shared.table(large.groupBy("a").agg(F.min("b").alias("m")), f"{tag}-small")
         pairs = F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
         small = large.join(least, "a").select(pairs.alias("p")).select("p.a", "p.b").where("a <> b").distinct()
         edges = shared.table(small, f"{tag}-{k}")

@@ -9,18 +9,22 @@ components.
 ``near_duplicates`` links by the radius alone.  Its buckets lose no link: the 64 bits are cut into
 blocks, and two fingerprints that differ in ``r`` bits agree in all but ``r`` of the blocks.
 
-``similar`` links by the similarity of shingle sets.  Its 128-bit fingerprints propose: a bucket is
-a random choice of bits, enough buckets are taken that a pair at the least similarity misses all of
-them with a chance of ``MISSED`` (more alike pairs far less), and the radius leaves out hardly any.
-The components of what they propose are compared exactly, shingle by shingle, so every link of the
-result holds.
+``similar`` links by the similarity of shingle sets, with 128-bit fingerprints.  Two texts that are
+alike by four fifths differ in a seventh of their bits, so buckets by bits would have to be ever
+more as texts become more: 38 tables for 190 thousand texts, 202 for 15 million, thousands for
+billions, if one pair in 500 at the least similarity may be missed.  Its buckets go by the texts'
+least rehashed shingles instead, ``ROWS`` of them to a key and ``BANDS`` keys, which texts that
+aren't alike hardly ever share, however many there are; a pair at 0.8 misses all keys with a chance of
+(1 - 0.8 ** ROWS) ** BANDS, 7 in 100,000.  Inside a bucket bit planes are compared, with a radius
+that leaves out 5 in 100,000 of such pairs (3 in 1,000 of texts of five shingles), and the components of what
+is near are compared exactly, shingle by shingle, so every link of the result holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, ceil, comb, log2, pi
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,9 @@ from millrace.llm.pairing import Match, link_groups
 
 #: Parameters of the registered query: words of a shingle, seed, radius; fingerprints compared at once, and aimed at in a bucket.
 SHINGLE, SEED, RADIUS, BLOCK, AIM = 3, 42, 3, 8192, 512
-#: Parameters of ``similar``: words of a shingle, least similarity as a fraction, words of a fingerprint, radius, chance of a missed pair, shingles compared at once.
-SIMILAR_SHINGLE, LEAST, WIDE, SIMILAR_RADIUS, MISSED, SETS = 5, (4, 5), 2, 36, 0.002, 1 << 19
+#: Parameters of ``similar``: words of a shingle, least similarity as a fraction, words of a fingerprint, radius, keys and their rows, shingles compared at once.
+SIMILAR_SHINGLE, LEAST, WIDE, SIMILAR_RADIUS, BANDS, ROWS, SETS = 5, (4, 5), 2, 36, 24, 5, 1 << 19
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # -- fingerprints ---------------------------------------------------------------------------
@@ -78,6 +83,17 @@ def wide_fingerprint(found: np.ndarray) -> list[int]:
     return [majority(mix(found, k) if k else found) for k in range(WIDE)]
 
 
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """The bucket keys of a shingle set: each of ``ROWS`` least rehashed shingles, and of its own place."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(found), 1024):
+        least = np.minimum(least, (found[None, at : at + 1024] * _FACTORS).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = mix(row, key)
+    return key
+
+
 def set_name(found: np.ndarray) -> int:
     """A hash of a shingle set; 0 for the empty one."""
     return xxhash.xxh64_intdigest(found.tobytes(), SEED) if len(found) else 0
@@ -98,7 +114,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # -- buckets --------------------------------------------------------------------------------
 
 
-def bucket_masks(n: int, radius: int = RADIUS, aim: int = AIM) -> list[list[int]]:
+def bucket_masks(n: int, radius: int = RADIUS, aim: int = AIM) -> list[int]:
     """For each bucket table the bits that make its key; no pair within the radius shares none.
 
     With m blocks and a radius of r, every m - r of the blocks make a table; m is the least for
@@ -106,7 +122,7 @@ def bucket_masks(n: int, radius: int = RADIUS, aim: int = AIM) -> list[list[int]
     """
     need = max(0, ceil(log2(max(1, n / aim))))
     if not need:
-        return [[0]]
+        return [0]
     for m in range(radius + 1, 17):
         cuts = [64 * i // m for i in range(m + 1)]
         width = min(cuts[i + 1] - cuts[i] for i in range(m)) * (m - radius)
@@ -119,46 +135,23 @@ def bucket_masks(n: int, radius: int = RADIUS, aim: int = AIM) -> list[list[int]
             take = min(cuts[i + 1] - cuts[i], left)
             left -= take
             mask |= ((1 << take) - 1) << cuts[i]
-        tables.append([mask])
+        tables.append(mask)
     return tables
 
 
-def random_masks(n: int, least: tuple[int, int] = LEAST, missed: float = MISSED, aim: int = AIM) -> list[list[int]]:
-    """Tables of random bits that miss a pair at the least similarity with a chance of ``missed``.
+def deal(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """``fps(fp)`` -> ``(g, node, fp)``, a row for each bucket; a fingerprint is its own node."""
+    keys = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for t, m in enumerate(masks)]
+    return fps.select(F.explode(F.array(*keys)).alias("g"), F.col("fp").alias("node"), "fp")
 
-    Sets of Jaccard similarity J lie at an angle of at most acos(2 J / (1 + J)), and every bit
-    differs with a chance of the angle's share of a half turn.
-    """
-    need, bits = max(0, ceil(log2(max(1, n / aim)))), 64 * WIDE
-    if not need:
-        return [[0] * WIDE]
-    j = least[0] / least[1]
-    p = acos(2 * j / (1 + j)) / pi
-    differ = [(comb(bits, d) * p**d * (1 - p) ** (bits - d), comb(bits - d, need) / comb(bits, need)) for d in range(bits - need + 1)]
-    tables = 1
-    while sum(w * (1 - hit) ** tables for w, hit in differ) > missed:
-        tables += 1 + tables // 16
-    rng = np.random.default_rng(SEED)
-    masks = [sum(1 << int(b) for b in rng.choice(bits, need, replace=False)) for _ in range(tables)]
-    return [[m >> 64 * k & (1 << 64) - 1 for k in range(WIDE)] for m in masks]
-
-
-def deal(rows: DataFrame, words: list[str], masks: list[list[int]]) -> DataFrame:
-    """``rows(node, words...)`` -> ``(g, node, words...)``, a row for each bucket."""
-    keys = []
-    for t, mask in enumerate(masks):
-        used = [F.col(w).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for w, m in zip(words, mask) if m]
-        keys.append(F.xxhash64(F.lit(t), *used))
-    return rows.select(F.explode(F.array(*keys)).alias("g"), "node", *words)
-
-
-def near_links(rows: DataFrame, masks: list[list[int]], radius: int, shared: Shared, block: int = BLOCK) -> DataFrame:
-    """``rows(node, words...)``, distinct nodes -> links ``(u, v)`` that join all that share a bucket within the radius."""
+
+def near_links(dealt: DataFrame, radius: int, shared: Shared, block: int = BLOCK) -> DataFrame:
+    """``dealt(g, node, words...)`` -> links ``(u, v)`` that join all that share a bucket within the radius."""
 
     def match(task: pa.Table) -> Match:
         return matches(np.stack([c.to_numpy() for c in task.columns], axis=1).astype(np.int64).view(np.uint64), radius)
 
-    return link_groups(deal(rows, rows.columns[1:], masks), match, shared, "near", block, F.lit(1))
+    return link_groups(dealt, match, shared, "near", block, F.lit(1))
 
 
 # -- linked by the radius -------------------------------------------------------------------
@@ -179,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = Shared.create(docs.sparkSession, "simhash")
     prints = shared.table(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
     known = shared.table(prints.groupBy("fp").agg(F.min("id").alias("least")), "known")
-    links = near_links(known.select(F.col("fp").alias("node"), "fp"), bucket_masks(known.count(), radius), radius, shared, block)
+    links = near_links(deal(known, bucket_masks(known.count(), radius)), radius, shared, block)
     found = components(links, shared)
     member = known.join(found, known.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -200,18 +193,20 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def set_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(key, id, node, n, f0, f1)`` for each row: its key, its set's name and size, the wide fingerprint."""
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *((f"f{k}", pa.int64()) for k in range(WIDE))])
+    """``(key, id, node, n, f0, f1, bands)`` for each row: its key, its set's name and size, the wide fingerprint, the bucket keys."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *((f"f{k}", pa.int64()) for k in range(WIDE)), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(set_name(x), len(x), *wide_fingerprint(x)) for x in map(shingle_set, as_bytes(b.column(2)))]
-            names, sizes, *words = zip(*found) if found else [()] * (2 + WIDE)
-            as_signed = [signed(np.array(x, dtype=np.uint64)) for x in (names, *words)]
-            yield record_batch(schema, b.column(0), b.column(1), as_signed[0], sizes, *as_signed[1:])
+            texts = as_bytes(b.column(2))
+            for i, j in steps(texts):
+                sets = list(map(shingle_set, texts[i:j]))
+                words = signed(np.array([[set_name(x), *wide_fingerprint(x)] for x in sets], dtype=np.uint64).T)
+                bands = [signed(band_keys(x)) if len(x) else np.zeros(0, np.int64) for x in sets]
+                yield record_batch(schema, b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), words[0], [len(x) for x in sets], *words[1:], bands)
 
     rows = docs.select(row_key(id_col, text_col), F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    return rows.mapInArrow(run, "key long, id long, node long, n long, " + ", ".join(f"f{k} long" for k in range(WIDE)))
+    return rows.mapInArrow(run, "key long, id long, node long, n long, " + ", ".join(f"f{k} long" for k in range(WIDE)) + ", bands array<long>")
 
 
 def chosen(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, *keep: str) -> DataFrame:
@@ -281,7 +276,21 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, units: DataFrame,
     return link_groups(sets, match, shared, "like", block, F.col("n"))
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", aim: int = AIM, block: int = BLOCK, sets: int = SETS) -> DataFrame:
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, sets: int = SETS) -> DataFrame:
+    """``(key, id, node, times, cluster)``, a row for each distinct id and text of ``docs``: the components of ``similar``, by name."""
+    shared = Shared.create(docs.sparkSession, "similar")
+    words = [f"f{k}" for k in range(WIDE)]
+    prints = shared.table(set_prints(docs, id_col, text_col), "prints")
+    units = shared.table(prints.groupBy("key", "id", "node").agg(F.count("*").alias("times")), "units")
+    known = shared.table(prints.where("n > 0").select("node", *words, "bands").dropDuplicates(["node"]), "known")
+    dealt = known.select(F.explode("bands").alias("g"), "node", *words)
+    proposed = components(near_links(dealt, SIMILAR_RADIUS, shared, block), shared, "proposed")
+    proposed = shared.table(proposed.union(proposed.select("root", "root")).distinct(), "proposed")
+    joined = components(similar_links(docs, id_col, text_col, units, proposed, shared, sets), shared, "joined")
+    return units.join(joined, "node", "left").select("key", "id", "node", "times", F.coalesce("root", "node").alias("cluster"))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(key, doc_id, node, times, component_id, cluster)``, a row for each distinct id and text of ``docs``.
 
     ``component_id`` is the smallest id that can be reached over pairs of a Jaccard similarity of
@@ -292,17 +301,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", aim
     A text of fewer than five words is one shingle.  An empty table gives an empty table; other
     columns are ignored.
     """
-    shared = Shared.create(docs.sparkSession, "similar")
-    words = [f"f{k}" for k in range(WIDE)]
-    prints = set_prints(docs, id_col, text_col)
-    units = shared.table(prints.groupBy("key", "id", "node").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", *words))), "units")
-    known = shared.table(units.where("n > 0").groupBy("node").agg(*(F.first(c).alias(c) for c in words)), "known")
-    proposed = components(near_links(known, random_masks(known.count(), aim=aim), SIMILAR_RADIUS, shared, block), shared, "proposed")
-    proposed = shared.table(proposed.union(proposed.select("root", "root")).distinct(), "proposed")
-    joined = components(similar_links(docs, id_col, text_col, units, proposed, shared, sets), shared, "joined")
-    member = units.join(joined, "node", "left").select("key", "id", "node", "times", F.coalesce("root", "node").alias("cluster"))
-    named = member.groupBy("cluster").agg(F.min("id").alias("component_id"))
-    return member.join(named, "cluster").select("key", F.col("id").alias("doc_id"), "node", "times", "component_id", "cluster")
+    found = members(docs, id_col, text_col, **options)
+    named = found.groupBy("cluster").agg(F.min("id").alias("component_id"))
+    return found.join(named, "cluster").select("key", F.col("id").alias("doc_id"), "node", "times", "component_id", "cluster")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -313,6 +314,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty table.
     """
     shared = Shared.create(docs.sparkSession, "dedup")
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "times")).alias("r")
-    stay = shared.table(similar(docs, id_col, text_col, **options).groupBy("cluster").agg(least).select("r.key", F.col("r.doc_id").alias("id"), "r.times"), "stay")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "key", "times")).alias("r")
+    stay = shared.table(members(docs, id_col, text_col, **options).groupBy("cluster").agg(least).select("r.key", "r.id", "r.times"), "stay")
     return chosen(docs, id_col, text_col, stay)

@@ -125,10 +125,10 @@ def test_buckets_parts_and_tables_lose_no_link(spark):
     want = {}
     for f, c in zip(signed, least):
         want.setdefault(c, set()).add(f)
-    df = spark.createDataFrame([(f, f) for f in signed], "node long, fp long")
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
     for n, block in ((len(fps), 8192), (len(fps), 50), (1 << 26, 8192), (1 << 36, 64)):
         shared = Shared.create(spark, "test")
-        pairs = simhash.near_links(df, simhash.bucket_masks(n), 3, shared, block).collect()
+        pairs = simhash.near_links(simhash.deal(df, simhash.bucket_masks(n)), 3, shared, block).collect()
         assert linked(pairs, signed) == set(map(frozenset, want.values()))
 
 
@@ -142,9 +142,9 @@ def test_a_large_group_costs_its_size(spark):
     want = {}
     for f, c in zip(signed, plain_components([(f, f) for f in fps])):
         want.setdefault(c, set()).add(f)
-    df = spark.createDataFrame([(f, f) for f in signed], "node long, fp long")
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
     shared = Shared.create(spark, "test")
-    pairs = simhash.near_links(df, [[0]], 3, shared, block=64).collect()
+    pairs = simhash.near_links(simhash.deal(df, [0]), 3, shared, block=64).collect()
     assert linked(pairs, signed) == set(map(frozenset, want.values()))
     assert len(pairs) < 20 * len(fps)
     rest = spark.read.parquet(shared.uri("near-rest"))

@@ -62,21 +62,38 @@ def test_stage_on_documents(spark, sf):
     docs = table(spark, sf, "documents")
     want = plain_kept([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == want
-    assert sorted(r.doc_id for r in simhash.deduplicate(docs, aim=8).collect()) == want
-
-
-def test_random_tables_miss_few_pairs():
-    """Pairs at the least similarity, over the tables of a large input, by the bits themselves."""
-    rng = np.random.default_rng(0)
-    masks = simhash.random_masks(1 << 22)
-    missed = 0
-    for k in range(400):
-        common, own = rng.integers(0, 1 << 63, 160, dtype=np.uint64), rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-        a, b = (simhash.wide_fingerprint(np.concatenate([common, x])) for x in (own[:20], own[20:]))
-        differ = [x ^ y for x, y in zip(a, b)]
-        near = sum(d.bit_count() for d in differ) <= simhash.SIMILAR_RADIUS
-        missed += not (near and any(not any(d & m for d, m in zip(differ, mask)) for mask in masks))
-    assert missed <= 6
+
+
+def pairs(n, size, common, seed=0):
+    rng = np.random.default_rng(seed)
+    for _ in range(n):
+        both = rng.integers(0, 1 << 63, common, dtype=np.uint64) * np.uint64(2)
+        a, b = (np.concatenate([both, rng.integers(0, 1 << 63, k, dtype=np.uint64)]) for k in ((size - common) // 2, -(-(size - common) // 2)))
+        yield np.unique(a), np.unique(b)
+
+
+def met(a, b):
+    near = sum((x ^ y).bit_count() for x, y in zip(simhash.wide_fingerprint(a), simhash.wide_fingerprint(b))) <= simhash.SIMILAR_RADIUS
+    return near and bool((simhash.band_keys(a) == simhash.band_keys(b)).any())
+
+
+def test_similar_names_components(spark):
+    rows = edited()
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows] + [(None, rows[0][1], "en", "a", 1)], DOCS)
+    found = simhash.similar(docs).collect()
+    assert len(found) == len(rows) + 1 and all(r.times == 1 for r in found)
+    assert sorted({r.component_id for r in found}) == plain_kept(rows)
+    assert len({r.cluster for r in found}) == len(plain_kept(rows))
+    assert {r.component_id for r in found if r.doc_id is None} == {r.component_id for r in found if r.doc_id == 0}
+
+
+def test_few_pairs_are_missed():
+    """Pairs at the least similarity share a bucket and lie within the radius; others hardly ever do."""
+    for size, common in ((10, 8), (40, 32), (300, 240)):
+        assert sum(met(a, b) for a, b in pairs(500, size, common)) >= 498
+    assert sum(met(a, b) for a, b in pairs(500, 5, 4)) >= 490
+    assert sum(met(a, b) for a, b in pairs(300, 300, 0)) == 0
+    assert sum(met(a, b) for a, b in pairs(300, 300, 100)) < 30
 
 
 def test_a_hot_group_of_copies(spark):
