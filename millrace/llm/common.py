@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -102,10 +103,12 @@ def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 class Shared:
     """Files that the driver and all executors see: a folder made under ``spark.checkpoint.dir``.
 
-    A local or mounted path is opened in place.  Any other store goes through pyarrow's file
-    systems, and a file to be mapped is copied to an unnamed temporary file first, which vanishes
-    with the worker.  Files are written under another name and renamed, so a task that runs twice
-    leaves one whole file.
+    Only where all run in one process (a local master) a temporary folder may stand in for it.
+
+    A local or mounted path is opened in place.  Any other store goes through pyarrow's file systems;
+    it can't be mapped, so what would be mapped is read into memory there, file by file as it is
+    asked for: mount the store for models that don't fit.  Files are written under another name and
+    renamed, so a task that runs twice leaves one whole file.
     """
 
     def __init__(self, root: str):
@@ -115,6 +118,8 @@ class Shared:
     def create(cls, spark: SparkSession, tag: str) -> Shared:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir isn't set, and a folder of this machine isn't seen by the others")
             root = tempfile.mkdtemp(prefix="millrace-")
         if "://" not in root:
             root = "file://" + os.path.abspath(root.removeprefix("file:"))
@@ -162,6 +167,13 @@ class Shared:
         found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
         return sorted(x.base_name for x in found if x.is_file and not x.base_name.endswith(".draft"))
 
+    def ages(self, folder: str = "") -> list[tuple[str, float]]:
+        """All files under a folder, and the seconds since they were written."""
+        fs, path = self._fs(folder)
+        found = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
+        now, prefix = time.time(), self._fs("")[1].rstrip("/") + "/"
+        return [(x.path.removeprefix(prefix), now - x.mtime.timestamp()) for x in found if x.is_file]
+
     def remove(self, name: str) -> None:
         fs, path = self._fs(name)
         info = fs.get_file_info(path)
@@ -171,15 +183,11 @@ class Shared:
             fs.delete_file(path)
 
     def map(self, name: str) -> np.ndarray:
-        """The file's bytes, memory-mapped."""
+        """The file's bytes, memory-mapped; from a store that can't be mapped, in memory."""
         fs, path = self._fs(name)
         if isinstance(fs, pafs.LocalFileSystem):
             return np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-        with tempfile.TemporaryFile() as f, fs.open_input_stream(path, compression=None) as g:
-            while chunk := g.read(1 << 20):
-                f.write(chunk)
-            f.flush()
-            return np.memmap(f, dtype=np.uint8, mode="r") if f.tell() else np.zeros(0, np.uint8)
+        return np.frombuffer(self.read(name), dtype=np.uint8)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Written and read again: cuts the lineage, and lost executors lose nothing of it.

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,24 +112,29 @@ class ShardStore:
         return Manifest.loads(self.shared.read(f"manifest-{version:08d}.json")) if version else Manifest()
 
     def commit(self, new: Manifest) -> Manifest:
-        """Creates the manifest of ``new.version``; :class:`Conflict` if there is one."""
+        """Creates the manifest of ``new.version``; :class:`Conflict` if there is one.
+
+        That takes a store that creates a name exclusively: a local or mounted path (a hard link), or
+        HDFS (a rename, which doesn't overwrite).  Any other store is refused.
+        """
         name = f"manifest-{new.version:08d}.json"
         fs, path = self.shared._fs(name)
+        if fs.type_name not in ("local", "hdfs"):
+            raise NotImplementedError(f"no manifest can be committed atomically to {self.shared.root}")
         draft = f"draft-{uuid.uuid4().hex}"
         self.shared.write(draft, [new.dumps()])
         try:
-            if isinstance(fs, pafs.LocalFileSystem):
-                try:
-                    os.link(self.shared._fs(draft)[1], path)  # fails if the name is taken
-                except FileExistsError:
-                    raise Conflict(name) from None
-                return new
+            if fs.type_name == "local":
+                os.link(self.shared._fs(draft)[1], path)  # fails if the name is taken
+            else:
+                fs.move(self.shared._fs(draft)[1], path)
+        except OSError:
             if self.shared.exists(name):
-                raise Conflict(name)
-            fs.move(self.shared._fs(draft)[1], path)  # where a move doesn't overwrite, as on HDFS
-            return new
+                raise Conflict(name) from None
+            raise
         finally:
             self.shared.remove(draft)
+        return new
 
     # -- arrivals
 
@@ -191,12 +195,17 @@ class ShardStore:
             raise RuntimeError("a merge has lost rows")
         return self._swap(old, sorted(made, key=lambda s: s.name), "compact")
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes manifests but the last ``keep``, and files that none of these names; how many files went."""
+    def vacuum(self, keep: int = 1, grace: float = 86400.0) -> int:
+        """Deletes manifests but the last ``keep``, and files that none of these names; how many files went.
+
+        Files that no manifest has ever named belong to a writer that hasn't committed yet or never
+        will: they go once they are ``grace`` seconds old.
+        """
         versions = sorted(self.versions())
         drop, kept = versions[:-keep] if keep else versions, versions[-keep:] if keep else []
         named = {s.name for v in kept for s in self.manifest(v).shards}
         gone = {s.name for v in drop for s in self.manifest(v).shards} - named
+        gone |= {name for name, age in self.shared.ages("data") if age > grace and name not in named and name.endswith((".parquet", ".draft"))}
         for name in gone:
             self.shared.remove(name)
         for v in drop:

@@ -244,6 +244,8 @@ def read(spark: SparkSession, shared: Shared, names: list[str], payload: bool =
     """A row for each record of the archives: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive``.
 
     ``payload`` adds the payload of responses.  A damaged archive fails with :class:`WarcError`.
+    Ids and addresses that were null are null again, payloads that were null are empty; records may be
+    repeated and of any length; no archives give no rows.
     """
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string())]
     layout = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string"

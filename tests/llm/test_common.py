@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from millrace.llm.common import Shared, hashed_sample, mix, steps
+from millrace.llm.common import Shared, hashed_sample, mix, steps, unused
 
 
 def test_hashed_sample_is_bounded_and_the_same_in_any_order(spark):
@@ -32,6 +32,22 @@ def test_shared_files(tmp_path):
     assert not s.exists("a/b")
 
 
+def test_a_temporary_folder_is_for_one_process_alone():
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Cluster:
+        conf = Conf
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: Conf)})
+
+    with pytest.raises(ValueError):
+        Shared.create(Cluster, "x")
+
+
+def test_names_that_are_free():
+    assert unused(["a", "B", "b_"], "a", "b", "c", "C") == ["a_", "b__", "c", "C_"]
+
+
 def test_mix_spreads():
     x = mix(np.arange(1 << 16, dtype=np.uint64), 3)
     assert len(np.unique(x)) == 1 << 16

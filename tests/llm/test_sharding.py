@@ -81,3 +81,23 @@ def test_odd_rows(spark):
     assert sorted(map(str, s.read().collect())) == sorted(map(str, df.collect()))
     empty = sharding.shard_arrivals(df.limit(0), F.lit(0))
     assert empty.manifest().version == 1 and empty.read().count() == 0 and empty.read().columns == df.columns
+
+
+def test_files_of_a_dead_writer_go(spark):
+    s = store(spark)
+    s.append(spark.range(10))
+    s.shared.write("data/lost/part-0.parquet", [b"half a file"])
+    assert s.vacuum() == 0 and s.shared.exists("data/lost/part-0.parquet")  # its writer may still be at work
+    assert s.vacuum(grace=-1) == 1 and not s.shared.exists("data/lost/part-0.parquet")
+    assert s.read().count() == 10
+
+
+def test_a_store_without_exclusive_names_is_refused(spark, monkeypatch):
+    s = store(spark)
+
+    class Other:
+        type_name = "s3"
+
+    monkeypatch.setattr(s.shared, "_fs", lambda name: (Other(), name))
+    with pytest.raises(NotImplementedError):
+        s.commit(Manifest(1, None, []))
