@@ -290,7 +290,11 @@ def judge(crf: Crf, texts: list[bytes], content_share: float = CONTENT_SHARE) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Crf:
-    """Fits the chain on at most ``sample`` documents of each label, drawn by a hash of the id."""
+    """Fits the chain on at most ``sample`` documents of each label, drawn by a hash of the id.
+
+    An id that is repeated with other texts counts once, with the least of their features; an id with
+    both labels is of the better one.  Neither depends on the rows' order.
+    """
     ids: dict[int, int] = {}
     for quality in (0, 1):
         picked = labels.where((F.col(label_col) == quality) & F.col(id_col).isNotNull()).select(id_col).distinct()
@@ -308,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     picked = docs.where(F.col(id_col).isin(list(ids))).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     width = -(-N_FEATURES // 8)
-    rows = {r.id: r.f for r in picked.mapInArrow(run, "id long, f binary").dropDuplicates(["id"]).collect()}
+    rows = {r.id: r.f for r in picked.mapInArrow(run, "id long, f binary").groupBy("id").agg(F.min("f").alias("f")).collect()}
     lines = [np.unpackbits(np.frombuffer(rows[i], np.uint8).reshape(-1, width), axis=1)[:, :N_FEATURES] for i in sorted(rows)]
     return fit(lines, [ids[i] for i in sorted(rows)])
 

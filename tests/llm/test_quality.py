@@ -4,6 +4,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import quality
 from millrace.llm.common import table
@@ -181,3 +182,10 @@ def test_all_lines_are_fitted(spark):
     crf = quality.train(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
     _, lines = quality.measure([texts[2].encode()])
     assert quality.viterbi(crf, lines, 1)[100:].all()
+
+
+def test_repeated_ids_learn_the_same_in_any_order(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    mixed = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1)).unionByName(docs)
+    a, b = (quality.train(d, labels) for d in (mixed, mixed.repartition(7, F.rand(5)).sortWithinPartitions(F.desc("text"))))
+    assert (a.unary == b.unary).all() and (a.move == b.move).all()
