@@ -151,8 +151,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled documents of each class whose crc32(id) mod 3 isn't 1.
 
-    The sample is drawn by a hash of the id and written to the shared folder; equal texts count
-    once.  Counts of units are made in Spark, and only significant units come to the driver.
+    The sample is drawn by a hash of the id and written to the shared folder; an id that is repeated
+    with other texts counts with one of them, equal texts count once.  Counts of units are made in Spark, and only significant units come to the driver.
     Without documents of both classes every score is below the threshold.
     """
     spark = docs.sparkSession
@@ -164,7 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model()
     shared = Shared.create(spark, "toxicity")
     toxic_ids = [i for i, y in ids.items() if y]
-    fitted = docs.where(F.col(id_col).isin(list(ids))).select(F.col(text_col).cast("string").alias("t"), F.col(id_col).isin(toxic_ids).cast("int").alias("y"))
+    fitted = docs.where(F.col(id_col).isin(list(ids))).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    fitted = fitted.groupBy("i").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))  # one text for an id, in any order of rows
+    fitted = fitted.select("t", F.col("i").isin(toxic_ids).cast("int").alias("y"))
     fitted = shared.table(fitted.groupBy(F.xxhash64("t"), "y").agg(F.first("t").alias("t")).select("t", "y"), "fitted")
 
     schema = pa.schema([("unit", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])

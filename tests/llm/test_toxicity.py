@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import toxicity
 from millrace.llm.common import table
@@ -146,3 +147,10 @@ def test_learning_by_plain_counts(spark):
         if delta > 1 and delta > toxicity.Z * np.sqrt(1 / (toxic + prior) + 1 / (clean + prior)):
             want[u] = delta
     assert model.weights == pytest.approx(want) and want
+
+
+def test_repeated_ids_learn_the_same_in_any_order(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    mixed = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1)).unionByName(docs)
+    a, b = (toxicity.train(d, labels) for d in (mixed, mixed.repartition(7, F.rand(5)).sortWithinPartitions(F.desc("text"))))
+    assert a.weights == b.weights and (a.rate, a.scale) == (b.rate, b.scale)
