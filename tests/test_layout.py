@@ -31,5 +31,7 @@ def test_the_rest_works_without_it(tmp_path, pipeline):
     run = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, env=env)
     assert run.returncode == 0, run.stderr
     assert int(run.stdout.strip().split()[-1]) > 90
+    if pipeline:
+        return
     run = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_queries.py::test_entry", "tests/test_operators.py"], cwd=root, capture_output=True, text=True, env=env)
     assert run.returncode == 0, run.stdout[-2000:]
