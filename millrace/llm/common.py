@@ -15,7 +15,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +48,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def hash_bytes(items: Iterable[bytes], n: int, seed: int = 0) -> np.ndarray:
-    h = xxhash.xxh64_intdigest
-    return np.fromiter((h(x, seed) for x in items), dtype=np.uint64, count=n)
-
-
 def mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     """A 64-bit hash of two 64-bit values (unsigned, wraps around)."""
     with np.errstate(over="ignore"):

@@ -14,6 +14,9 @@ words are) are spread over several shards by the next word, and their totals are
 they are looked up.  Scoring maps the arrays from the shared folder into the workers' memory; pages
 that aren't asked for are never read.
 
+If there are very many shards, n-grams are dealt to ranges of them first and to the shards of a range
+then, so that packs hold many n-grams however large the corpus is.
+
 Counts take a byte, those of 255 and more stand in a side array.  No n-gram is dropped.
 """
 
@@ -22,6 +25,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,8 @@ from millrace.llm.common import Shared, as_bytes, mix, record_batch, signed, ste
 
 #: Parameters: the order, n-grams of a shard at most about, bytes of text a step, bits of a memo's slots.
 ORDER, SHARD, STEP, MEMO = 3, 1 << 20, 2 << 20, 19
+#: Shards that n-grams are dealt to at once (beyond, in two steps), and files a worker keeps mapped.
+WIDE, MAPPED = 1 << 12, 1 << 14
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the hash of a text's end
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
@@ -278,7 +285,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             texts = as_bytes(b.column(1))
             for a, z in steps(texts, STEP):
                 held.append(hash_tokens(texts[a:z])[0])
-                if sum(map(len, held)) > 4 * SHARD:
+                if sum(map(len, held)) > 2 * SHARD:
                     yield flush()
         if held:
             yield flush()
@@ -347,6 +354,7 @@ class Deal:
 
     def __init__(self, vocabulary: Vocabulary, shards: int, hot: int):
         self.vocabulary, self.shards, self.hot = vocabulary, shards, hot
+        self.base = max(1, -(-vocabulary.size // shards))  # words of a shard of the last order
         self._common: tuple[np.ndarray, np.ndarray] | None = None
 
     def common(self) -> tuple[np.ndarray, np.ndarray]:
@@ -363,6 +371,10 @@ class Deal:
             h = mix(h, c.astype(np.uint64))
         return h
 
+    def span(self) -> int:
+        """How many shards n-grams are first dealt to together."""
+        return -(-self.shards // WIDE) if self.shards > WIDE else 1
+
     def frequency(self, words: np.ndarray) -> np.ndarray:
         """How often common words occur, 0 for others; without bound for the mark before a text."""
         known, counts = self.common()
@@ -403,18 +415,60 @@ def by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
     return np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
 
 
-_DEALT = "shard int, grams binary"
-_DEALT_ARROW = pa.schema([("shard", pa.int32()), ("grams", pa.binary())])
+_DEALT = "shard int, grams binary, seen array<long>"
+_DEALT_ARROW = pa.schema([("shard", pa.int32()), ("grams", pa.binary()), ("seen", pa.list_(pa.int64()))])
+
+
+def _packs(grams: np.ndarray, counts: np.ndarray, shard: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """Sorted n-grams, packed by shard."""
+    order = by_shard(shard, shards)
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for a, z in zip(cuts, [*cuts[1:], len(order)]):
+        rows = order[a:z]
+        yield record_batch(_DEALT_ARROW, [int(shard[rows[0]])], [pack_grams(grams[rows], counts[rows])], [None])
 
 
 def _deals(deal: Deal, grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Distinct sorted n-grams, packed by shard."""
-    _, shard = deal.of(grams)
-    order = by_shard(shard, deal.shards)
-    cuts = np.searchsorted(shard[order], np.arange(deal.shards + 1))
-    for i in np.flatnonzero(np.diff(cuts)):
-        rows = order[cuts[i] : cuts[i + 1]]
-        yield record_batch(_DEALT_ARROW, [int(i)], [pack_grams(grams[rows], counts[rows])])
+    """Distinct sorted n-grams, packed by shard; by ranges of shards if there are very many, so that packs don't get small."""
+    shard = deal.of(grams)[1] if grams.shape[1] > 1 else grams[:, 0] // deal.base
+    yield from _packs(grams, counts, shard // deal.span(), deal.shards)
+
+
+def _by_shard_rows(dealt: DataFrame, partitions: int, finish: Callable[[int, Iterator[bytes]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``finish`` over each shard's packs, one shard after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((shard, pack) for b in batches for shard, pack in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for shard, group in groupby(rows, key=itemgetter(0)):
+            yield from finish(shard, (pack for _, pack in group))
+
+    packed = dealt.where("grams IS NOT NULL").select("shard", "grams")
+    return packed.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(run, _DEALT)
+
+
+def refined(dealt: DataFrame, deal: Deal, most: int = SHARD) -> DataFrame:
+    """Packs of ranges of shards dealt anew, each to its shards; nothing to do if no range has two."""
+    if deal.span() == 1:
+        return dealt
+
+    def split(_: int, packs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            grams, counts = add_up(np.concatenate([g for g, _ in held]), np.concatenate([c for _, c in held]))
+            shard = deal.of(grams)[1] if grams.shape[1] > 1 else grams[:, 0] // deal.base
+            yield from _packs(grams, counts, shard, deal.shards)
+
+        for pack in packs:
+            held.append(unpack_grams(pack))
+            size += len(held[-1][0])
+            if size >= most:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    return _by_shard_rows(dealt, -(-deal.shards // deal.span()), split)
 
 
 def windows(numbers: np.ndarray, lengths: np.ndarray, order: int, before: int) -> np.ndarray:
@@ -439,7 +493,7 @@ def count_grams(docs: DataFrame, deal: Deal, order: int, most: int = SHARD) -> D
                 numbers = deal.vocabulary.numbers(hashes)
                 held.append(windows(numbers, lengths, order, deal.vocabulary.size).astype(np.int32 if deal.vocabulary.size < 1 << 31 else np.int64, order="C"))
                 size += len(numbers)
-                if size >= 2 * most:
+                if size >= most:
                     grams = np.concatenate(held)
                     held, size = [], 0
                     yield from _deals(deal, *add_up(grams, np.ones(len(grams), np.int64)))
@@ -454,11 +508,10 @@ def count_grams(docs: DataFrame, deal: Deal, order: int, most: int = SHARD) -> D
 def write_order(dealt: DataFrame, deal: Deal, shared: Shared, order: int, partitions: int) -> DataFrame:
     """Writes the shards of an order; hands on the n-grams without their first word, dealt again.
 
-    Counts of counts go to small files beside the shards.
+    Rows with ``seen`` instead of n-grams tell each shard's counts of counts.
     """
-    base = max(1, -(-deal.vocabulary.size // deal.shards))
 
-    def finish(shard: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def finish(shard: int, packed: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         found = [unpack_grams(p) for p in packed]
         grams, counts = np.concatenate([g for g, _ in found]), np.concatenate([c for _, c in found])
         del found
@@ -482,34 +535,17 @@ def write_order(dealt: DataFrame, deal: Deal, shared: Shared, order: int, partit
             for name, x in (("total", counts), ("once", counts == 1), ("twice", counts == 2)):
                 arrays |= narrow(name, np.add.reduceat(x.astype(np.int64), first)[lengths > 1])
             shared.write(f"order{order}-{shard:06d}", pack_arrays(**arrays))
+            del arrays, hashes, by, new, first, inside, owner
         if order == 1:
-            dense = np.zeros(base, dtype=np.int64)
-            dense[grams[:, 0] - shard * base] = counts
+            dense = np.zeros(deal.base, dtype=np.int64)
+            dense[grams[:, 0] - shard * deal.base] = counts
             shared.write(f"order1-{shard:06d}", pack_arrays(**narrow("count", dense)))
         seen = np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
-        shared.write(f"seen{order}-{shard:06d}.json", [json.dumps([*seen, int(counts.sum())]).encode()])
-        if order > 2:
+        yield record_batch(_DEALT_ARROW, [shard], [None], [[*seen, int(counts.sum())]])
+        if order > 1:
             yield from _deals(deal, *add_up(grams[:, 1:], np.ones(len(grams), np.int64)))
-        elif order == 2:
-            words, n = add_up(grams[:, 1:], np.ones(len(grams), np.int64))
-            shard_of = words[:, 0] // base
-            for i in np.unique(shard_of):
-                rows = shard_of == i
-                yield record_batch(_DEALT_ARROW, [int(i)], [pack_grams(words[rows], n[rows])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
-        for b in batches:
-            for shard, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if shard != last:
-                    if held:
-                        yield from finish(last, held)
-                    last, held = shard, []
-                held.append(packed)
-        if held:
-            yield from finish(last, held)
-
-    return dealt.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(run, _DEALT)
+    return _by_shard_rows(refined(dealt, deal), partitions, finish)
 
 
 def discounts(seen: list[int]) -> tuple[float, float, float]:
@@ -535,17 +571,14 @@ def train(docs: DataFrame, shared: Shared, order: int = ORDER, shard: int = SHAR
         partitions = max(1, min(shards, 8192))
         dealt = count_grams(docs, deal, order, shard)
         for k in range(order, 0, -1):
-            dealt = write_order(dealt, deal, shared, k, partitions)
-            dealt = shared.table(dealt, f"dealt-{k - 1}")
+            dealt = shared.table(write_order(dealt, deal, shared, k, partitions), f"dealt-{k - 1}")
             if k < order:
                 shared.remove(f"dealt-{k}")
-        shared.remove("dealt-0")
-        for k in range(1, order + 1):
-            seen = [json.loads(shared.read(n)) for n in shared.names() if n.startswith(f"seen{k}-")]
-            sums = [sum(x) for x in zip(*seen)]
+            sums = list(dealt.agg(*[F.sum(F.col("seen")[i]) for i in range(5)]).first())
             about[f"discounts{k}"] = discounts(sums[:4])
             about[f"sum{k}"] = sums[4]
             about[f"once{k}"] = sums[:2] + [sum(sums[:4])]
+        shared.remove("dealt-0")
         about["types"] = vocabulary.size
     return about
 
@@ -563,7 +596,7 @@ class Model:
         self.vocabulary = Vocabulary(self.shared, about["bits"], about["starts"])
         self.deal = Deal(self.vocabulary, about["shards"], about["hot"])
         self._files: dict[tuple[int, int], dict[str, np.ndarray] | None] = {}
-        self.base = max(1, -(-self.vocabulary.size // self.deal.shards))
+        self.base = self.deal.base
         self.unit = about["tokens"] + 0.5 * (self.vocabulary.size + 1)
         f, i = np.float64, np.int64
         self.words = Memo({"number": i, "known": np.bool_, "base": f, "lowest": f, "common": i, "hash": np.uint64, "parts": i, "total": f, "left": f, "shard": i, "at": i}, self.resolve)
@@ -573,6 +606,8 @@ class Model:
 
     def file(self, order: int, shard: int) -> dict[str, np.ndarray] | None:
         if (order, shard) not in self._files:
+            if len(self._files) >= MAPPED:
+                self._files.clear()
             name = f"order{order}-{shard:06d}"
             self._files[order, shard] = map_arrays(self.shared, name) if self.shared.exists(name) else None
         return self._files[order, shard]

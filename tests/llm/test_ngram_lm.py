@@ -81,12 +81,14 @@ def test_query_equals_brute_force(spark, sf):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-@pytest.mark.parametrize("order,shard", [(2, 400), (3, 150), (4, 3000)])
-def test_orders_shards_and_hot_contexts(spark, order, shard, monkeypatch):
+@pytest.mark.parametrize("order,shard,wide", [(2, 400, 4096), (3, 150, 4096), (4, 3000, 4096), (3, 150, 5)])
+def test_orders_shards_and_hot_contexts(spark, order, shard, wide, monkeypatch):
     rng = random.Random(order)
     rows = [(i, " ".join(rng.choice(["a", "a", "a", "b", "c", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 90)))) for i in range(150)]
     rows += [(900, None), (901, ""), (902, "never seen words A B")]
     monkeypatch.setattr(ngram_lm, "MEMO", 3)
+    monkeypatch.setattr(ngram_lm, "MAPPED", 7)
+    monkeypatch.setattr(ngram_lm.Deal, "span", lambda self: -(-self.shards // wide) if self.shards > wide else 1)
     df = spark.createDataFrame(rows, "doc_id long, t string")
     shared = Shared.create(spark, "lm-test")
     train = df.where("doc_id % 3 <> 0 AND doc_id < 900")
