@@ -37,6 +37,15 @@ def test_range_and_overlap(spark, points, spans, width):
     assert got == sorted((j, k) for j, (a, n) in enumerate(spans) for k, (b, m) in enumerate(spans) if a < b + m and b < a + n)
 
 
+@FEW
+@given(left=st.lists(KEY, max_size=6), right=st.lists(KEY, max_size=4))
+def test_not_in_join_equals_not_in(spark, left, right):
+    a, b = spark.createDataFrame([(x,) for x in left], "k int"), spark.createDataFrame([(x,) for x in right], "k int")
+    got = [r.k for r in joins.not_in_join(a, b, "k", "k").collect()]
+    want = [x for x in left if not right or x is not None and None not in right and x not in right]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_salted_join_equals_join(spark):
     big = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(200)] + [(None, 1)], "k int, v int")
     small = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (None, "d")], "k int, w string")

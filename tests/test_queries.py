@@ -45,6 +45,17 @@ def test_no_nested_loops(spark, sf):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_not_in_broadcasts_one_row(spark, sf):
+    """Spark's own NOT IN sends the whole subquery through the driver, whatever its size."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.queries()["join_not_in"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and plan.count("BroadcastExchange") == 1
+
+
 def test_functions_without_an_oracle_by_value(spark, sf):
     """What the oracle lacks, against Python's own libraries."""
     texts = {r.doc_id: r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
