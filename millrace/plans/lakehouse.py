@@ -77,12 +77,13 @@ def update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
        UNION ALL SELECT p_partkey + 1000000, p_retailprice + 1 FROM part WHERE p_size > 25 AND p_size <= 30""",
 )
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows say so and match nothing: a table of over a million parts has their keys already."""
     engine, parts = _managed(spark, sf_dir, "part")
-    old = table(spark, sf_dir, "part").withColumn("p_retailprice", F.col("p_retailprice") + 1).where("p_size > 25")
-    new = old.where("p_size <= 30").withColumn("p_partkey", F.col("p_partkey") + 1000000)
+    old = table(spark, sf_dir, "part").withColumns({"p_retailprice": F.col("p_retailprice") + 1, "is_new": F.lit(False)}).where("p_size > 25")
+    new = old.where("p_size <= 30").withColumns({"p_partkey": F.col("p_partkey") + 1000000, "is_new": F.lit(True)})
     old.unionByName(new).createOrReplaceTempView("changes")
     engine.sql(
-        """MERGE INTO lake.part t USING changes s ON t.p_partkey = s.p_partkey
+        """MERGE INTO lake.part t USING changes s ON t.p_partkey = s.p_partkey AND NOT s.is_new
            WHEN MATCHED AND s.p_size > 45 THEN DELETE WHEN MATCHED THEN UPDATE SET p_retailprice = s.p_retailprice WHEN NOT MATCHED THEN INSERT *"""
     )
     return engine.sql("SELECT p_partkey, p_retailprice FROM lake.part")

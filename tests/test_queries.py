@@ -5,6 +5,7 @@ import zlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from millrace.plans import catalogue
@@ -34,6 +35,15 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "PushedFilters: [IsNotNull(o_orderstatus)" in plan and "o_custkey" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+@pytest.mark.parametrize("name, of, key", [("merge_upsert", "part", "p_partkey")])
+def test_merges_into_tables_that_hold_the_new_keys(spark, sf, tmp_path, name, of, key):
+    """Keys of a larger table: what is to be inserted has the key of a row that is there."""
+    rows = table(spark, sf, of)
+    rows.unionByName(rows.withColumn(key, F.col(key) + 1000000)).coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / f"{of}.parquet")
+    compare(catalogue.queries()[name](spark, str(tmp_path)), catalogue.oracle_sql()[name], str(tmp_path))
+
+
 def test_top_k_per_group_is_cut_before_the_shuffle(spark, sf):
     plan = catalogue.queries()["win_topn_group"](spark, sf)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
