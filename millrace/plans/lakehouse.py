@@ -96,12 +96,13 @@ def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
        UNION ALL SELECT p_partkey + 1000000, p_brand, p_size FROM part WHERE p_size > 48""",
 )
 def merge_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first clause that holds decides; rows for which none holds stay, or aren't inserted."""
+    """The first clause that holds decides; rows for which none holds stay, or aren't inserted.  New rows match nothing, as in merge_upsert."""
     engine, parts = _managed(spark, sf_dir, "part")
     part = table(spark, sf_dir, "part")
-    part.where("p_size > 30").unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 1000000)).createOrReplaceTempView("part_changes")
+    new = part.withColumns({"p_partkey": F.col("p_partkey") + 1000000, "is_new": F.lit(True)})
+    part.where("p_size > 30").withColumn("is_new", F.lit(False)).unionByName(new).createOrReplaceTempView("part_changes")
     engine.sql(
-        """MERGE INTO lake.part AS t USING part_changes AS s ON t.p_partkey = s.p_partkey
+        """MERGE INTO lake.part AS t USING part_changes AS s ON t.p_partkey = s.p_partkey AND NOT s.is_new
            WHEN MATCHED AND s.p_size > 45 THEN DELETE
            WHEN MATCHED AND s.p_size > 40 THEN UPDATE SET p_brand = concat('large ', t.p_brand), p_size = 0
            WHEN MATCHED AND CASE WHEN s.p_type = 'PROMO' THEN false ELSE true END THEN UPDATE SET t.p_brand = lower(s.p_brand)
@@ -117,11 +118,11 @@ def merge_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
        UNION ALL SELECT c_custkey + 1000000, upper(c_name), c_nationkey, NULL, NULL FROM customer WHERE c_nationkey BETWEEN 4 AND 6""",
 )
 def merge_insert_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns and values of an INSERT are taken as written; the others are null."""
+    """Columns and values of an INSERT are taken as written; the others are null.  New rows match nothing, as in merge_upsert."""
     engine, _ = _managed(spark, sf_dir, "customer")
     table(spark, sf_dir, "customer").createOrReplaceTempView("known_customers")
     engine.sql(
-        """MERGE INTO lake.customer USING (SELECT *, c_custkey + 1000000 AS new_key FROM known_customers) new ON customer.c_custkey = new.new_key
+        """MERGE INTO lake.customer USING (SELECT *, c_custkey + 1000000 AS new_key, true AS is_new FROM known_customers) new ON customer.c_custkey = new.new_key AND NOT new.is_new
            WHEN NOT MATCHED AND new.c_nationkey = 3 THEN INSERT (c_custkey, c_name, c_acctbal) VALUES (new.new_key, 'a, WHEN MATCHED', new.c_acctbal * 2)
            WHEN NOT MATCHED AND new.c_nationkey BETWEEN 4 AND 6 THEN INSERT (c_nationkey, c_name, c_custkey) VALUES (new.c_nationkey, upper(new.c_name), new.new_key)"""
     )

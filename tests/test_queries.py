@@ -35,7 +35,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "PushedFilters: [IsNotNull(o_orderstatus)" in plan and "o_custkey" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
-@pytest.mark.parametrize("name, of, key", [("merge_upsert", "part", "p_partkey")])
+@pytest.mark.parametrize("name, of, key", [("merge_upsert", "part", "p_partkey"), ("merge_conditional", "part", "p_partkey"), ("merge_insert_list", "customer", "c_custkey")])
 def test_merges_into_tables_that_hold_the_new_keys(spark, sf, tmp_path, name, of, key):
     """Keys of a larger table: what is to be inserted has the key of a row that is there."""
     rows = table(spark, sf, of)
