@@ -44,6 +44,15 @@ def test_merges_into_tables_that_hold_the_new_keys(spark, sf, tmp_path, name, of
     compare(catalogue.queries()[name](spark, str(tmp_path)), catalogue.oracle_sql()[name], str(tmp_path))
 
 
+def test_the_first_of_equal_prices_counts(spark, tmp_path):
+    """In any order of rows; orders without a key don't count, as for the oracle."""
+    rows = [(7, 1, 5.0), (3, 1, 5.0), (4, 1, 2.0), (9, 1, 2.0), (None, 1, 9.0), (8, 1, None), (1, 2, None), (6, None, 1.0), (2, None, 1.0)]
+    for k, order in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(order, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / f"{k}/orders.parquet"))
+        got = {r.o_custkey: (r.dearest, r.cheapest) for r in catalogue.queries()["agg_maxby"](spark, str(tmp_path / str(k))).collect()}
+        assert got == {1: (3, 4), 2: (None, None), None: (2, 2)}
+
+
 def test_top_k_per_group_is_cut_before_the_shuffle(spark, sf):
     plan = catalogue.queries()["win_topn_group"](spark, sf)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
