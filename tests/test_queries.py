@@ -53,6 +53,17 @@ def test_the_first_of_equal_prices_counts(spark, tmp_path):
         assert got == {1: (3, 4), 2: (None, None), None: (2, 2)}
 
 
+def test_means_add_up_in_order_of_the_events(spark, tmp_path):
+    """0.3 + 0.2 + 0.1 is less than 0.1 + 0.2 + 0.3 in doubles, and 0.2 lies between their thirds."""
+    first, second = (0.1, 0.2, 0.3), (0.3, 0.2, 0.1)
+    rows = [(3 * u + k, u, v) for u in range(40) for k, v in enumerate((first, second)[u % 2])]
+    want = sorted(e for e, u, v in rows if v > (0.0 + (first, second)[u % 2][0] + (first, second)[u % 2][1] + (first, second)[u % 2][2]) / 3)
+    assert len(want) == 60
+    for k, order in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(order, "event_id long, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / f"{k}/events.parquet"))
+        assert sorted(r.event_id for r in catalogue.queries()["win_qualify"](spark, str(tmp_path / str(k))).collect()) == want
+
+
 def test_top_k_per_group_is_cut_before_the_shuffle(spark, sf):
     plan = catalogue.queries()["win_topn_group"](spark, sf)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
