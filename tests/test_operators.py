@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.vector import cosine, dot
@@ -101,3 +102,29 @@ def test_row_patterns_with_windows_and_bad_names(spark):
     assert [(r.t_first, r.t_last) for r in sorted(found)] == [(1, 4), (5, 7)]
     with pytest.raises(ValueError):
         match_rows(df, ["g"], ["t"], {"down": F.lit(True)}, "d")
+
+
+ROWS = st.lists(st.tuples(KEY, st.one_of(st.none(), st.sampled_from([-3.5, 0.0, 1.25, 7.0, 7.5, 1e6, float("inf"), float("nan")]))), min_size=1, max_size=25)
+
+
+@FEW
+@given(rows=ROWS, size=st.sampled_from([1, 3, 100]))
+def test_running_sums_and_percentiles_in_stretches(spark, rows, size):
+    df = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(rows)], "i int, k int, v double")
+    w = Window.partitionBy("k").orderBy("v", "i")
+    want = df.select("i", F.row_number().over(w).alias("n"), F.sum("i").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.count("*").over(Window.partitionBy("k")).alias("n_total"))
+    got = windows.running(df, ["k"], ["v", "i"], size, n=F.lit(1), s=F.col("i")).select("i", "n", "s", "n_total")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    some = df.where("v IS NULL OR abs(v) < 1e300")
+    want = some.groupBy("k").agg(F.percentile("v", 0.5), F.percentile("v", 0.9)).collect()
+    got = windows.percentiles(some, ["k"], "v", {"a": 0.5, "b": 0.9}, size).collect()
+    plain = lambda rs: sorted((tuple(None if x is None else round(x, 6) for x in r) for r in rs), key=str)
+    assert plain(got) == plain(want)
+
+
+def test_stretches_share_out_a_large_partition(spark):
+    """In even bins of numbers, and between bounds where most rows share a few numbers."""
+    for value in (F.col("id") * 0.5, F.pmod(F.xxhash64("id"), F.lit(3)) + F.when(F.col("id") == 0, 1e12).otherwise(0)):
+        df = spark.range(20_000).select("id", value.alias("v"))
+        sizes = [r["count"] for r in df.withColumn("c", windows.chunk_of(df, ["v", "id"], 1_000)).groupBy("c").count().collect()]
+        assert sum(sizes) == 20_000 and len(sizes) > 10 and max(sizes) < 4_000

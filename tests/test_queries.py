@@ -2,13 +2,15 @@
 
 import datetime as dt
 import zlib
+from functools import partial
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from millrace.plans import catalogue
+from millrace.operators import windows
+from millrace.plans import catalogue, relational
 from millrace.sources.tables import table
 from tests.oracle import compare
 
@@ -64,6 +66,16 @@ def test_means_add_up_in_order_of_the_events(spark, tmp_path):
         assert sorted(r.event_id for r in catalogue.queries()["win_qualify"](spark, str(tmp_path / str(k))).collect()) == want
 
 
+@pytest.mark.parametrize("name", ["agg_median"])
+def test_large_groups_are_many_tasks(spark, sf, monkeypatch, name):
+    """In stretches of 100 rows the result is the same, and none of them is left out or ranked alone."""
+    monkeypatch.setattr(relational, "percentiles", partial(windows.percentiles, rows=100))
+    df = catalogue.queries()[name](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "__chunk" in plan and "percentile(" not in plan
+    compare(df, catalogue.oracle_sql()[name], sf)
+
+
 def test_top_k_per_group_is_cut_before_the_shuffle(spark, sf):
     plan = catalogue.queries()["win_topn_group"](spark, sf)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
