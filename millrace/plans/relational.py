@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.joins import asof_join, not_in_join, overlap_join, range_join, salted_join, sized_join
 from millrace.operators.patterns import match_rows
-from millrace.operators.windows import distinct_on, groups_frame, percentiles, qualify, top_per_group
+from millrace.operators.windows import distinct_on, groups_frame, join_peers, percentiles, qualify, running, top_per_group
 from millrace.plans.catalogue import query
 from millrace.sources.tables import sql, table
 
@@ -315,12 +315,33 @@ def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- windows --------------------------------------------------------------------------------
 
-same(
+
+@query(
     "win_rank",
     """SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER v AS BIGINT) AS rk, CAST(dense_rank() OVER v AS BIGINT) AS dr, CAST(ntile(4) OVER w AS BIGINT) AS nt,
               round(percent_rank() OVER v, 9) AS pr, round(cume_dist() OVER v, 9) AS cd FROM orders
        WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey), v AS (PARTITION BY o_orderstatus ORDER BY o_orderdate)""",
 )
+def win_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three partitions at any size: numbers run over stretches of the order, ranks over the dates."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    dates = running(orders.groupBy("o_orderstatus", "o_orderdate").agg(F.count("*").alias("n")), ["o_orderstatus"], ["o_orderdate"], upto=F.col("n"), dr=F.lit(1))
+    dates = dates.select("o_orderstatus", "o_orderdate", (F.col("upto") - F.col("n") + 1).alias("rk"), F.col("dr").cast("long").alias("dr"), (F.col("upto") / F.col("upto_total")).alias("cd"))
+    found = join_peers(running(orders, ["o_orderstatus"], ["o_totalprice", "o_orderkey"], rn=F.lit(1)), dates, ["o_orderstatus", "o_orderdate"])
+    size, more = F.expr("rn_total div 4"), F.col("rn_total") % 4  # the first tiles have a row more
+    tile = F.expr("(rn - 1) div (rn_total div 4 + 1) + 1")
+    later = more + F.expr("(rn - 1 - rn_total % 4 * (rn_total div 4 + 1)) div greatest(rn_total div 4, 1) + 1")
+    return found.select(
+        "o_orderkey",
+        "rn",
+        "rk",
+        "dr",
+        F.when(F.col("rn") <= more * (size + 1), tile).otherwise(later).alias("nt"),
+        F.round(F.when(F.col("rn_total") > 1, (F.col("rk") - 1) / (F.col("rn_total") - 1)).otherwise(0.0), 9).alias("pr"),
+        F.round("cd", 9).alias("cd"),
+    )
+
+
 same(
     "win_lag",
     """SELECT event_id, lag(value, 1) OVER w AS before, lead(value, 2, -1.0) OVER w AS after, first_value(event_type) OVER w AS first_type, nth_value(event_id, 2) OVER w AS second,

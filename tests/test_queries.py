@@ -66,9 +66,10 @@ def test_means_add_up_in_order_of_the_events(spark, tmp_path):
         assert sorted(r.event_id for r in catalogue.queries()["win_qualify"](spark, str(tmp_path / str(k))).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["agg_median"])
+@pytest.mark.parametrize("name", ["agg_median", "win_rank"])
 def test_large_groups_are_many_tasks(spark, sf, monkeypatch, name):
     """In stretches of 100 rows the result is the same, and none of them is left out or ranked alone."""
+    monkeypatch.setattr(relational, "running", partial(windows.running, rows=100))
     monkeypatch.setattr(relational, "percentiles", partial(windows.percentiles, rows=100))
     df = catalogue.queries()[name](spark, sf)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
