@@ -20,6 +20,14 @@ def groups_frame(df: DataFrame, partition: Sequence[str], order: Sequence[Column
     return df.withColumns({name: a.over(frame) for name, a in aggregates.items()}).drop(peer)
 
 
+def groups_sums(df: DataFrame, partition: Sequence[str], order: Sequence[str], start: int, end: int, **sums: Column) -> DataFrame:
+    """``groups_frame`` for sums, where a few partitions hold many rows of few peers: one row a group of peers goes through the window."""
+    keys = [*partition, *order]
+    frame = Window.partitionBy(*partition).orderBy(*order).rowsBetween(start, end)
+    peers = df.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return join_peers(df, peers.select(*keys, *[F.sum(n).over(frame).alias(n) for n in sums]), keys)
+
+
 CHUNK, CHUNKS, EACH, BINS = 250_000, 1_000, 40, 8
 
 

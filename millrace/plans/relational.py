@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.joins import asof_join, not_in_join, overlap_join, range_join, salted_join, sized_join
 from millrace.operators.patterns import match_rows
-from millrace.operators.windows import distinct_on, groups_frame, join_peers, percentiles, qualify, running, top_per_group
+from millrace.operators.windows import distinct_on, groups_sums, join_peers, percentiles, qualify, running, top_per_group
 from millrace.plans.catalogue import query
 from millrace.sources.tables import sql, table
 
@@ -362,7 +362,9 @@ same(
 
 @query("win_groups", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW), 2) AS s FROM orders")
 def win_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = groups_frame(table(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_orderdate"], -1, 0, s=F.sum("o_totalprice"))
+    """Three partitions at any size, of one row a date."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+    found = groups_sums(orders, ["o_orderstatus"], ["o_orderdate"], -1, 0, s=F.col("o_totalprice"))
     return found.select("o_orderkey", F.round("s", 2).alias("s"))
 
 

@@ -128,3 +128,11 @@ def test_stretches_share_out_a_large_partition(spark):
         df = spark.range(20_000).select("id", value.alias("v"))
         sizes = [r["count"] for r in df.withColumn("c", windows.chunk_of(df, ["v", "id"], 1_000)).groupBy("c").count().collect()]
         assert sum(sizes) == 20_000 and len(sizes) > 10 and max(sizes) < 4_000
+
+
+@FEW
+@given(rows=st.lists(st.tuples(KEY, TIME, st.one_of(st.none(), st.integers(-5, 5))), max_size=20), start=st.integers(-2, 0), end=st.integers(0, 1))
+def test_sums_over_groups_of_peers(spark, rows, start, end):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k int, t int, v int")
+    want = windows.groups_frame(df, ["k"], ["t"], start, end, s=F.sum("v")).select("i", "s").collect()
+    assert sorted(windows.groups_sums(df, ["k"], ["t"], start, end, s=F.col("v")).select("i", "s").collect(), key=str) == sorted(want, key=str)
